@@ -70,7 +70,7 @@ def main(sf_dir: str, prefixes: list[str]) -> int:
     from tabweave.plans import registry
     from tabweave.session import build_session
 
-    spark = build_session("oracle", "local[8]", spark__sql__shuffle__partitions="8", spark__driver__memory="12g")
+    spark = build_session("oracle", "local[8]", spark__sql__shuffle__partitions="8", spark__driver__memory="12g", spark__ui__showConsoleProgress="false")
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)
     failed = 0

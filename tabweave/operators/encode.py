@@ -58,6 +58,7 @@ class FittedEncoding:
     by_fold: DataFrame
     totals: DataFrame
     prior: float
+    sizes: dict[str, tuple[int, int]]  # per feature: rows of by_fold, rows of totals
 
 
 def fit_encoding(train: DataFrame, features: Sequence[str | Sequence[str]], label: str, fold: str) -> FittedEncoding:
@@ -72,8 +73,13 @@ def fit_encoding(train: DataFrame, features: Sequence[str | Sequence[str]], labe
         counted.select("*", F.sum("n_in").over(key).alias("n"), F.sum("s_in").over(key).alias("s")), "enc"
     )
     totals = materialize(by_fold.groupBy("feature", "k1", "k2").agg(F.max("n").alias("n"), F.max("s").alias("s")), "enc")
-    first = by_fold.filter(F.col("feature") == feature_name(feats[0])).agg(F.sum("n_in"), F.sum("s_in")).first()
-    return FittedEncoding(feats, by_fold, totals, float(first[1]) / float(first[0]))
+    head = by_fold.groupBy("feature").agg(F.sum("n_in").alias("n"), F.sum("s_in").alias("s"), F.count(F.lit(1)).alias("rows"))
+    by = {r["feature"]: r for r in head.collect()}  # one row per feature
+    full = {r["feature"]: r["count"] for r in totals.groupBy("feature").count().collect()}
+    any_row = by[feature_name(feats[0])]
+    return FittedEncoding(
+        feats, by_fold, totals, float(any_row["s"]) / float(any_row["n"]), {f: (by[f]["rows"], full[f]) for f in by}
+    )
 
 
 def _keys(f: Feature) -> dict[str, Column]:
@@ -92,7 +98,7 @@ def encode_oof(train: DataFrame, enc: FittedEncoding, fold: str, m: float = 3.0,
             "k1", "k2", "fold", "n_in",
             m_estimate(F.col("n") - F.col("n_in"), F.col("s") - F.col("s_in"), enc.prior, m).alias(name),
         )
-        out = lookup(out, table, {**_keys(f), "fold": F.col(fold)}, [name], weight="n_in")
+        out = lookup(out, table, {**_keys(f), "fold": F.col(fold)}, [name], "n_in", enc.sizes[feature_name(f)][0])
         out = out.withColumn(name, F.coalesce(F.col(name), F.lit(enc.prior)))
     return out
 
@@ -105,7 +111,7 @@ def encode_full(rows: DataFrame, enc: FittedEncoding, m: float = 3.0, prefix: st
         table = enc.totals.filter(F.col("feature") == feature_name(f)).select(
             "k1", "k2", "n", m_estimate(F.col("n"), F.col("s"), enc.prior, m).alias(name)
         )
-        out = lookup(out, table, _keys(f), [name], weight="n")
+        out = lookup(out, table, _keys(f), [name], "n", enc.sizes[feature_name(f)][1])
         out = out.withColumn(name, F.coalesce(F.col(name), F.lit(enc.prior)))
     return out
 
@@ -141,17 +147,26 @@ def smoothing_grid(enc: FittedEncoding, grid: Sequence[float]) -> DataFrame:
     )
 
 
-def frequency_encode(rows: DataFrame, features: Sequence[str | Sequence[str]], prefix: str = "freq_") -> DataFrame:
-    """Count of each row's key over all the rows given (train and test together)."""
+def frequency_encode(
+    rows: DataFrame, features: Sequence[str | Sequence[str]], prefix: str = "freq_", count_on: DataFrame | None = None
+) -> DataFrame:
+    """Count of each row's key over all the rows given, train and test together.
+
+    ``count_on`` is the table to count, when ``rows`` is a widened view of it.
+    """
     feats = [as_feature(f) for f in features]
     counts = materialize(
-        _long_keys(rows, feats, []).groupBy("feature", "k1", "k2").agg(F.count(F.lit(1)).alias("n")), "freq"
+        _long_keys(rows if count_on is None else count_on, feats, [])
+        .groupBy("feature", "k1", "k2")
+        .agg(F.count(F.lit(1)).alias("n")),
+        "freq",
     )
+    sizes = {r["feature"]: r["count"] for r in counts.groupBy("feature").count().collect()}
     out = rows
     for f in feats:
         name = f"{prefix}{feature_name(f)}"
         table = counts.filter(F.col("feature") == feature_name(f)).select("k1", "k2", F.col("n").alias(name))
-        out = lookup(out, table, _keys(f), [name], weight=name)
+        out = lookup(out, table, _keys(f), [name], name, sizes[feature_name(f)])
     return out
 
 
@@ -176,10 +191,11 @@ def value_index(rows: DataFrame, cols: Sequence[str], prefix: str = "idx_") -> D
         ),
         "vocab",
     )
+    sizes = {r["feature"]: r["count"] for r in ranked.groupBy("feature").count().collect()}
     out = rows
     for c in cols:
         name = f"{prefix}{c}"
         table = ranked.filter(F.col("feature") == c).select("value", "cnt", F.col("position").alias(name))
-        out = lookup(out, table, {"value": F.col(c).cast("double")}, [name], weight="cnt")
+        out = lookup(out, table, {"value": F.col(c).cast("double")}, [name], "cnt", sizes.get(c, 0))
         out = out.withColumn(name, F.coalesce(F.col(name), F.lit(0).cast("bigint")))
     return out

@@ -27,12 +27,13 @@ def lookup(
     on: dict[str, Column],
     take: Sequence[str],
     weight: str | None = None,
-    broadcast_rows: int = BROADCAST_ROWS,
+    n_table: int | None = None,
+    broadcast_rows: int | None = None,
 ) -> DataFrame:
     """Left join bringing ``take`` from a written table with unique keys; NULL equals NULL.
 
     ``on`` maps key columns of the table to expressions over the rows.  The table's rows
-    are counted first.  Small: broadcast, so the rows are not shuffled.  Large: keys whose
+    are counted first (or the count is passed as ``n_table``).  Small: broadcast, so the rows are not shuffled.  Large: keys whose
     ``weight`` is over 1/HOT_PARTS of the total (at most HOT_PARTS of them, by counting)
     are broadcast to the rows that carry them, and only the rest is shuffled, so a key
     holding a third of all rows never lands in one task.
@@ -41,7 +42,8 @@ def lookup(
     slim = table.select(*[F.col(k).alias(f"_t_{k}") for k in keys], *take, *([F.col(weight).alias("_t_w")] if weight else []))
     cond = _match([on[k] for k in keys], [f"_t_{k}" for k in keys])
     drop = [f"_t_{k}" for k in keys]
-    if slim.count() <= broadcast_rows:
+    limit = BROADCAST_ROWS if broadcast_rows is None else broadcast_rows
+    if (slim.count() if n_table is None else n_table) <= limit:
         return rows.join(F.broadcast(slim.drop("_t_w")), cond, "left").drop(*drop)
     if weight is None:
         return rows.join(slim, cond, "left").drop(*drop)  # AQE splits skewed partitions

@@ -9,22 +9,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabweave.functions.rowwise import expit, logit
-from tabweave.operators.joins import lookup
+from tabweave.operators.joins import lookup, sizes_by
 from tabweave.operators.metrics import auc, ranks_long
 from tabweave.operators.ordering import melt
 from tabweave.session import materialize
 
-SCREEN_BINS = 65_536
+# Bin counts of the successive screening passes.
+SCREEN_BINS = (4_096, 65_536)
 
 
 def rank_columns(df: DataFrame, cols: Sequence[str], prefix: str = "r_", pct: bool = False) -> DataFrame:
     """Add the average-tie rank of each column over all rows (``pct``: divided by the non-NULL count)."""
     table = ranks_long(melt(df, cols), "value", ["feature"])
+    sizes = sizes_by(table)
     out = df
     for c in cols:
         rank = F.col("avg_rank") / F.col("n") if pct else F.col("avg_rank")
         part = table.filter(F.col("feature") == c).select("value", "cnt", rank.alias(f"{prefix}{c}"))
-        out = lookup(out, part, {"value": F.col(c).cast("double")}, [f"{prefix}{c}"], weight="cnt")
+        out = lookup(out, part, {"value": F.col(c).cast("double")}, [f"{prefix}{c}"], "cnt", sizes.get(c, 0))
     return out
 
 
@@ -75,7 +77,7 @@ def auc_per_weight(df: DataFrame, a: str, b: str, label: str, weights: Sequence[
     return auc(df.select(label, a, b, grid).select(label, "w", two_way(a, b, F.col("w")).alias("_s")), "_s", label, ["w"])
 
 
-def screen_weights(df: DataFrame, a: str, b: str, label: str, weights: Sequence[float], scale: Column) -> list[float]:
+def screen_weights(df: DataFrame, a: str, b: str, label: str, weights: Sequence[float], scale: Column, bins: int) -> list[float]:
     """Weights that can still be the best, by exact lower and upper AUC bounds.
 
     Scores fall into equal-width bins; pairs in different bins are ordered for certain and
@@ -83,14 +85,14 @@ def screen_weights(df: DataFrame, a: str, b: str, label: str, weights: Sequence[
     shuffle carries (weight, bin) counts only, whatever the row count.
     """
     grid = F.explode(F.array(*[F.lit(float(w)) for w in weights])).alias("w")
-    at = F.floor(two_way(a, b, F.col("w")) / scale * SCREEN_BINS)
+    at = F.floor(two_way(a, b, F.col("w")) / scale * bins)
     y = F.col(label).cast("int")
     cells = (
         df.filter(F.col(label).isNotNull() & F.col(a).isNotNull() & F.col(b).isNotNull()).select(label, a, b, grid)
         .groupBy("w", at.alias("bin"))
         .agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg"))
     )
-    before = Window.partitionBy("w").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)  # at most SCREEN_BINS + 1 rows
+    before = Window.partitionBy("w").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)  # at most bins + 1 rows
     wide = "decimal(38,0)"
     low = F.col("pos").cast("decimal(18,0)") * F.col("nb").cast("decimal(19,0)")
     high = F.col("pos").cast("decimal(18,0)") * (F.col("nb") + F.col("neg")).cast("decimal(19,0)")
@@ -104,8 +106,15 @@ def screen_weights(df: DataFrame, a: str, b: str, label: str, weights: Sequence[
 
 
 def best_weight(df: DataFrame, a: str, b: str, label: str, weights: Sequence[float], scale: Column) -> tuple[float, float]:
-    """Best weight and its exact AUC; the smallest weight wins ties."""
-    kept = screen_weights(df, a, b, label, weights, scale)
+    """Best weight and its exact AUC; the smallest weight wins ties.
+
+    Screening passes with ever finer bins leave few weights for the exact computation,
+    which is the only step that orders every row.
+    """
+    kept = list(weights)
+    for bins in SCREEN_BINS:
+        if len(kept) > 2:
+            kept = screen_weights(df, a, b, label, kept, scale, bins)
     row = auc_per_weight(df, a, b, label, kept).orderBy(F.desc("auc"), "w").first()
     return row["w"], row["auc"]
 

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabweave.operators.joins import lookup
+from tabweave.operators.joins import lookup, sizes_by
 from tabweave.session import materialize
 
 Feature = tuple[str, ...]
@@ -75,7 +75,7 @@ def fit_encoding(train: DataFrame, features: Sequence[str | Sequence[str]], labe
     totals = materialize(by_fold.groupBy("feature", "k1", "k2").agg(F.max("n").alias("n"), F.max("s").alias("s")), "enc")
     head = by_fold.groupBy("feature").agg(F.sum("n_in").alias("n"), F.sum("s_in").alias("s"), F.count(F.lit(1)).alias("rows"))
     by = {r["feature"]: r for r in head.collect()}  # one row per feature
-    full = {r["feature"]: r["count"] for r in totals.groupBy("feature").count().collect()}
+    full = sizes_by(totals)
     any_row = by[feature_name(feats[0])]
     return FittedEncoding(
         feats, by_fold, totals, float(any_row["s"]) / float(any_row["n"]), {f: (by[f]["rows"], full[f]) for f in by}
@@ -161,7 +161,7 @@ def frequency_encode(
         .agg(F.count(F.lit(1)).alias("n")),
         "freq",
     )
-    sizes = {r["feature"]: r["count"] for r in counts.groupBy("feature").count().collect()}
+    sizes = sizes_by(counts)
     out = rows
     for f in feats:
         name = f"{prefix}{feature_name(f)}"
@@ -191,7 +191,7 @@ def value_index(rows: DataFrame, cols: Sequence[str], prefix: str = "idx_") -> D
         ),
         "vocab",
     )
-    sizes = {r["feature"]: r["count"] for r in ranked.groupBy("feature").count().collect()}
+    sizes = sizes_by(ranked)
     out = rows
     for c in cols:
         name = f"{prefix}{c}"

@@ -7,10 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabweave.session import materialize
+
 # A fitted table is broadcast only up to this many rows (counted, not guessed).
 BROADCAST_ROWS = 200_000
 # A key is hot when it holds at least 1/HOT_PARTS of the weight: at most HOT_PARTS keys can be.
 HOT_PARTS = 2_000
+# Buckets the rows of hot keys are spread over.
+SALTS = 1_024
 
 
 def _match(rows_on: Sequence[Column], table_on: Sequence[str]) -> Column:
@@ -33,41 +37,61 @@ def lookup(
     """Left join bringing ``take`` from a written table with unique keys; NULL equals NULL.
 
     ``on`` maps key columns of the table to expressions over the rows.  The table's rows
-    are counted first (or the count is passed as ``n_table``).  Small: broadcast, so the rows are not shuffled.  Large: keys whose
-    ``weight`` is over 1/HOT_PARTS of the total (at most HOT_PARTS of them, by counting)
-    are broadcast to the rows that carry them, and only the rest is shuffled, so a key
-    holding a third of all rows never lands in one task.
+    are counted first (or the count is passed as ``n_table``).  Small: broadcast, so the
+    rows are not shuffled.  Large: keys whose ``weight`` is at least 1/HOT_PARTS of the
+    total (at most HOT_PARTS of them, by counting) are broadcast; the rows they match keep
+    their key but get a salt no table row has, so a key holding a third of all rows is
+    spread over the shuffle instead of landing in one task.
     """
     keys = list(on)
-    slim = table.select(*[F.col(k).alias(f"_t_{k}") for k in keys], *take, *([F.col(weight).alias("_t_w")] if weight else []))
+    slim = table.select(
+        *[F.col(k).alias(f"_t_{k}") for k in keys], *[F.col(c).alias(f"_v_{c}") for c in take],
+        *([F.col(weight).alias("_t_w")] if weight else []),
+    )
     cond = _match([on[k] for k in keys], [f"_t_{k}" for k in keys])
-    drop = [f"_t_{k}" for k in keys]
+    kept = list(rows.columns)
     limit = BROADCAST_ROWS if broadcast_rows is None else broadcast_rows
     if (slim.count() if n_table is None else n_table) <= limit:
-        return rows.join(F.broadcast(slim.drop("_t_w")), cond, "left").drop(*drop)
-    if weight is None:
-        return rows.join(slim, cond, "left").drop(*drop)  # AQE splits skewed partitions
+        joined = rows.join(F.broadcast(slim.drop("_t_w")), cond, "left")
+        return joined.select(*kept, *[F.col(f"_v_{c}").alias(c) for c in take])
+    if weight is None:  # adaptive skew join splits swollen partitions
+        return rows.join(slim, cond, "left").select(*kept, *[F.col(f"_v_{c}").alias(c) for c in take])
     total = slim.agg(F.sum("_t_w")).first()[0]
     is_hot = F.col("_t_w") * HOT_PARTS >= F.lit(total)
-    hot, cold = slim.filter(is_hot).drop("_t_w"), slim.filter(~is_hot).drop("_t_w")
-    from_hot = rows.join(F.broadcast(hot), cond, "inner").drop(*drop)
-    others = rows.join(F.broadcast(hot.select(*drop)), cond, "left_anti")
-    from_cold = others.join(cold, cond, "left").drop(*drop)
-    return from_hot.unionByName(from_cold)
+    hot = slim.filter(is_hot).drop("_t_w").withColumns({f"_h_{c}": F.col(f"_v_{c}") for c in take}).withColumn("_is_hot", F.lit(True))
+    hot = hot.drop(*[f"_v_{c}" for c in take])
+    cold = slim.filter(~is_hot).drop("_t_w").withColumn("_t_salt", F.lit(-1))
+    spread = F.when(F.col("_is_hot"), F.pmod(F.xxhash64(*[F.col(c) for c in kept]), F.lit(SALTS)).cast("int")).otherwise(F.lit(-1))
+    tagged = rows.join(F.broadcast(hot), cond, "left").drop(*[f"_t_{k}" for k in keys]).withColumn("_salt", spread)
+    joined = tagged.join(cold, cond & (F.col("_salt") == F.col("_t_salt")), "left")
+    value = lambda c: F.when(F.col("_is_hot"), F.col(f"_h_{c}")).otherwise(F.col(f"_v_{c}")).alias(c)
+    return joined.select(*kept, *[value(c) for c in take])
+
+
+def sizes_by(table: DataFrame, key: str = "feature") -> dict[str, int]:
+    """Rows per feature of a written table (one row per feature is collected)."""
+    return {r[key]: r["count"] for r in table.groupBy(key).count().collect()}
 
 
 def null_safe_anti_join(left: DataFrame, right: DataFrame, numeric: Sequence[str], other: Sequence[str], digits: int = 8) -> DataFrame:
     """Rows of ``left`` with no equal row in ``right`` on all columns (numbers rounded, NULL equals NULL).
 
-    The right side is reduced to its distinct keys first, so a key repeated on the left
-    meets one row; a partition swollen by such copies is split at run time by the adaptive
-    skew join, which may split the left side of an anti join.
+    ``left`` is the small reference table as a rule, and only the right side of an anti join
+    can be broadcast.  So the right table is first cut down to keys the left has, by a
+    semi join that scans it without a shuffle while the left keys fit a broadcast, and the
+    anti join then meets that remainder.
     """
-    key = [F.round(F.col(c), digits).alias(f"_a_{c}") for c in numeric] + [F.col(c).alias(f"_a_{c}") for c in other]
     names = [f"_a_{c}" for c in [*numeric, *other]]
-    seen = right.select(*key).distinct()
-    probe = [F.round(F.col(c), digits) for c in numeric] + [F.col(c) for c in other]
-    return left.join(seen, _match(probe, names), "left_anti")
+    key = [F.round(F.col(c), digits) for c in numeric] + [F.col(c) for c in other]
+    wanted = materialize(left.select(*[k.alias(n) for k, n in zip(key, names, strict=True)]).distinct(), "keys")
+    if wanted.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+    shared = materialize(
+        right.select(*[k.alias(n.replace("_a_", "_b_")) for k, n in zip(key, names, strict=True)])
+        .join(wanted, _match([F.col(n.replace("_a_", "_b_")) for n in names], names), "left_semi").distinct(),
+        "shared",
+    )
+    return left.join(shared, _match(key, [n.replace("_a_", "_b_") for n in names]), "left_anti")
 
 
 def override(rows: DataFrame, patch: DataFrame, key: str, value: str) -> DataFrame:
@@ -87,8 +111,6 @@ def align(left: DataFrame, right: DataFrame, key: str = "id") -> DataFrame:
 
 def group_deviation(train: DataFrame, rows: DataFrame, group: str, cols: Sequence[str], suffix: str) -> DataFrame:
     """Column minus its group mean fitted on ``train``; NULL where the group is NULL or unseen."""
-    from tabweave.session import materialize
-
     stats = materialize(
         train.filter(F.col(group).isNotNull())
         .groupBy(group)

@@ -57,15 +57,17 @@ def ranks_long(long: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
 def pearson_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Pairwise-complete Pearson correlation of every column pair: (a, b, r).
 
-    One aggregation holds all pairs, so the table is scanned once and only one row per
-    task is shuffled.
+    Each row is expanded over the pairs inside the scan stage and aggregated map-side, so
+    one compiled aggregate serves all pairs and one row per pair and task is shuffled.
     """
-    pairs = list(combinations(cols, 2))
-    row = df.agg(*[F.corr(a, b).alias(f"_c{i}") for i, (a, b) in enumerate(pairs)])
+    value = {c: F.col(c).cast("double") for c in cols}
     cells = F.array(
-        *[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"_c{i}").alias("r")) for i, (a, b) in enumerate(pairs)]
+        *[
+            F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), value[a].alias("_x"), value[b].alias("_y"))
+            for a, b in combinations(cols, 2)
+        ]
     )
-    return row.select(F.inline(cells))
+    return df.select(F.inline(cells)).groupBy("a", "b").agg(F.corr("_x", "_y").alias("r"))
 
 
 def mean_label_by(df: DataFrame, label: str, keys: Sequence[str]) -> DataFrame:

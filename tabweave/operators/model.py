@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 from typing import Any
 
 import numpy as np
@@ -21,7 +22,8 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark import inheritable_thread_target
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabweave.functions.rowwise import clip
@@ -73,12 +75,12 @@ def forest(trees: int = 10, depth: int = 5, **params: Any) -> Estimator:
     return RandomForestClassifier(labelCol="label", featuresCol="features", **{"numTrees": trees, "maxDepth": depth, "seed": 42, **params})
 
 
-def logistic(n_rows: int, c: float = 1.0, l1_ratio: float = 0.0, max_iter: int = 50, weight: str | None = None) -> Estimator:
+def logistic(n_rows: int, c: float = 1.0, l1_ratio: float = 0.0, max_iter: int = 50, tol: float = 1e-5, weight: str | None = None) -> Estimator:
     """Logistic regression whose strength matches an inverse-regularisation C on ``n_rows`` rows."""
     extra = {"weightCol": weight} if weight else {}
     return LogisticRegression(
         labelCol="label", featuresCol="features", regParam=1.0 / (c * max(n_rows, 1)), elasticNetParam=l1_ratio,
-        maxIter=max_iter, standardization=False, **extra,
+        maxIter=max_iter, tol=tol, standardization=False, **extra,
     )
 
 
@@ -120,6 +122,16 @@ class OofResult:
         return oof.unionByName(test)
 
 
+def fit_all(spark: SparkSession, fits: Sequence[Callable[[], Model]], parallelism: int = 4) -> list[Model]:
+    """Run independent fits side by side, as MLlib's own cross-validator does.
+
+    Each fit is a sequence of small jobs; running a few at once keeps the executors busy
+    between them.
+    """
+    with ThreadPool(min(parallelism, len(fits))) as pool:
+        return pool.map(lambda task: task(), [inheritable_thread_target(spark)(f) for f in fits])
+
+
 def kfold_oof(
     frame: Frame,
     estimator: Callable[[int], Estimator] | Estimator,
@@ -136,17 +148,18 @@ def kfold_oof(
     train = frame.train if train_filter is None else frame.train.filter(train_filter)
     make = estimator if callable(estimator) else (lambda _n: estimator)
     n = train.count()
-    models, parts = [], []
-    for i in range(k):
-        model = make(n * (k - 1) // k).fit(train.filter(F.col("fold") != i))
-        models.append(model)
-        parts.append(score(model, train.filter(F.col("fold") == i), ["id", "label", "fold", *keep]))
-    oof = parts[0]
-    for p in parts[1:]:
-        oof = oof.unionByName(p)
+    fits = [lambda i=i: make(n * (k - 1) // k).fit(train.filter(F.col("fold") != i)) for i in range(k)]
+    if test_mode == "refit":
+        fits.append(lambda: make(n).fit(train))
+    fitted = fit_all(frame.data.sparkSession, fits)
+    models = fitted[:k]
+    oof = None
+    for i, m in enumerate(models):
+        part = score(m, train.filter(F.col("fold") == i), ["id", "label", "fold", *keep])
+        oof = part if oof is None else oof.unionByName(part)
     oof = materialize(oof, "oof")
     if test_mode == "refit":
-        test = score(make(n).fit(train), frame.test, ["id", *keep])
+        test = score(fitted[k], frame.test, ["id", *keep])
     else:
         test = frame.test
         for i, m in enumerate(models):

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabweave.functions.rowwise import missing_label
-from tabweave.operators.joins import lookup
+from tabweave.operators.joins import lookup, sizes_by
 from tabweave.operators.ordering import cumulate, fit_medians
 from tabweave.operators.sets import vocabulary
 from tabweave.session import materialize
@@ -57,10 +57,11 @@ def category_index(rows: DataFrame, cols: Sequence[str], prefix: str = "cat_") -
     table = materialize(
         cumulate(rows.select(F.inline(cells)), "value", ["feature"]).select("feature", "value", "cnt", "idx_before"), "vocab"
     )
+    sizes = sizes_by(table)
     out = rows
     for c, e in labels.items():
         part = table.filter(F.col("feature") == c).select("value", "cnt", F.col("idx_before").alias(f"{prefix}{c}"))
-        out = lookup(out, part, {"value": e}, [f"{prefix}{c}"], weight="cnt")
+        out = lookup(out, part, {"value": e}, [f"{prefix}{c}"], "cnt", sizes.get(c, 0))
     return out
 
 

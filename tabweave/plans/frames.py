@@ -40,13 +40,20 @@ HIDDEN = {"total_k": 0.14, "acctbal": 0.08, "disc": 0.10, "tax": 0.12, "prio": 0
 ARCHIVE_STATUS = "P"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, key: str | None = None) -> DataFrame:
+    """Scan of a table; a file too small or unsplittable to keep the cores busy is spread by ``key``.
+
+    Any table with at least as many splits as cores is scanned as it is, without a shuffle.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if key and df.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
+        df = df.repartition(spark.sparkContext.defaultParallelism, key)
+    return df
 
 
 def order_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     qty_of = lambda f: F.sum(F.when(F.col("l_returnflag") == f, F.col("l_quantity")))
-    items = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
+    items = table(spark, sf_dir, "lineitem", "l_orderkey").groupBy("l_orderkey").agg(
         F.sum("l_quantity").alias("qty"),
         F.count(F.lit(1)).cast("double").alias("lines"),
         F.max("l_discount").alias("disc"),
@@ -55,7 +62,7 @@ def order_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
         qty_of("A").alias("qty_a"),
         qty_of("N").alias("qty_n"),
     )
-    orders, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    orders, customer = table(spark, sf_dir, "orders", "o_orderkey"), table(spark, sf_dir, "customer")
     joined = orders.join(items, orders.o_orderkey == items.l_orderkey, "left").join(
         customer, orders.o_custkey == customer.c_custkey, "left"
     )
@@ -104,7 +111,7 @@ def member_score(member: str, key: Column, y: Column) -> Column:
 
 def member_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, y, split, fold and one column per pseudo member, over all orders (a pure projection)."""
-    orders = table(spark, sf_dir, "orders")
+    orders = table(spark, sf_dir, "orders", "o_orderkey")
     key = F.col("o_orderkey")
     y = (F.col("o_orderstatus") == "F").cast("int")
     return orders.select(

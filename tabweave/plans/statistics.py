@@ -357,7 +357,7 @@ s_{c} AS (SELECT b, greatest(count(*) FILTER (NOT late) / (SELECT count(*) FROM
 {' UNION ALL '.join(f"SELECT '{c}' AS feature, {r('sum((pa - pb) * ln(pa / pb))', 'psi')} FROM s_{c}" for c in ('value', 'props_len'))}""")
 def psi(spark, sf_dir):
     events = materialize(
-        table(spark, sf_dir, "events").select("value", F.length("props").cast("double").alias("props_len"), (F.col("ts") >= F.expr(_EVENT_CUT)).alias("late")), "events"
+        table(spark, sf_dir, "events", "event_id").select("value", F.length("props").cast("double").alias("props_len"), (F.col("ts") >= F.expr(_EVENT_CUT)).alias("late")), "events"
     )
     return rounded(profile.psi(events, ["value", "props_len"], F.col("late")))
 
@@ -451,7 +451,7 @@ def kernel_log_ratio(spark, sf_dir):
 @query("a22_strong_pairs", f"""WITH {FRAME_SQL}, c AS ({' UNION ALL '.join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r FROM frame" for a, b in combinations(CONT, 2))})
 SELECT a, b, {r('r', 'r')} FROM c WHERE abs(r) > 0.3""")
 def strong_pairs(spark, sf_dir):
-    pairs = metrics.pearson_pairs(_frame(spark, sf_dir, *CONT), CONT)
+    pairs = metrics.pearson_pairs(_written(spark, sf_dir, *CONT), CONT)
     return rounded(pairs.filter(F.abs("r") > 0.3).orderBy(F.desc(F.abs("r"))))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabweave.functions.hashing import hash_mod
+from tabweave.functions.hashing import hash_mod, portable_hash
 from tabweave.operators.ordering import row_index
 
 
@@ -25,6 +25,17 @@ def stratified_folds(df: DataFrame, key: str, label: str, k: int, seed: int = 42
 
 
 def seeded_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """``n`` rows chosen by hash order (a TakeOrdered: each task keeps at most n rows)."""
+    """``n`` rows chosen by hash order.
+
+    A hash threshold first cuts the table down to little more than ``n`` candidates, in the
+    scan; only those are ordered.  The threshold is widened until it holds ``n`` rows, so
+    the result is exactly the first ``n`` in hash order.
+    """
+    total = df.count()
+    prefix = portable_hash(F.col(key), seed)  # the leading digits of the digest: same order
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
-    return df.orderBy(digest, key).limit(n)
+    share = min(1.0, (n + 6 * n**0.5 + 10) / max(total, 1))
+    while share < 1.0 and df.filter(prefix < int(share * 2**32)).count() < n:
+        share = min(1.0, share * 2)
+    near = df if share >= 1.0 else df.filter(prefix < int(share * 2**32))
+    return near.orderBy(digest, key).limit(n)

@@ -91,22 +91,18 @@ def melt(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = (), feature:
     )
 
 
-def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
-    """Exact linear-interpolation quantiles: (by.., feature, prob, value).
+def _picked_quantiles(counts: DataFrame, keys: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """Interpolated quantiles out of running counts: (keys.., prob, value).
 
-    Picks the two order statistics of each probability out of the running counts; the
-    built-in exact percentile would hold every distinct value in a single buffer.
+    ``counts`` has value, cnt, cnt_before and cnt_total; the two order statistics of each
+    probability are the rows whose count interval holds their positions.
     """
-    keep = [*by]
-    long = melt(df, cols, keep)
-    keys = [*by, "feature"]
-    cum = cumulate(long, "value", keys)
     wanted = F.array(*[F.lit(float(p)) for p in probs])
     first, last = F.col("cnt_before"), F.col("cnt_before") + F.col("cnt") - 1
     spot = lambda p: (F.col("cnt_total") - 1) * p
     inside = lambda k: (k >= first) & (k <= last)
     hits = F.filter(wanted, lambda p: inside(F.floor(spot(p))) | inside(F.ceil(spot(p))))
-    picked = cum.select(*keys, "value", "cnt_before", "cnt", "cnt_total", F.explode(hits).alias("prob"))
+    picked = counts.select(*keys, "value", "cnt_before", "cnt", "cnt_total", F.explode(hits).alias("prob"))
     h = spot(F.col("prob"))
     ends = picked.groupBy(*keys, "prob").agg(
         F.max(F.when(inside(F.floor(h)), F.col("value"))).alias("_lo"),
@@ -116,6 +112,40 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Se
     return ends.select(*keys, "prob", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_w")).alias("value"))
 
 
+def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """Exact linear-interpolation quantiles: (by.., feature, prob, value).
+
+    The built-in exact percentile would hold every distinct value in a single buffer.
+    """
+    return long_quantiles(melt(df, cols, [*by]), [*by, "feature"], probs)
+
+
+def long_quantiles(long: DataFrame, keys: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """Exact quantiles of the ``value`` column of a long table per key: (keys.., prob, value)."""
+    return _picked_quantiles(cumulate(long, "value", keys), keys, probs)
+
+
+def class_quantiles(df: DataFrame, cols: Sequence[str], label: str, probs: Sequence[float]) -> dict[tuple[str, str], dict[float, float]]:
+    """Quantiles over all rows and within each class from one ordering of the values.
+
+    Returns ``{(which, column): {prob: value}}`` with ``which`` in all, y0, y1; the collect
+    is bounded by columns x probabilities.
+    """
+    y = F.col(label).cast("int")
+    cum = cumulate(melt(df, cols, [label]), "value", ["feature"], {"all": F.lit(1), "y0": 1 - y, "y1": y})
+    each = F.array(
+        *[
+            F.struct(F.lit(w).alias("which"), F.col(w).alias("cnt"), F.col(f"{w}_before").alias("cnt_before"), F.col(f"{w}_total").alias("cnt_total"))
+            for w in ("all", "y0", "y1")
+        ]
+    )
+    counts = cum.select("feature", "value", F.inline(each)).filter(F.col("cnt") > 0)
+    out: dict[tuple[str, str], dict[float, float]] = {}
+    for r in _picked_quantiles(counts, ["which", "feature"], probs).collect():
+        out.setdefault((r["which"], r["feature"]), {})[r["prob"]] = r["value"]
+    return out
+
+
 def fit_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = ()) -> dict:
     """Quantiles as driver values: ``{(*by, feature): [value per prob]}``.
 
@@ -135,10 +165,9 @@ def fit_bin_edges(df: DataFrame, cols: Sequence[str], n_bins: int, unique: bool
     """Inner edges of ``n_bins`` quantile bins per column (the outer edges are unbounded)."""
     probs = [i / n_bins for i in range(n_bins + 1)]
     fitted = fit_quantiles(df, cols, probs)
-    out = {}
-    for c in cols:
-        edges = fitted.get((c,), [])
-        if unique:
-            edges = sorted(set(edges))
-        out[c] = edges[1:-1]
-    return out
+    return {c: inner_edges(fitted.get((c,), []), unique) for c in cols}
+
+
+def inner_edges(edges: Sequence[float], unique: bool = True) -> list[float]:
+    """Edges without the two outer ones, repeated edges merged when ``unique``."""
+    return (sorted(set(edges)) if unique else list(edges))[1:-1]

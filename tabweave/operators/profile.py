@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabweave.functions.rowwise import bin_index, complete_case
-from tabweave.operators.ordering import cumulate, fit_bin_edges, melt, quantiles
+from tabweave.operators.ordering import fit_bin_edges, long_quantiles, melt, quantiles
 from tabweave.session import materialize
 
 
@@ -158,24 +158,11 @@ def granularity(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         F.min("step").alias("min_step"),
         F.max("step").alias("max_step"),
     )
-    mid = quantiles_of_long(s.filter(F.col("step").isNotNull()), "feature", "step", 0.5, "median_step")
+    steps_only = s.filter(F.col("step").isNotNull()).select("feature", F.col("step").alias("value"))
+    mid = long_quantiles(steps_only, ["feature"], [0.5]).select("feature", F.col("value").alias("median_step"))
     return base.join(mid, "feature", "left")
 
 
-def quantiles_of_long(long: DataFrame, key: str, value: str, prob: float, name: str) -> DataFrame:
-    """Exact quantile of a long-form value per key."""
-    cum = cumulate(long, value, [key])
-    h = (F.col("cnt_total") - 1) * F.lit(prob)
-    first, last = F.col("cnt_before"), F.col("cnt_before") + F.col("cnt") - 1
-    hit = lambda k: (k >= first) & (k <= last)
-    ends = cum.groupBy(key).agg(
-        F.max(F.when(hit(F.floor(h)), F.col(value))).alias("_lo"),
-        F.max(F.when(hit(F.ceil(h)), F.col(value))).alias("_hi"),
-        F.max(h - F.floor(h)).alias("_w"),
-    )
-    return ends.select(key, (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_w")).alias(name))
-
-
 def rate_curve(df: DataFrame, cols: Sequence[str], label: str, n_bins: int = 10) -> DataFrame:
     """(feature, bin, n, rate) over right-closed quantile bins."""
     edges = fit_bin_edges(df, cols, n_bins)

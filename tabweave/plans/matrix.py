@@ -67,8 +67,9 @@ def build_matrix(frame: DataFrame, spec: MatrixSpec = MatrixSpec()) -> DataFrame
     if "ref" in spec.families:
         ref = archive(base)
         out = refdist.add_ecdf(out, refdist.ecdf_table(ref, base, spec.cdf, "label"), spec.cdf, spec.cdf)
-        out = refdist.add_reference_scalars(out, refdist.fit_reference(ref, "label", spec.medians, spec.rates))
-        out = refdist.add_kernel_log_ratio(out, refdist.fit_kernels(ref, spec.kernels, "label"), values=base)
+        q = refdist.reference_quantiles(ref, [*spec.medians, *spec.rates, *spec.kernels], "label")
+        out = refdist.add_reference_scalars(out, refdist.fit_reference(ref, "label", spec.medians, spec.rates, quantiles=q))
+        out = refdist.add_kernel_log_ratio(out, refdist.fit_kernels(ref, spec.kernels, "label", quantiles=q), values=base)
         cols += [c for c in out.columns if "__ref_" in c]
     if spec.imputed:
         filled = model_impute(category_index(base, CATS), spec.imputed, [*CONT, *[f"cat_{c}" for c in CATS]])

@@ -332,6 +332,19 @@ def class_weights(spark, sf_dir):
     return rounded(stacking.variant_table({n: model.kfold_oof(frame, model.gbt(**TREE, weightCol=f"w_{n}"), K) for n in weights}))
 
 
+@query("m19_smoothing_model_sweep")
+def smoothing_model_sweep(spark, sf_dir):
+    """Model AUC on raw columns plus encodings, for several smoothing values of one count table."""
+    df = feature_table(spark, sf_dir)
+    train = materialize(df.filter(F.col("split") == "train"), "sweep")
+    enc = encode.fit_encoding(train, [*CONT, *CATS], "label", "fold")
+    res = {
+        f"m_{m}": model.kfold_oof(model.model_frame(encode.encode_oof(train, enc, "fold", m), [*RAW, *TE]), model.gbt(**TREE), K)
+        for m in (1.0, 3.0, 20.0)
+    }
+    return rounded(stacking.variant_table(res))
+
+
 @query("m20_additivity")
 def additivity(spark, sf_dir):
     frame = model.model_frame(feature_table(spark, sf_dir, "te"), TE)

@@ -170,17 +170,16 @@ def reference_anti_join(spark, sf_dir):
     return joins.null_safe_anti_join(archive(frame), current(frame), ["lines", "disc", "qty_r"], ["prio", "seg"]).select("id", "label")
 
 
-@query("j2_encoding_lookup", f"""WITH {FRAME_SQL}, e AS (SELECT nation, (sum(label)::DOUBLE + 3.0 * {_prior('frame')}) / (count(*) + 3.0)::DOUBLE AS enc
-  FROM frame WHERE status = 'P' GROUP BY nation HAVING count(*) % 2 = 0)
-SELECT id, {r(f'coalesce(enc, {_prior("frame")})', 'enc')} FROM frame LEFT JOIN e ON e.nation IS NOT DISTINCT FROM frame.nation""")
+@query("j2_encoding_lookup", f"""WITH {FRAME_SQL}, {REF_SQL}, e AS (SELECT qty, (sum(label)::DOUBLE + 3.0 * {_prior('ref')}) / (count(*) + 3.0)::DOUBLE AS enc
+  FROM ref GROUP BY qty) SELECT id, {r(f'coalesce(enc, {_prior("ref")})', 'enc')} FROM frame LEFT JOIN e ON e.qty IS NOT DISTINCT FROM frame.qty""")
 def encoding_lookup(spark, sf_dir):
-    frame = _written(spark, sf_dir, "id", "nation", "label", "status")
-    prior = frame.agg(F.avg(F.col("label").cast("double"))).first()[0]
-    counted = archive(frame).groupBy("nation").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("s"))
-    enc = materialize(
-        counted.filter(F.col("n") % 2 == 0).select("nation", "n", encode.m_estimate(F.col("n"), F.col("s"), prior, 3.0).alias("enc")), "enc"
-    )
-    out = joins.lookup(frame, enc, {"nation": F.col("nation")}, ["enc"], weight="n")
+    """Encoding fitted on the archive, looked up for every order; values it never saw get the prior."""
+    frame = _written(spark, sf_dir, "id", "qty", "label", "status")
+    ref = archive(frame)
+    prior = ref.agg(F.avg(F.col("label").cast("double"))).first()[0]
+    counted = ref.groupBy("qty").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("s"))
+    enc = materialize(counted.select("qty", "n", encode.m_estimate(F.col("n"), F.col("s"), prior, 3.0).alias("enc")), "enc")
+    out = joins.lookup(frame, enc, {"qty": F.col("qty")}, ["enc"], weight="n")
     return rounded(out.select("id", F.coalesce("enc", F.lit(prior)).alias("enc")))
 
 

@@ -472,7 +472,7 @@ FROM s JOIN x USING (member) GROUP BY member ORDER BY max(c) LIMIT 12""")
 def diversity_report(spark, sf_dir):
     from tabweave.operators.members import diversity, member_auc
 
-    wide = member_frame(spark, sf_dir)
+    wide = materialize(member_frame(spark, sf_dir).select(*MEMBERS), "members")
     solo = member_auc(member_long(spark, sf_dir)).select("member", F.round("auc", 9).alias("auc"))
     report = rounded(diversity(wide, list(MEMBERS)))
     return report.join(solo, "member").orderBy("max_corr").limit(12)

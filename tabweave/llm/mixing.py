@@ -14,7 +14,7 @@ BLOCK_WORDS = 1024
 #: Slots that one window of the ranking holds at most.
 SLOT_RUN = 1 << 16
 #: Rows of a shuffled source that one window holds, about.
-LINE_ROWS = 1 << 16
+LINE_ROWS = 1 << 12
 #: Low-discrepancy step: the fractional part of the golden ratio.
 GOLDEN = 0.6180339887498949
 WORD = "[^\\x20\\x09-\\x0D]+"

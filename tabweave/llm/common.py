@@ -143,5 +143,9 @@ def batches_by_bytes(batches, column: str, limit: int = 8 << 20):
 
 
 def column_of(data: pa.Table, name: str) -> pa.Array:
+    """A column as one array that begins at the start of its buffers (string kernels misread slices)."""
     chunks = data.column(name)
-    return chunks.combine_chunks() if isinstance(chunks, pa.ChunkedArray) and chunks.num_chunks != 1 else chunks.chunk(0)
+    whole = chunks.combine_chunks() if isinstance(chunks, pa.ChunkedArray) else chunks
+    if isinstance(whole, pa.ChunkedArray):
+        whole = pa.concat_arrays(whole.chunks) if whole.num_chunks else pa.array([], chunks.type)
+    return whole.take(pa.array(np.arange(len(whole)))) if whole.offset else whole

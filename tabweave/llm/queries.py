@@ -1,6 +1,6 @@
 """Imports every operator module so that its query is registered."""
 
-from tabweave.llm import mixing, packing, rans, sharding  # noqa: F401
+from tabweave.llm import mixing, ngram_join, packing, rans, sharding  # noqa: F401
 from tabweave.llm.common import CHECKS, QUERIES
 
 __all__ = ["CHECKS", "QUERIES"]

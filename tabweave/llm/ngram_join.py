@@ -144,7 +144,7 @@ def _segments(sets: DataFrame, n_fragments: int) -> DataFrame:
     cells = sets.select("shingles").mapInArrow(sample, "v long, c long").groupBy("v").agg(F.sum("c").alias("c"))
     probs = [(i + 1) / n_fragments for i in range(n_fragments - 1)]
     # at most 2**19 cells reach the one buffer of the exact percentile
-    found = [int(x) for x in cells.agg(F.percentile("v", probs, "c")).first()[0] or []]
+    found = [int(x) for x in cells.agg(F.percentile("v", probs, F.col("c"))).first()[0] or []]
     pivots = np.unique(np.array(found, np.int64)) << 44
 
     def cut(batches):

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -155,11 +158,42 @@ def mix_documents(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), repeats
     )
     counted = parts.groupBy("row").agg(F.sum("words").alias("got"))
     out = lined.join(counted, "row", "left").select(
-        "doc_id", "source", "size", F.col("source_size").cast("bigint").alias("source_size"), "target", F.coalesce("got", F.lit(0)).cast("bigint").alias("taken"), "row"
+        "doc_id", "source", "size", F.col("source_size").cast("bigint").alias("source_size"), "target", F.coalesce("got", F.lit(0)).cast("bigint").alias("taken"), "row", "mix"
     )
     return out, parts
 
 
+def mixed_texts(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), repeats: int = 3, seed: int = 17) -> DataFrame:
+    """The documents that the mix takes, with all their columns: one row for each time a document is taken.
+
+    A source's line is taken from its front, so at most one document a source is taken in part: its
+    last row has its first words only, and n_chars follows.  Rows that the mix doesn't reach, and rows
+    without words, are not in it.  Repeated rows share what they are taken.
+    """
+    out, _ = mix_documents(docs.select("doc_id", "text", "source"), weights, repeats, seed=seed)
+    got = keep(
+        out.filter("taken > 0").groupBy(F.col("mix").alias("_mix"), F.col("source").alias("_source")).agg(F.sum("taken").alias("_taken"), F.first("size").alias("_size"), F.count(F.lit(1)).alias("_same")), "taken"
+    )
+    keyed = docs.withColumn("_key", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")))
+    joined = keyed.join(got, (F.col("_key") == F.col("_mix")) & F.col("source").cast("string").eqNullSafe(F.col("_source")))
+    once = joined.filter("_same = 1").unionByName(joined.filter("_same > 1").dropDuplicates(["_key", "_source"]))
+    rows = once.withColumn("_turn", F.explode(F.expr("sequence(0, (_taken - 1) div _size)"))).withColumn("_left", F.least(F.col("_size"), F.expr("_taken - _turn * _size")))
+    columns = docs.columns
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = []
+            for text, n in zip(b.column("text").to_pylist(), b.column("_left").to_pylist(), strict=True):
+                texts.append(text[: next(islice(re.finditer(WORD, text), n - 1, None)).end()])
+            got = {c: b.column(c) for c in columns} | {"text": pa.array(texts, pa.string())}
+            yield pa.RecordBatch.from_arrays(list(got.values()), names=list(got))
+
+    part = rows.filter("_left < _size").select(*columns, "_left").mapInArrow(cut, docs.schema)
+    if "n_chars" in columns:
+        part = part.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
+    return rows.filter("_left = _size").select(*columns).unionByName(part)
+
+
 @query("op10_low_discrepancy_mix")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, _ = mix_documents(table(spark, sf_dir, "documents", "doc_id", "text", "source"))

@@ -1,6 +1,6 @@
 """Imports every operator module so that its query is registered."""
 
-from tabweave.llm import mixing, ngram_join, packing, quality, rans, sharding, suffix_dedup  # noqa: F401
+from tabweave.llm import ann, mixing, ngram_join, packing, quality, rans, sharding, suffix_dedup, vector_join  # noqa: F401
 from tabweave.llm.common import CHECKS, QUERIES
 
 __all__ = ["CHECKS", "QUERIES"]

@@ -166,26 +166,18 @@ def weighted_sum(weights: dict[str, float]) -> Column:
 def within_row_rank_z(cols: Sequence[str], n_rows: Column | int) -> Column:
     """Array of (member, rank, z) over the row's own columns: average-tie rank / ``n_rows`` and its z-score.
 
+    A NULL member has no rank and counts in none of the others'.
+
     Array functions inside the row: no shuffle, and only as much work as there are columns.
     """
     n = F.lit(n_rows) if isinstance(n_rows, int) else n_rows
     values = F.array(*[F.col(c) for c in cols])
-    ranks = F.transform(
-        values,
-        lambda x: (F.size(F.filter(values, lambda o: o < x)) + (F.size(F.filter(values, lambda o: o == x)) + 1) / 2) / n,
-    )
-    k = len(cols)
-    mean = F.aggregate(ranks, F.lit(0.0), lambda acc, v: acc + v) / k
-    spread = lambda r, m: F.sqrt(F.aggregate(r, F.lit(0.0), lambda acc, v: acc + (v - m) * (v - m)) / k) + F.lit(1e-12)
+    rank = lambda x: (F.size(F.filter(values, lambda o: o < x)) + (F.size(F.filter(values, lambda o: o == x)) + 1) / 2) / n
+    ranks = F.transform(values, lambda x: F.when(x.isNotNull(), rank(x)))
+    known = F.filter(ranks, lambda v: v.isNotNull())
+    total = lambda a, f: F.aggregate(a, F.lit(0.0), lambda acc, v: acc + f(v))
     names = F.array(*[F.lit(c) for c in cols])
-    # One-element array: binds ranks and mean once for the expressions that use them.
-    bound = F.array(F.struct(ranks.alias("r"), mean.alias("m")))
-    return F.flatten(
-        F.transform(
-            bound,
-            lambda b: F.transform(
-                b["r"],
-                lambda v, i: F.struct(F.get(names, i).alias("member"), v.alias("rank"), ((v - b["m"]) / spread(b["r"], b["m"])).alias("z")),
-            ),
-        )
-    )
+    # One-element arrays: bind ranks, mean and spread once for the expressions that use them.
+    first = F.array(F.struct(ranks.alias("r"), known.alias("k"), F.try_divide(total(known, lambda v: v), F.size(known).cast("double")).alias("m")))
+    bound = F.transform(first, lambda b: F.struct(b["r"].alias("r"), b["m"].alias("m"), (F.sqrt(F.try_divide(total(b["k"], lambda v: (v - b["m"]) * (v - b["m"])), F.size(b["k"]).cast("double"))) + 1e-12).alias("s")))
+    return F.flatten(F.transform(bound, lambda b: F.transform(b["r"], lambda v, i: F.struct(F.get(names, i).alias("member"), v.alias("rank"), ((v - b["m"]) / b["s"]).alias("z")))))

@@ -63,6 +63,7 @@ class FittedEncoding:
 
 def fit_encoding(train: DataFrame, features: Sequence[str | Sequence[str]], label: str, fold: str) -> FittedEncoding:
     feats = tuple(as_feature(f) for f in features)
+    train = train.filter(F.col(label).isNotNull())  # a row without a label counts in no rate
     counted = (
         _long_keys(train, feats, [F.col(fold).alias("fold"), F.col(label).alias("_y")])
         .groupBy("feature", "k1", "k2", "fold")

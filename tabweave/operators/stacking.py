@@ -71,22 +71,24 @@ def nonnegative_blend(df: DataFrame, cols: Sequence[str], k: int) -> tuple[DataF
 
 
 def regime_stack(df: DataFrame, members: Sequence[str], regime: str, k: int, min_rows: int, fallback: Sequence[str]) -> DataFrame:
-    """One logistic meta per regime; regimes under ``min_rows`` get the fallback members' rank mean.
+    """One logistic meta per regime; regimes with under ``min_rows`` training rows get the fallback members' rank mean.
 
-    Ranks are divided by the regime's size, so both kinds of score are on (0, 1].
+    Every row is scored: regimes come from all rows, and one that only test rows have (or a
+    NULL regime) falls back.  Ranks are divided by the regime's size on each side, so both kinds of score are on (0, 1].
     """
     data = materialize(df, "regimes")
-    sizes = {r[regime]: r["count"] for r in data.filter(F.col("split") == "train").groupBy(regime).count().collect()}
+    sizes = {r[regime]: r["n"] for r in data.groupBy(regime).agg(F.count_if(F.col("split") == "train").alias("n")).collect()}
     out = None
-    for g, n in sorted(sizes.items()):
-        part = data.filter(F.col(regime) == g)
+    for g, n in sorted(sizes.items(), key=lambda x: (x[0] is None, x[0])):
+        part = data.filter(F.col(regime).eqNullSafe(F.lit(g)))
         if n < min_rows:
-            one = rank_average(part, list(fallback)).select("id", "label", "split", "score")
+            sides = [rank_average(part.filter(F.col("split") == s), list(fallback)).select("id", "label", "split", "score") for s in ("train", "test")]
+            one = sides[0].unionByName(sides[1])
         else:
             res = kfold_oof(meta_frame(part, members), lambda m: logistic(m), k, "refit", keep=["split"])
             test = res.test.join(part.select("id", "label"), "id").select("id", "label", "split", "score")
             one = res.oof.select("id", "label", "split", "score").unionByName(test)
-        one = one.withColumn("regime", F.lit(g))
+        one = one.withColumn("regime", F.lit(g).cast(dict(df.dtypes)[regime]))
         out = one if out is None else out.unionByName(one)
     return out
 

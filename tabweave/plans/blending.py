@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tabweave.operators import blend, members
 from tabweave.plans.catalog import query, r, rounded
-from tabweave.plans.frames import CATS, CONT, DECIMALS, FRAME_SQL, MEMBERS, MEMBERS_SQL, PARTS, RATIOS, member_frame, member_long, order_frame
+from tabweave.plans.frames import CATS, CONT, DECIMALS, FEATURES, FRAME_SQL, MEMBERS, MEMBERS_SQL, PARTS, RATIOS, member_frame, member_long, order_frame
 from tabweave.plans.matrix import MatrixSpec, build_matrix
 from tabweave.plans.statistics import (
     _KDE_JOIN,
@@ -14,10 +14,10 @@ from tabweave.plans.statistics import (
     _KDE_SQL,
     _TRAIN,
     CDF_COLS,
-    REF_SQL,
     _binned_rate_sql,
     _cdf_sql,
     _prior,
+    anti_sql,
     auc_sql,
     oof_sql,
 )
@@ -145,8 +145,7 @@ _WIDE = f"""wide AS MATERIALIZED (SELECT *, {', '.join(f'{e} AS {n}' for n, e in
   CASE WHEN qty_r >= qty_a AND qty_r >= qty_n THEN 'returned' WHEN qty_a >= qty_n THEN 'accepted' ELSE 'none' END END AS dominant FROM frame)"""
 _FULL = " ".join(
     f"LEFT JOIN (SELECT {c}, (sum(label)::DOUBLE + 3.0 * {_prior('train')}) / (count(*) + 3.0)::DOUBLE AS e FROM train GROUP BY {c}) t{i} "
-    f"ON t{i}.{c} IS NOT DISTINCT FROM f.{c} "
-    f"LEFT JOIN {oof_sql(c, 'te_' + c, 3.0)} e{i} ON e{i}.{c} IS NOT DISTINCT FROM f.{c} AND e{i}.fold = f.fold"
+    f"ON t{i}.{c} IS NOT DISTINCT FROM f.{c}"
     for i, c in enumerate(_ENC)
 )
 _MATRIX_OUT = ", ".join(
@@ -154,7 +153,7 @@ _MATRIX_OUT = ", ".join(
         "f.id", "f.label", "f.fold", "f.split",
         *[r(f"coalesce(try_cast(f.{c} AS DOUBLE), -999)", c) for c in [*CONT, *CATS]],
         *[r(f"coalesce(f.{n}, -999)", n) for n in _DERIVED_SQL],
-        *[r(f"CASE WHEN f.split = 'train' THEN e{i}.te_{c} ELSE coalesce(t{i}.e, {_prior('train')}) END", f"te_{c}") for i, c in enumerate(_ENC)],
+        *[r(f"CASE WHEN f.split = 'train' THEN o.te_{c} ELSE coalesce(t{i}.e, {_prior('train')}) END", f"te_{c}") for i, c in enumerate(_ENC)],
         *[f"q.freq_{c}" for c in _ENC],
         *[r(f"CASE WHEN f.{c} IS NOT NULL THEN {_cdf_sql(c)} END", f"{c}__ref_cdf") for c in CDF_COLS],
         *[r(f"CASE WHEN f.{c} IS NOT NULL THEN {_cdf_sql(c, 'label = 0')} - {_cdf_sql(c, 'label = 1')} END", f"{c}__ref_cdf_gap") for c in CDF_COLS],
@@ -168,10 +167,15 @@ _MATRIX_OUT = ", ".join(
 )
 
 
-@query("e5_feature_matrix", f"""WITH {FRAME_SQL}, {_WIDE}, {_TRAIN.replace('FROM frame', 'FROM wide')}, {REF_SQL}, {_KDE_SQL},
+_CLEAN = f"""old AS (SELECT * FROM frame WHERE status = 'P'), wide AS MATERIALIZED (SELECT * FROM all_rows WHERE status <> 'P'),
+ref AS MATERIALIZED (SELECT * FROM old WHERE {anti_sql('old', 'wide')} QUALIFY row_number() OVER (PARTITION BY {', '.join(FEATURES)} ORDER BY id) = 1)"""
+
+
+@query("e5_feature_matrix", f"""WITH {FRAME_SQL}, {_WIDE.replace('wide AS', 'all_rows AS', 1)}, {_CLEAN}, {_TRAIN.replace('FROM frame', 'FROM wide')}, {_KDE_SQL},
 {_binned_rate_sql('total_k')}, {_binned_rate_sql('disc')},
+o AS MATERIALIZED (SELECT id AS oid, {', '.join(f'{oof_sql(c, 3.0)} AS te_{c}' for c in _ENC)} FROM train),
 q AS (SELECT id AS fid, {', '.join(f'(count(*) OVER (PARTITION BY {c}))::BIGINT AS freq_{c}' for c in _ENC)} FROM wide)
-SELECT {_MATRIX_OUT} FROM wide f JOIN q ON q.fid = f.id {_FULL} {_KDE_JOIN}
+SELECT {_MATRIX_OUT} FROM wide f JOIN q ON q.fid = f.id LEFT JOIN o ON o.oid = f.id {_FULL} {_KDE_JOIN}
 {' '.join(f"JOIN bq_{c} q_{c} ON q_{c}.bid = f.id LEFT JOIN br_{c} r_{c} ON r_{c}.b = q_{c}.b" for c in ('total_k', 'disc'))}""")
 def feature_matrix(spark, sf_dir):
     return rounded(build_matrix(order_frame(spark, sf_dir), MatrixSpec(encoded=_ENC)))

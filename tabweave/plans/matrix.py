@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabweave.functions import rowwise as rw
-from tabweave.operators import encode, refdist
+from tabweave.operators import encode, joins, refdist, sets
 from tabweave.operators.model import model_impute
 from tabweave.operators.prep import category_index
-from tabweave.plans.frames import CATS, CONT, DECIMALS, PARTS, RATIOS, WHOLE, archive
+from tabweave.plans.frames import CATS, CONT, DECIMALS, FEATURES, PARTS, RATIOS, WHOLE, archive, current
 from tabweave.session import materialize
 
 DOMINANT = {"returned": "qty_r", "accepted": "qty_a", "none": "qty_n"}
@@ -46,15 +46,24 @@ class MatrixSpec:
     families: tuple[str, ...] = field(default=("raw", "derived", "te", "freq", "ref"))
 
 
+def clean_reference(frame: DataFrame) -> DataFrame:
+    """The archive without rows that a current row repeats on all features, one row for each set of feature values."""
+    alone = joins.null_safe_anti_join(archive(frame), current(frame), CONT, CATS)
+    return materialize(sets.keep_first(alone, FEATURES, "id"), "reference")
+
+
 def build_matrix(frame: DataFrame, spec: MatrixSpec = MatrixSpec()) -> DataFrame:
-    """Feature columns next to id, label, fold and split for every row of ``frame``.
+    """Feature columns next to id, label, fold and split for every current row of ``frame``.
 
-    The frame is written once with its derived columns; each block then adds columns by
-    projection or by a join with a table of measured size.
+    The reference blocks are fitted on the cleaned archive, which shares no row with the
+    matrix, so no row meets its own label there.  The frame is written once with its
+    derived columns; each block then adds columns by projection or by a join with a
+    table of measured size.
     """
-    base = materialize(
+    whole = materialize(
         frame.withColumns({**derived(), "dominant": rw.row_argmax(DOMINANT)}), "base"
     )
+    base = current(whole)
     train, test = base.filter(F.col("split") == "train"), base.filter(F.col("split") == "test")
     out, cols = base, []
     if "te" in spec.families:
@@ -65,7 +74,7 @@ def build_matrix(frame: DataFrame, spec: MatrixSpec = MatrixSpec()) -> DataFrame
         out = encode.frequency_encode(out, spec.encoded, count_on=base)
         cols += [f"freq_{c}" for c in spec.encoded]
     if "ref" in spec.families:
-        ref = archive(base)
+        ref = clean_reference(whole)
         out = refdist.add_ecdf(out, refdist.ecdf_table(ref, base, spec.cdf, "label"), spec.cdf, spec.cdf)
         q = refdist.reference_quantiles(ref, [*spec.medians, *spec.rates, *spec.kernels], "label")
         out = refdist.add_reference_scalars(out, refdist.fit_reference(ref, "label", spec.medians, spec.rates, quantiles=q))

@@ -318,11 +318,11 @@ def vocabulary(spark, sf_dir):
     return sets.vocabulary(_f(spark, sf_dir), CATS)
 
 
-@query("u4_keep_first", f"""WITH {FRAME_SQL} SELECT qty_r, lines, prio, id, label FROM frame WHERE status = 'P'
-QUALIFY row_number() OVER (PARTITION BY qty_r, lines, prio ORDER BY id) = 1""")
+@query("u4_keep_first", f"""WITH {FRAME_SQL} SELECT {', '.join(FEATURES)}, id, label FROM frame WHERE status = 'P'
+QUALIFY row_number() OVER (PARTITION BY {', '.join(FEATURES)} ORDER BY id) = 1""")
 def keep_first(spark, sf_dir):
-    ref = archive(_f(spark, sf_dir)).select("qty_r", "lines", "prio", "id", "label")
-    return sets.keep_first(ref, ["qty_r", "lines", "prio"], "id")
+    ref = archive(_f(spark, sf_dir)).select(*FEATURES, "id", "label")
+    return sets.keep_first(ref, FEATURES, "id")
 
 
 # --- scalar families -----------------------------------------------------------------

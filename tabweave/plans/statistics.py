@@ -65,28 +65,17 @@ def _prior(rel: str) -> str:
     return f"(SELECT sum(label)::DOUBLE / count(*) FROM {rel})"
 
 
-def oof_sql(col: str, name: str, m: float, rel: str = "train", col2: str | None = None) -> str:
-    """Left-join fragment computing the out-of-fold value of one column by leaving the fold out."""
-    key = col if col2 is None else f"{col}, {col2}"
-    same = f"o.{col} IS NOT DISTINCT FROM t.{col}" + (f" AND o.{col2} IS NOT DISTINCT FROM t.{col2}" if col2 else "")
-    return f"""(SELECT t.{col}{', t.' + col2 if col2 else ''}, t.fold,
-        CASE WHEN coalesce(sum(o.n), 0) = 0 THEN {_prior(rel)}
-             ELSE (sum(o.s)::DOUBLE + {m} * {_prior(rel)}) / (sum(o.n) + {m})::DOUBLE END AS {name}
-      FROM (SELECT DISTINCT {key}, fold FROM {rel}) t
-      LEFT JOIN (SELECT {key}, fold, count(*) n, sum(label) s FROM {rel} GROUP BY ALL) o ON {same} AND o.fold <> t.fold GROUP BY ALL)"""
+def oof_sql(key: str, m: float, rel: str = "train") -> str:
+    """Out-of-fold value of each row of ``rel``: the key's totals less the row's own (key, fold) cell, by windows alone."""
+    rest = lambda what: f"({what} OVER (PARTITION BY {key}) - {what} OVER (PARTITION BY {key}, fold))"
+    n, s = rest("count(*)"), rest("sum(label)")
+    return f"CASE WHEN {n} = 0 THEN {_prior(rel)} ELSE ({s}::DOUBLE + {m} * {_prior(rel)}) / ({n} + {m})::DOUBLE END"
 
 
 ENC_COLS = ["lines", "qty_r", "prio", "seg"]
 _TRAIN = "train AS MATERIALIZED (SELECT * FROM frame WHERE split = 'train')"
 
 
-def _oof_join(cols: list[str], m: float) -> str:
-    return " ".join(
-        f"JOIN {oof_sql(c, 'te_' + c, m)} e{i} ON e{i}.{c} IS NOT DISTINCT FROM train.{c} AND e{i}.fold = train.fold"
-        for i, c in enumerate(cols)
-    )
-
-
 @query("a1_m_estimate", f"""WITH {FRAME_SQL}, {_TRAIN} {' UNION ALL '.join(
     f"SELECT '{c}' AS feature, {c} AS k1, count(*)::BIGINT AS n, sum(label)::BIGINT AS s, "
     + r(f'(sum(label)::DOUBLE + 3.0 * {_prior("train")}) / (count(*) + 3.0)::DOUBLE', 'enc') + f" FROM train GROUP BY {c}" for c in CATS)}""")
@@ -96,7 +85,7 @@ def m_estimate(spark, sf_dir):
 
 
 @query("a2_oof_target_encoding", f"""WITH {FRAME_SQL}, {_TRAIN}
-SELECT id, {', '.join(r('te_' + c, 'te_' + c) for c in ENC_COLS)} FROM train {_oof_join(ENC_COLS, 3.0)}""")
+SELECT id, {', '.join(r(oof_sql(c, 3.0), 'te_' + c) for c in ENC_COLS)} FROM train""")
 def oof_target_encoding(spark, sf_dir):
     train = _written(spark, sf_dir, "id", *ENC_COLS, "label", "fold", "split").filter(F.col("split") == "train")
     enc = encode.fit_encoding(train, ENC_COLS, "label", "fold")
@@ -126,9 +115,7 @@ _PAIRS = list(combinations(_PAIR_COLS, 2))
 
 
 @query("a5_pair_encoding", f"""WITH {FRAME_SQL}, {_TRAIN}
-SELECT id, {', '.join(r(f'te_{a}__{b}', f'te_{a}__{b}') for a, b in _PAIRS)} FROM train {' '.join(
-    f"JOIN {oof_sql(a, f'te_{a}__{b}', 10.0, col2=b)} p{i} ON p{i}.{a} IS NOT DISTINCT FROM train.{a} "
-    f"AND p{i}.{b} IS NOT DISTINCT FROM train.{b} AND p{i}.fold = train.fold" for i, (a, b) in enumerate(_PAIRS))}""")
+SELECT id, {', '.join(r(oof_sql(f'{a}, {b}', 10.0), f'te_{a}__{b}') for a, b in _PAIRS)} FROM train""")
 def pair_encoding(spark, sf_dir):
     train = _written(spark, sf_dir, "id", *_PAIR_COLS, "label", "fold", "split").filter(F.col("split") == "train")
     enc = encode.fit_encoding(train, _PAIRS, "label", "fold")
@@ -146,9 +133,8 @@ _GRID = [0.5, 1.0, 2.0, 3.0, 5.0, 10.0, 20.0]
 
 
 @query("m19_smoothing_sweep", f"""WITH {FRAME_SQL}, {_TRAIN}, cells AS ({' UNION ALL '.join(
-    f"SELECT '{c}' AS feature, train.label, o.n AS n, o.s AS s FROM train JOIN (SELECT t.{c}, t.fold, coalesce(sum(x.n), 0) AS n, coalesce(sum(x.s), 0) AS s "
-    f"FROM (SELECT DISTINCT {c}, fold FROM train) t LEFT JOIN (SELECT {c}, fold, count(*) n, sum(label) s FROM train GROUP BY ALL) x "
-    f"ON x.{c} IS NOT DISTINCT FROM t.{c} AND x.fold <> t.fold GROUP BY ALL) o ON o.{c} IS NOT DISTINCT FROM train.{c} AND o.fold = train.fold" for c in ENC_COLS)}),
+    f"SELECT '{c}' AS feature, label, count(*) OVER (PARTITION BY {c}) - count(*) OVER (PARTITION BY {c}, fold) AS n, "
+    f"sum(label) OVER (PARTITION BY {c}) - sum(label) OVER (PARTITION BY {c}, fold) AS s FROM train" for c in ENC_COLS)}),
 enc AS (SELECT feature, m, label, CASE WHEN n = 0 THEN {_prior('train')} ELSE (s::DOUBLE + m * {_prior('train')}) / (n::DOUBLE + m) END AS e
   FROM cells, (SELECT unnest([{', '.join(f'{m}::DOUBLE' for m in _GRID)}]) AS m))
 {auc_sql('enc', 'e', 'label', ('feature', 'm'))}""")
@@ -161,13 +147,16 @@ def smoothing_sweep(spark, sf_dir):
 
 # --- joins ------------------------------------------------------------------------------
 
-@query("j1_reference_anti_join", f"""WITH {FRAME_SQL}, {REF_SQL}
-SELECT id, label FROM ref WHERE NOT EXISTS (SELECT 1 FROM cur WHERE round(cur.lines, 8) IS NOT DISTINCT FROM round(ref.lines, 8)
-  AND round(cur.disc, 8) IS NOT DISTINCT FROM round(ref.disc, 8) AND round(cur.qty_r, 8) IS NOT DISTINCT FROM round(ref.qty_r, 8)
-  AND cur.prio IS NOT DISTINCT FROM ref.prio AND cur.seg IS NOT DISTINCT FROM ref.seg)""")
+def anti_sql(ref: str, cur: str) -> str:
+    """Condition that no row of ``cur`` equals the row of ``ref`` on all columns, numbers rounded."""
+    same = [f"round({cur}.{c}, 8) IS NOT DISTINCT FROM round({ref}.{c}, 8)" for c in CONT] + [f"{cur}.{c} IS NOT DISTINCT FROM {ref}.{c}" for c in CATS]
+    return f"NOT EXISTS (SELECT 1 FROM {cur} WHERE {' AND '.join(same)})"
+
+
+@query("j1_reference_anti_join", f"WITH {FRAME_SQL}, {REF_SQL} SELECT id, label FROM ref WHERE {anti_sql('ref', 'cur')}")
 def reference_anti_join(spark, sf_dir):
-    frame = _written(spark, sf_dir, "id", "label", "status", "lines", "disc", "qty_r", "prio", "seg")
-    return joins.null_safe_anti_join(archive(frame), current(frame), ["lines", "disc", "qty_r"], ["prio", "seg"]).select("id", "label")
+    frame = _written(spark, sf_dir, "id", "label", "status", *FEATURES)
+    return joins.null_safe_anti_join(archive(frame), current(frame), CONT, CATS).select("id", "label")
 
 
 @query("j2_encoding_lookup", f"""WITH {FRAME_SQL}, {REF_SQL}, e AS (SELECT qty, (sum(label)::DOUBLE + 3.0 * {_prior('ref')}) / (count(*) + 3.0)::DOUBLE AS enc
@@ -345,20 +334,20 @@ def split_moments(spark, sf_dir):
     return rounded(wide.withColumn("delta_mean", F.col("mean_test") - F.col("mean_train")))
 
 
-_EVENT_CUT = "TIMESTAMP '2024-01-16 00:00:00'"
-
-
-@query("a14_psi", f"""WITH e AS (SELECT value, length(props)::DOUBLE AS props_len, ts >= {_EVENT_CUT} AS late FROM events),
+@query("a14_psi", f"""WITH cut AS (SELECT quantile_cont(epoch_us(ts)::DOUBLE, 0.5) AS at FROM events),
+e AS (SELECT value, length(props)::DOUBLE AS props_len, epoch_us(ts)::DOUBLE >= cut.at AS late FROM events, cut),
 {', '.join(f'''q_{c} AS (SELECT quantile_cont({c}, [{', '.join(repr(i / 20) for i in range(21))}])[2:-2] AS inner_edges FROM e WHERE NOT late),
 s_{c} AS (SELECT b, greatest(count(*) FILTER (NOT late) / (SELECT count(*) FROM e WHERE NOT late)::DOUBLE, 1e-6) AS pa,
   greatest(count(*) FILTER (late) / (SELECT count(*) FROM e WHERE late)::DOUBLE, 1e-6) AS pb
   FROM (SELECT late, len(list_filter(inner_edges, lambda x: x <= {c})) AS b FROM e, q_{c}) GROUP BY b)''' for c in ('value', 'props_len'))}
 {' UNION ALL '.join(f"SELECT '{c}' AS feature, {r('sum((pa - pb) * ln(pa / pb))', 'psi')} FROM s_{c}" for c in ('value', 'props_len'))}""")
 def psi(spark, sf_dir):
+    """Earlier half of the events against the later half: the cut is the exact median time."""
     events = materialize(
-        table(spark, sf_dir, "events", "event_id").select("value", F.length("props").cast("double").alias("props_len"), (F.col("ts") >= F.expr(_EVENT_CUT)).alias("late")), "events"
+        table(spark, sf_dir, "events", "event_id").select("value", F.length("props").cast("double").alias("props_len"), F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("at")), "events"
     )
-    return rounded(profile.psi(events, ["value", "props_len"], F.col("late")))
+    late = F.col("at") >= F.lit(ordering.fit_medians(events, ["at"])["at"])
+    return rounded(profile.psi(events, ["value", "props_len"], late))
 
 
 _CLOSED = [("left", "<="), ("right", "<")]
@@ -438,11 +427,16 @@ def silverman_bandwidth(spark, sf_dir):
     return rounded(spark.createDataFrame(rows, "feature string, label int, n bigint, bandwidth double"))
 
 
-@query("a21_kernel_log_ratio", f"WITH {FRAME_SQL}, {REF_SQL}, {_KDE_SQL} SELECT f.id, {_KDE_OUT} FROM frame f {_KDE_JOIN}")
+# A column of few values and one of nearly as many values as rows.
+_RATIO_COLS = ["lines", "total_k"]
+
+
+@query("a21_kernel_log_ratio", f"""WITH {FRAME_SQL}, {REF_SQL}, {', '.join(_kde_sql(c) for c in _RATIO_COLS)}
+SELECT f.id, {', '.join(r(f'l_{c}.llr', f'{c}__ref_kde_llr') for c in _RATIO_COLS)} FROM frame f {' '.join(f'LEFT JOIN ll_{c} l_{c} ON l_{c}.v = f.{c}' for c in _RATIO_COLS)}""")
 def kernel_log_ratio(spark, sf_dir):
-    frame = _written(spark, sf_dir, "id", "status", "label", *KDE_COLS)
-    fits = refdist.fit_kernels(archive(frame), KDE_COLS, "label")
-    return rounded(refdist.add_kernel_log_ratio(frame, fits).select("id", *[f"{c}__ref_kde_llr" for c in KDE_COLS]))
+    frame = _written(spark, sf_dir, "id", "status", "label", *_RATIO_COLS)
+    fits = refdist.fit_kernels(archive(frame), _RATIO_COLS, "label")
+    return rounded(refdist.add_kernel_log_ratio(frame, fits).select("id", *[f"{c}__ref_kde_llr" for c in _RATIO_COLS]))
 
 
 # --- correlation, metrics -------------------------------------------------------------------
@@ -494,21 +488,20 @@ def auc_by_slice(spark, sf_dir):
 
 
 
-@query("a27_feature_auc", f"""WITH {FRAME_SQL}, {_TRAIN}, e AS (SELECT train.id, label, coalesce(train.lines, -999) AS raw_lines, coalesce(train.qty_r, -999) AS raw_qty_r,
-  te_lines, te_qty_r FROM train {_oof_join(['lines', 'qty_r'], 5.0)}), l AS ({melt_sql(['raw_lines', 'raw_qty_r', 'te_lines', 'te_qty_r'], 'e', 'label')})
+@query("a27_feature_auc", f"""WITH {FRAME_SQL}, {_TRAIN}, e AS (SELECT id, label, {', '.join(f'coalesce({c}, -999) AS raw_{c}' for c in CONT)},
+  {', '.join(f'{oof_sql(c, 5.0)} AS te_{c}' for c in FEATURES)} FROM train), l AS ({melt_sql([*[f'raw_{c}' for c in CONT], *[f'te_{c}' for c in FEATURES]], 'e', 'label')})
 {auc_sql('l', 'value', 'label', ('feature',))}""")
 def feature_auc(spark, sf_dir):
-    cols = ["lines", "qty_r"]
-    train = _written(spark, sf_dir, "id", *cols, "label", "fold", "split").filter(F.col("split") == "train")
-    encoded = encode.encode_oof(train, encode.fit_encoding(train, cols, "label", "fold"), "fold", 5.0)
-    raw = encoded.withColumns({f"raw_{c}": rw.numeric_or(c) for c in cols})
-    return rounded(metrics.auc_of_columns(raw, [f"{p}_{c}" for p in ("raw", "te") for c in cols], "label").select("feature", "auc"), 9)
+    train = _written(spark, sf_dir, "id", *FEATURES, "label", "fold", "split").filter(F.col("split") == "train")
+    encoded = encode.encode_oof(train, encode.fit_encoding(train, FEATURES, "label", "fold"), "fold", 5.0)
+    raw = encoded.withColumns({f"raw_{c}": rw.numeric_or(c) for c in CONT})
+    return rounded(metrics.auc_of_columns(raw, [*[f"raw_{c}" for c in CONT], *[f"te_{c}" for c in FEATURES]], "label").select("feature", "auc"), 9)
 
 
-@query("a28_duplicates", f"""WITH {FRAME_SQL}, g AS (SELECT count(*) AS n FROM frame GROUP BY lines, disc, tax, qty_r)
+@query("a28_duplicates", f"""WITH {FRAME_SQL}, g AS (SELECT count(*) AS n FROM frame GROUP BY {', '.join(FEATURES)})
 SELECT sum(n - 1)::BIGINT AS duplicates, count(*) FILTER (n > 1)::BIGINT AS groups FROM g""")
 def duplicates(spark, sf_dir):
-    return profile.duplicate_count(_frame(spark, sf_dir, "lines", "disc", "tax", "qty_r"), ["lines", "disc", "tax", "qty_r"])
+    return profile.duplicate_count(_frame(spark, sf_dir, *FEATURES), FEATURES)
 
 
 @query("a29_granularity", f"""WITH {FRAME_SQL}, l AS ({melt_sql(CONT, 'frame', 'id')}), d AS (SELECT DISTINCT feature, value FROM l WHERE value IS NOT NULL),

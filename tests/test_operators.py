@@ -7,7 +7,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tabweave.operators import encode, joins, metrics, ordering, profile, refdist
+from tabweave.functions import rowwise as rw
+from tabweave.operators import encode, joins, metrics, ordering, profile, refdist, stacking
 from tabweave.operators.blend import coarse_grid, fine_grid, search_blend_weight
 from tabweave.operators.folds import stratified_folds
 
@@ -113,11 +114,40 @@ def test_ecdf_matches_searchsorted(frame):
     assert got["v__ref_cdf"][~ok].isna().all()
 
 
-@pytest.mark.parametrize("exact_values", [10**6, 0])
-def test_kernel_log_ratio_matches_brute_force(frame, exact_values):
+def test_kernel_log_ratio_is_defined_far_from_the_reference(spark):
+    rng = np.random.default_rng(3)
+    values = rng.normal(0, 1, 6_000)
+    ref = spark.createDataFrame([(float(v), int(v + rng.normal() > 0)) for v in values], "x double, y int")
+    fit = refdist.fit_kernels(ref, ["x"], "y")["x"]
+    far = [-1e6, -300.0, -60.0, -20.0, 20.0, 30.0, 45.0, 60.0, 100.0, 260.0, 1e6]
+    got = spark.createDataFrame([(v,) for v in far], "x double").select("x", refdist.kernel_log_ratio(F.col("x"), fit).alias("r")).toPandas().set_index("x")["r"]
+    assert got.notna().all() and np.isfinite(got.to_numpy(float)).all() and (got.abs() <= 20).all()
+
+
+def test_within_row_rank_leaves_null_members_out(spark):
+    df = spark.createDataFrame([(0.5, None, 0.2), (None, None, None)], "a double, b double, c double")
+    got = [r["z"] for r in df.select(rw.within_row_rank_z(["a", "b", "c"], 10).alias("z")).collect()]
+    assert [x["rank"] for x in got[0]] == [0.2, None, 0.1] and got[0][1]["z"] is None
+    assert all(x["rank"] is None and x["z"] is None for x in got[1])
+
+
+def test_regime_stack_scores_regimes_that_only_test_rows_have(spark):
+    rows = [(i, float(i % 2), "train" if i % 3 else "test", i % 3, "r0", ((i * 37) % 101) / 102, ((i * 53) % 101) / 102) for i in range(90)]
+    rows += [(100 + i, 0.0, "test", 0, None if i % 2 else "new", i / 12 + 0.01, 0.5) for i in range(10)]
+    df = spark.createDataFrame(rows, "id long, label double, split string, fold int, regime string, m_a double, m_b double")
+    out = stacking.regime_stack(df, ["m_a", "m_b"], "regime", 3, 10, ["m_a"]).toPandas()
+    assert len(out) == 100 and out["id"].nunique() == 100 and out["score"].between(0, 1).all()
+
+
+def test_encoding_leaves_rows_without_label_out(spark):
+    df = spark.createDataFrame([("a", 1, 0), ("a", 0, 1), ("a", None, 0), ("b", None, 1)], "k string, y int, fold int")
+    enc = encode.fit_encoding(df, ["k"], "y", "fold")
+    assert enc.prior == 0.5 and [(r["k1"], r["n"]) for r in enc.totals.collect()] == [("a", 2)]
+
+
+def test_kernel_log_ratio_matches_brute_force(frame):
     df, pdf = frame
-    fit = refdist.fit_kernels(df, ["x"], "y", exact_values)["x"]
-    assert fit.exact is (exact_values > 0)
+    fit = refdist.fit_kernels(df, ["x"], "y")["x"]
     got = refdist.add_kernel_log_ratio(df, {"x": fit}).toPandas().set_index("id").sort_index()["x__ref_kde_llr"]
     z = ((pdf.x - pdf.x.mean()) / pdf.x.std(ddof=0)).to_numpy()
     logs = []

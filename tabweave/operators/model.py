@@ -203,7 +203,11 @@ def importances(models: Sequence[Model], columns: Sequence[str]) -> list[tuple[s
 # --- linear blends from a Gram matrix --------------------------------------------------
 
 def gram(df: DataFrame, cols: Sequence[str], target: str) -> DataFrame:
-    """Upper triangle of X'X and X'y with an intercept column, from one aggregation: (a, b, value)."""
+    """Upper triangle of X'X and X'y with an intercept column, from one aggregation: (a, b, value).
+
+    Rows with a missing value are left out of every sum, so the matrix is that of one set of rows.
+    """
+    df = df.dropna(subset=[*cols, target])
     names = ["1", *cols]
     value = {"1": F.lit(1.0), **{c: F.col(c).cast("double") for c in cols}}
     cells, aggs = [], []
@@ -216,8 +220,13 @@ def gram(df: DataFrame, cols: Sequence[str], target: str) -> DataFrame:
     return df.agg(*aggs).select(F.inline(F.array(*cells)))
 
 
-def nonnegative_weights(gram_rows: list, cols: Sequence[str], target: str, sweeps: int = 2_000) -> dict[str, float]:
-    """Least-squares weights >= 0 (intercept included) by coordinate descent on the small Gram matrix."""
+def nonnegative_weights(gram_rows: list, cols: Sequence[str], target: str) -> dict[str, float]:
+    """Least-squares weights >= 0 (intercept included) from the small Gram matrix, by an active set.
+
+    The column whose weight would lower the error most joins the set, the set is solved, and
+    columns that a solution pushes below zero leave it; it ends when no column outside helps.
+    Not settled after many rounds: an error, never weights half way.
+    """
     names = ["1", *cols]
     at = {n: i for i, n in enumerate(names)}
     g, t = np.zeros((len(names), len(names))), np.zeros(len(names))
@@ -226,16 +235,30 @@ def nonnegative_weights(gram_rows: list, cols: Sequence[str], target: str, sweep
             t[at[a]] = v
         else:
             g[at[a], at[b]] = g[at[b], at[a]] = v
-    w = np.zeros(len(names))
-    for _ in range(sweeps):
-        move = 0.0
-        for j in range(len(names)):
-            if g[j, j] > 0:
-                new = max(0.0, w[j] + (t[j] - g[j] @ w) / g[j, j])
-                move, w[j] = max(move, abs(new - w[j])), new
-        if move < 1e-12:
-            break
-    return dict(zip(names, (float(x) for x in w), strict=True))
+    scale = np.sqrt(np.where(np.diag(g) > 0, np.diag(g), 1.0))
+    g, t = g / scale[:, None] / scale[None, :], t / scale
+    w, inside = np.zeros(len(names)), np.zeros(len(names), bool)
+    small = 1e-11 * max(1.0, float(np.abs(t).max(initial=0.0)))
+    for _ in range(30 * len(names)):
+        gain = np.where(inside | (np.diag(g) <= 0), -np.inf, t - g @ w)
+        j = int(gain.argmax())
+        if gain[j] <= small:
+            return dict(zip(names, (float(x) for x in w / scale), strict=True))
+        inside[j] = True
+        while inside.any():
+            on = np.flatnonzero(inside)
+            best = np.zeros(len(names))
+            best[on] = np.linalg.lstsq(g[np.ix_(on, on)], t[on], rcond=1e-13)[0]
+            low = on[best[on] <= 0]
+            if not len(low):
+                w = best
+                break
+            step = min(1.0, float((w[low] / np.maximum(w[low] - best[low], 1e-300)).min()))
+            w = np.maximum(w + step * (best - w), 0.0)
+            drop = low[w[low] <= 1e-14]
+            inside[drop if len(drop) else low[:1]] = False
+            w[~inside] = 0.0
+    raise ArithmeticError("the non-negative weights did not settle")
 
 
 # --- imputation --------------------------------------------------------------------------

@@ -64,3 +64,29 @@ def test_fitted_encoding_scores_a_stream(spark, sf_dir):
     got = spark.read.parquet(sink)
     want = encode.encode_full(df, enc)
     assert got.exceptAll(want.select(got.columns)).count() == 0 and got.count() == want.count()
+
+
+def test_nonnegative_weights_solve_collinear_columns():
+    import numpy as np
+
+    from tabweave.operators.model import nonnegative_weights
+
+    rng = np.random.default_rng(1)
+    base = rng.random(500)
+    x = np.column_stack([np.ones(500), *[base + rng.normal(0, 1e-3, 500) for _ in range(6)], rng.random(500)])
+    y = 0.2 + 0.5 * x[:, 2] + 0.3 * x[:, 7] + rng.normal(0, 0.05, 500)
+    names = ["1", *[f"c{i}" for i in range(7)]]
+    g = x.T @ x
+    rows = [(names[i], names[j], g[i, j]) for i in range(8) for j in range(i, 8)] + [(names[i], "y", float(x[:, i] @ y)) for i in range(8)]
+    w = nonnegative_weights(rows, names[1:], "y")
+    v = np.array([w[n] for n in names])
+    slope = x.T @ (x @ v - y)
+    assert (v >= 0).all() and (slope > -1e-6).all() and (np.abs(slope[v > 0]) < 1e-6).all()
+
+
+def test_gram_leaves_incomplete_rows_out(spark):
+    from tabweave.operators.model import gram
+
+    df = spark.createDataFrame([(1.0, 2.0, 1.0), (None, 3.0, 1.0), (2.0, None, 0.0), (3.0, 1.0, 0.0)], "a double, b double, y double")
+    got = {(r["a"], r["b"]): r["value"] for r in gram(df, ["a", "b"], "y").collect()}
+    assert got["1", "1"] == 2 and got["a", "b"] == 5 and got["b", "b"] == 5 and got["a", "y"] == 1

@@ -20,6 +20,8 @@ from tabweave.llm.common import hash_strings, pieces
 CACHE_FIELDS = 1_500_000
 #: New fields are encoded in lists of this many, so that their encodings don't pile up.
 ENCODE_AT_ONCE = 20_000
+#: Marks that are cut off a field's end, behind what they are cut, and how many at most.
+_TAIL, _SOLID, _LONGEST_TAIL = ".,;:!?*$%#&", "[A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]$", 8
 #: A space between two characters that are no white space of any kind: no token crosses it.
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 
@@ -91,11 +93,43 @@ class FieldEncoder:
             counts = np.diff(offsets)
         coded = flat.dictionary_encode()
         codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        starts, lengths = self.fields(coded.dictionary.to_numpy(zero_copy_only=False))
-        per_field = lengths[codes]
-        out = self.ids[pieces(starts[codes], per_field)]
-        ends = np.concatenate([[0], np.cumsum(per_field)])
-        return ends[np.concatenate([[0], np.cumsum(counts)])], out
+        starts, lengths, tail = self._with_tails(coded.dictionary)
+        # one or two lookups a field, in order
+        twice = tail[codes] >= 0
+        at = np.arange(len(codes)) + np.concatenate([[0], np.cumsum(twice)])[:-1]
+        unit = np.empty(len(codes) + int(twice.sum()), np.int64)
+        unit[at] = codes
+        unit[at[twice] + 1] = tail[codes[twice]]
+        per_unit = lengths[unit]
+        out = self.ids[pieces(starts[unit], per_unit)]
+        ends = np.concatenate([[0], np.cumsum(per_unit)])
+        first = np.concatenate([at, [len(unit)]])
+        return ends[first[np.concatenate([[0], np.cumsum(counts)])]], out
+
+    def _with_tails(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and lengths of each distinct field without the marks at its end, then of those marks; which marks follow it (-1: none).
+
+        A run of marks behind a letter or digit is a token boundary in both vocabularies, so fields that only differ in it are encoded once.
+        """
+        core = pc.utf8_rtrim(distinct, characters=_TAIL)
+        cut = pc.and_(pc.less(pc.binary_length(core), pc.binary_length(distinct)), pc.match_substring_regex(core, _SOLID))
+        core = pc.if_else(cut, core, distinct)
+        marks = pc.utf8_slice_codeunits(distinct.filter(cut), -_LONGEST_TAIL)
+        marks = pc.replace_substring_regex(marks, pattern="^.*[^" + re.escape(_TAIL) + "]", replacement="")
+        short = pc.equal(pc.add(pc.binary_length(core.filter(cut)), pc.binary_length(marks)), pc.binary_length(distinct.filter(cut)))
+        on = np.flatnonzero(cut.to_numpy(zero_copy_only=False))
+        fine = short.to_numpy(zero_copy_only=False)
+        if not fine.all():  # longer runs of marks stay with their field
+            core = pc.if_else(pa.array(np.isin(np.arange(len(distinct)), on[~fine])), distinct, core)
+            on, marks = on[fine], marks.filter(short)
+        cores, tails = core.dictionary_encode(), marks.dictionary_encode()
+        every = np.concatenate([cores.dictionary.to_numpy(zero_copy_only=False), tails.dictionary.to_numpy(zero_copy_only=False)])
+        starts, lengths = self.fields(every)
+        n = len(cores.dictionary)
+        core_at = cores.indices.to_numpy(zero_copy_only=False)
+        tail = np.full(len(distinct), -1, np.int64)
+        tail[on] = len(distinct) + tails.indices.to_numpy(zero_copy_only=False)
+        return np.concatenate([starts[core_at], starts[n:]]), np.concatenate([lengths[core_at], lengths[n:]]), tail
 
     def _spaced(self, texts: pa.Array, flat: pa.Array, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
         """Fields with the space before them, where that space surely starts a token; else the field is joined to the one before."""

@@ -132,6 +132,14 @@ def fit_all(spark: SparkSession, fits: Sequence[Callable[[], Model]], parallelis
         return pool.map(lambda task: task(), [inheritable_thread_target(spark)(f) for f in fits])
 
 
+_WATCHED = "_watched"
+
+
+def _watched(estimator: Estimator) -> Estimator:
+    """A booster that stops, and is cut, where rows marked by ``_WATCHED`` stop improving."""
+    return estimator.copy().setValidationIndicatorCol(_WATCHED)
+
+
 def kfold_oof(
     frame: Frame,
     estimator: Callable[[int], Estimator] | Estimator,
@@ -139,20 +147,30 @@ def kfold_oof(
     test_mode: str = "mean",
     keep: Sequence[str] = (),
     train_filter: Column | None = None,
+    early_stop: bool = False,
 ) -> OofResult:
     """Fit on the other folds, score the own fold; test rows get the fold mean or one refit.
 
+    With ``early_stop`` a booster watches its own fold while it grows, and the fold's model is cut
+    to the rounds that fold liked best; a refit grows the mean of those rounds.
+
     Rows in fold -1 (pseudo rows) train in every fold and are never scored.  Fold models
     are applied to the test side inside one projection, so averaging needs no shuffle.
     """
     train = frame.train if train_filter is None else frame.train.filter(train_filter)
     make = estimator if callable(estimator) else (lambda _n: estimator)
     n = train.count()
-    fits = [lambda i=i: make(n * (k - 1) // k).fit(train.filter(F.col("fold") != i)) for i in range(k)]
-    if test_mode == "refit":
+    if early_stop:
+        fits = [lambda i=i: _watched(make(n * (k - 1) // k)).fit(train.withColumn(_WATCHED, F.col("fold") == i)) for i in range(k)]
+    else:
+        fits = [lambda i=i: make(n * (k - 1) // k).fit(train.filter(F.col("fold") != i)) for i in range(k)]
+    if test_mode == "refit" and not early_stop:
         fits.append(lambda: make(n).fit(train))
     fitted = fit_all(frame.data.sparkSession, fits)
     models = fitted[:k]
+    if test_mode == "refit" and early_stop:
+        rounds = max(1, round(sum(m.getNumTrees for m in models) / k))
+        fitted.append(make(n).copy().setMaxIter(rounds).fit(train))
     oof = None
     for i, m in enumerate(models):
         part = score(m, train.filter(F.col("fold") == i), ["id", "label", "fold", *keep])
@@ -173,11 +191,13 @@ def oof_auc(result: OofResult) -> float | None:
     return auc_value(result.oof, "score", "label")
 
 
-def train_members(frame: Frame, members: dict[str, Estimator | Callable[[int], Estimator]], k: int, test_mode: str = "mean") -> DataFrame:
-    """Long prediction table of several members, written once."""
+def train_members(
+    frame: Frame, members: dict[str, Estimator | Callable[[int], Estimator]], k: int, test_mode: str = "mean", early_stop: Sequence[str] = ()
+) -> DataFrame:
+    """Long prediction table of several members, written once; boosters named in ``early_stop`` watch their own fold."""
     out = None
     for name, est in members.items():
-        one = kfold_oof(frame, est, k, test_mode).long(name)
+        one = kfold_oof(frame, est, k, test_mode, early_stop=name in early_stop).long(name)
         out = one if out is None else out.unionByName(one)
     return materialize(out, "pred")
 

@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 
 from tabweave.functions import rowwise as rw
 from tabweave.operators import encode, joins, metrics, model, prep, sets, stacking
-from tabweave.operators.blend import rank_average, rank_average_long, rank_columns, two_way
+from tabweave.operators.blend import apply_weight, rank_average, rank_average_long, rank_columns, search_blend_weight, two_way
 from tabweave.operators.folds import stratified_folds
 from tabweave.operators.members import pivot_members, standardise
 from tabweave.plans.catalog import query, r, rounded
 from tabweave.plans.frames import CATS, CONT, FEATURES, FRAME_SQL, MEMBERS, MEMBERS_SQL, member_frame, order_frame
-from tabweave.plans.matrix import derived
-from tabweave.session import materialize
+from tabweave.plans.matrix import MatrixSpec, build_matrix, derived, matrix_columns
+from tabweave.session import materialize, new_path
+from tabweave.sources.tables import write_scored
 
 K = 3
 BASE = ("id", "label", "fold", "split")
@@ -54,6 +55,40 @@ def _auc_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return rounded(spark.createDataFrame(rows, schema))
 
 
+# --- the whole pipeline ------------------------------------------------------------------
+
+def run_pipeline(frame: DataFrame, k: int, boosters: dict, second, spec: MatrixSpec = MatrixSpec()) -> tuple[DataFrame, DataFrame, float]:
+    """From the frame to blended scores: (scores, written member table, weight).
+
+    Folds are stratified; the matrix is fitted on the cleaned reference; boosters stop early on
+    their own fold and are rank-averaged on each side, the second family joins them with the weight that is best on
+    out-of-fold rows, and that weight is applied to the test side.
+    """
+    folds = stratified_folds(frame.filter(F.col("split") == "train").select("id", "label"), "id", "label", k).select("id", "fold")
+    matrix = materialize(build_matrix(frame.drop("fold").join(folds, "id", "left"), spec), "matrix")
+    table = model.model_frame(matrix, matrix_columns(matrix))
+    pred = model.train_members(table, {**boosters, "second": second}, k, early_stop=list(boosters))
+    wide = pivot_members(pred, [*boosters, "second"], ("id", "split"))
+    labelled = materialize(wide.join(matrix.select("id", "label", "fold"), "id"), "members")
+    sides = {s: materialize(rank_average(labelled.filter(F.col("split") == s), list(boosters), "boost"), "boost") for s in ("train", "test")}
+    weight, _ = search_blend_weight(sides["train"], "boost", "second", "label")
+    scores = None
+    for part in sides.values():
+        one = apply_weight(part, "boost", "second", weight)
+        scores = one if scores is None else scores.unionByName(one)
+    return scores, pred, weight
+
+
+@query("l1_pipeline")
+def main_pipeline(spark, sf_dir):
+    """Every current order scored once, written to the sink and read back."""
+    boosters = model.booster_family(3)
+    scores, _, weight = run_pipeline(order_frame(spark, sf_dir), K, boosters, lambda n: model.logistic(n))
+    path = new_path(spark, "scores")
+    write_scored(scores.select("id", "split", "fold", *boosters, "second", "boost", "score").withColumn("weight", F.lit(weight)), path, "parquet")
+    return spark.read.parquet(path)
+
+
 # --- members -----------------------------------------------------------------------------
 
 @query("m1_kfold_oof")
@@ -70,12 +105,11 @@ def boosted_members(spark, sf_dir):
 
 @query("m2_early_stopping")
 def early_stopping(spark, sf_dir):
-    """Rounds kept per fold: the prefix with the lowest loss on the fold left out."""
+    """Rounds allowed and rounds kept per fold: the fold left out decides where its model is cut."""
     frame = model.model_frame(feature_table(spark, sf_dir), RAW)
-    rows = []
-    for i in range(K):
-        fitted = model.gbt(maxIter=6, maxDepth=3, stepSize=0.5).fit(frame.train.filter(F.col("fold") != i))
-        rows.append((i, fitted.getNumTrees, model.best_prefix(fitted, frame.train.filter(F.col("fold") == i))))
+    limit = 6
+    res = model.kfold_oof(frame, model.gbt(maxIter=limit, maxDepth=3, stepSize=0.5), K, early_stop=True)
+    rows = [(i, limit, m.getNumTrees) for i, m in enumerate(res.models)]
     return spark.createDataFrame(rows, "fold int, fitted_rounds int, best_rounds int")
 
 

@@ -90,3 +90,26 @@ def test_gram_leaves_incomplete_rows_out(spark):
     df = spark.createDataFrame([(1.0, 2.0, 1.0), (None, 3.0, 1.0), (2.0, None, 0.0), (3.0, 1.0, 0.0)], "a double, b double, y double")
     got = {(r["a"], r["b"]): r["value"] for r in gram(df, ["a", "b"], "y").collect()}
     assert got["1", "1"] == 2 and got["a", "b"] == 5 and got["b", "b"] == 5 and got["a", "y"] == 1
+
+
+def test_main_pipeline_scores_every_current_row_once(spark, sf_dir):
+    import numpy as np
+
+    from tabweave.plans.frames import current, order_frame
+    from tabweave.plans.registry import QUERIES
+
+    got = QUERIES["l1_pipeline"](spark, sf_dir).toPandas()
+    want = current(order_frame(spark, sf_dir)).select("id", "split", "label").toPandas()
+    assert sorted(got.id) == sorted(want.id)
+    assert got[["gbt_deep", "gbt_wide", "gbt_plain", "second", "boost", "score"]].notna().all().all() and got.weight.nunique() == 1
+    train = got[got.split == "train"]
+    assert train.fold.notna().all() and train.groupby("fold").size().pipe(lambda n: n.max() - n.min()) <= len(train)
+    for _, part in got.groupby("split"):  # blends recomputed from the written member scores
+        boost = sum(part[m].rank() for m in ("gbt_deep", "gbt_wide", "gbt_plain")) / 3 / len(part)
+        np.testing.assert_allclose(part.boost, boost, atol=1e-9)
+        w = part.weight.iloc[0]
+        mix = w * part.boost.rank() + (1 - w) * part.second.rank()
+        np.testing.assert_allclose(part.score, mix / mix.max(), atol=1e-9)
+    m = train.merge(want[["id", "label"]], on="id")
+    rank, n1 = m.score.rank(), int(m.label.sum())
+    assert (rank[m.label == 1].sum() - n1 * (n1 + 1) / 2) / (n1 * (len(m) - n1)) > 0.8

@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
-from conftest import documents
+from odd_rows import documents
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 

@@ -130,8 +130,13 @@ def block_candidates(loose: DataFrame, dim: int, squared: float) -> DataFrame:
         if len(left) and len(right):
             width = len(columns[k])
             x, y = matrix(part.take(pa.array(left)), width), matrix(part.take(pa.array(right)), width)
+            # -|x - y|^2 / 2 as one product in single precision; the bound has room for its rounding
+            fx, fy = ((m * m).sum(axis=1)[:, None] / -2 for m in (x, y))
+            x = np.hstack([x, fx, np.ones_like(fx)]).astype(np.float32)
+            y = np.hstack([y, np.ones_like(fy), fy]).astype(np.float32).T.copy()
+            bound = np.float32(-budget[k] / 2 - 4e-6)
             for s in range(0, len(left), 1024):
-                who, what = np.nonzero(square_distances(x[s : s + 1024], y) <= budget[k])
+                who, what = np.nonzero(x[s : s + 1024] @ y >= bound)
                 p, q = left[s + who], right[what]
                 once = (row[p] < row[q]) | (~home[q] & (row[p] != row[q]))
                 a.append(np.minimum(row[p], row[q])[once])

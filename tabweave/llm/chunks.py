@@ -155,9 +155,12 @@ def answers(asked: DataFrame, fn: Callable[[list[int], list[int], list[list[np.n
     return keep(asked.groupBy("fragment").applyInArrow(run, "chunk long, fragment int, reply binary"), "answers")
 
 
-def with_answers(chunks: DataFrame, replies: DataFrame, name: str) -> DataFrame:
-    """Chunks and their replies in order of fragments, as a column ``name`` (null: nothing was asked)."""
-    size = replies.agg(F.sum(F.length("reply"))).first()[0] or 0
+def with_answers(chunks: DataFrame, replies: DataFrame, name: str, small: bool = True) -> DataFrame:
+    """Chunks and their replies in order of fragments, as a column ``name`` (null: nothing was asked).
+
+    Replies that may be ``small`` are measured and broadcast if they are; others are always shuffled.
+    """
+    size = (replies.agg(F.sum(F.length("reply"))).first()[0] or 0) if small else BROADCAST_BYTES + 1
     mine = replies.groupBy(F.col("chunk").alias("_chunk")).agg(F.transform(F.sort_array(F.collect_list(F.struct("fragment", "reply"))), lambda x: x["reply"]).alias(name))
     return chunks.join(F.broadcast(mine) if size <= BROADCAST_BYTES else mine, F.col("chunk") == F.col("_chunk"), "left").drop("_chunk")
 

@@ -20,9 +20,9 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabweave.llm.common import batches_by_bytes, coded_words, column_of, keep
+from tabweave.llm.common import batches_by_bytes, coded_words, column_of, keep, trim, trimmed
 
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 #: Entries of a fragment, about; the number of fragments follows the corpus.
 FRAGMENT_ENTRIES = 1 << 20
 #: Answers up to this size are broadcast to the chunks; beyond, both are shuffled by chunk.
@@ -104,7 +104,7 @@ def chunk_documents(docs: DataFrame, mark: Column | None = None) -> DataFrame:
         F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"),
         (F.lit(0) if mark is None else mark).cast("int").alias("mark"), F.xxhash64("text").alias("key"),
     )
-    return keep(rows.mapInArrow(run, "chunk long, tokens long, body binary"), "chunks")
+    return keep(rows.mapInArrow(trimmed(run), "chunk long, tokens long, body binary"), "chunks")
 
 
 def fragments_for(chunks: DataFrame, per_token: float = 1.0) -> int:
@@ -116,14 +116,18 @@ def each_chunk(chunks: DataFrame, fn: Callable[..., Iterator[dict]], schema: str
     """Rows (as dicts of arrays, one dict a batch) that ``fn(chunk, {column: value})`` makes of every chunk."""
     extra = [c for c in chunks.columns if c not in ("chunk", "tokens", "body")]
 
+    def one(b: pa.RecordBatch, i: int) -> list[pa.RecordBatch]:
+        ids, marks, keys, lengths, codes, hashes = stretch(b.column("body")[i].as_py())
+        offsets = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+        chunk = Chunk(b.column("chunk")[i].as_py(), ids, marks, keys, offsets, codes, hashes)
+        found = fn(chunk, {c: b.column(c)[i].as_py() for c in extra})
+        return [pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v) for v in out.values()], names=list(out)) for out in found]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                ids, marks, keys, lengths, codes, hashes = stretch(b.column("body")[i].as_py())
-                offsets = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
-                chunk = Chunk(b.column("chunk")[i].as_py(), ids, marks, keys, offsets, codes, hashes)
-                for out in fn(chunk, {c: b.column(c)[i].as_py() for c in extra}):
-                    yield pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v) for v in out.values()], names=list(out))
+                yield from one(b, i)
+                trim()
 
     return chunks.mapInArrow(run, schema)
 
@@ -144,7 +148,7 @@ QUESTION = "fragment int, chunk long, tag int, part binary"
 def answers(asked: DataFrame, fn: Callable[[list[int], list[int], list[list[np.ndarray]]], Iterator[tuple[int, bytes]]]) -> DataFrame:
     """Written table (chunk, fragment, reply): ``fn(chunks, tags, parts)`` sees all that reached one fragment."""
 
-    def run(group: pa.Table) -> pa.Table:
+    def reply(group: pa.Table) -> pa.Table:
         parts = [stretch_sorted(x) for x in group.column("part").to_pylist()]
         fragment = group.column("fragment")[0].as_py()
         got = list(fn(group.column("chunk").to_pylist(), group.column("tag").to_pylist(), parts))
@@ -152,6 +156,11 @@ def answers(asked: DataFrame, fn: Callable[[list[int], list[int], list[list[np.n
             {"chunk": pa.array([c for c, _ in got], pa.int64()), "fragment": pa.array([fragment] * len(got), pa.int32()), "reply": pa.array([r for _, r in got], pa.binary())}
         )
 
+    def run(group: pa.Table) -> pa.Table:
+        out = reply(group)
+        trim()
+        return out
+
     return keep(asked.groupBy("fragment").applyInArrow(run, "chunk long, fragment int, reply binary"), "answers")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable
 
 import numpy as np
@@ -52,6 +53,25 @@ def rows_of(n_total: int, per_group: int, least: int = 1) -> int:
 # ---- numpy and Arrow inside tasks
 
 
+def trim() -> None:
+    """Give freed memory back to the system; a worker's allocators would keep it for the worker's life."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def trimmed(fn):
+    """A task over batches that gives back its memory when it ends."""
+
+    def run(batches):
+        yield from fn(batches)
+        trim()
+
+    return run
+
+
 def words_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
     """Words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased: offsets per text and all words in a row.
 

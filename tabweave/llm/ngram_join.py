@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabweave.llm.chunks import QUESTION, Chunk, answers, chunk_documents, each_chunk, fragments_for, joined, questions, squeeze, with_answers
-from tabweave.llm.common import gram_hashes, keep, mix, query, signed, table
+from tabweave.llm.chunks import BROADCAST_BYTES, QUESTION, Chunk, answers, chunk_documents, each_chunk, fragments_for, joined, questions, squeeze, with_answers
+from tabweave.llm.common import gram_hashes, keep, mix, query, signed, table, trimmed
 from tabweave.llm.graph import components
 from tabweave.operators.joins import lookup
 
@@ -160,7 +160,7 @@ def _segments(sets: DataFrame, n_fragments: int) -> DataFrame:
                         part.append(keys[a:z].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(frag, pa.int32()), pa.array(part, pa.binary())], names=["node", "fragment", "part"])
 
-    return keep(sets.select("node", "shingles").mapInArrow(cut, "node long, fragment int, part binary"), "segments")
+    return keep(sets.select("node", "shingles").mapInArrow(trimmed(cut), "node long, fragment int, part binary"), "segments")
 
 
 def _linked(pairs: DataFrame, segments: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -177,7 +177,7 @@ def _linked(pairs: DataFrame, segments: DataFrame, sets: DataFrame, percent: int
 
     left = pairs.join(segments.select(F.col("node").alias("a"), "fragment", F.col("part").alias("left")), "a")
     both = left.join(segments.select(F.col("node").alias("b"), "fragment", F.col("part").alias("right")), ["b", "fragment"])
-    summed = both.select("a", "b", "left", "right").mapInArrow(overlap, "a long, b long, common long").groupBy("a", "b").agg(F.sum("common").alias("common"))
+    summed = both.select("a", "b", "left", "right").mapInArrow(trimmed(overlap), "a long, b long, common long").groupBy("a", "b").agg(F.sum("common").alias("common"))
     sizes = sets.select("node", "n")
     sized = summed.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
     return sized.filter(F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * percent).select("a", "b")
@@ -200,7 +200,7 @@ def _cross_pairs(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(raw or [np.zeros(0, np.int64)])), b.column("node").take(at), b.column("n").take(at), b.column("component").take(at)], names=["key", "node", "n", "component"])
 
     labelled = sets.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")).select("node", "n", "skipped", "shingles", "component")
-    rows = keep(labelled.mapInArrow(prefixes, "key long, node long, n long, component long"), "prefixes")
+    rows = keep(labelled.mapInArrow(trimmed(prefixes), "key long, node long, n long, component long"), "prefixes")
     several = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
     lists = rows.join(several, "key").groupBy("key", "component", F.pmod(F.xxhash64("node"), F.lit(LIST_PARTS)).alias("part")).agg(F.collect_list(F.struct("node", "n")).alias("nodes"))
     lists = lists.select("key", "component", "nodes")
@@ -212,11 +212,10 @@ def _cross_pairs(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
 
 
 def jaccard_groups(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = 75) -> DataFrame:
-    """Groups of documents whose ``k``-word shingle sets are linked by similarity: doc_id, key, n_shingles, component_id.
+    """Groups of documents whose ``k``-word shingle sets are linked by similarity: doc_id, n_shingles, component_id.
 
     Documents link when 100 * intersection >= percent * union; component_id is the smallest
-    doc_id that links lead to.  One row a document (repeated rows too); ``key`` is the hash of its
-    text.  Null and blank texts have no shingles and stay alone; null ids are carried and never are
+    doc_id that links lead to.  One row a document (repeated rows too).  Null and blank texts have no shingles and stay alone; null ids are carried and never are
     a component's smallest unless all are null.  Other columns are ignored.
 
     1. Equal sets become one node.
@@ -230,7 +229,8 @@ def jaccard_groups(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = 75) -
     rows = _sets(chunks, k)
     classes = keep(rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.min(F.struct("chunk", "doc")).alias("first")), "classes")
     mine = classes.groupBy(F.col("first.chunk").alias("_c")).agg(F.collect_list("first.doc").alias("mine"), F.collect_list("node").alias("nodes"))
-    picked = chunks.join(mine, F.col("chunk") == F.col("_c"), "left").drop("_c")
+    # two numbers a node: broadcast while that is small, else both sides are shuffled by chunk
+    picked = chunks.join(F.broadcast(mine) if classes.count() * 16 <= BROADCAST_BYTES else mine, F.col("chunk") == F.col("_c"), "left").drop("_c")
     levels = _frequencies(picked, k)
     sets = _candidates(with_answers(picked, levels, "levels"), k, percent)
     segments = _segments(sets, ORDER_FRAGMENTS)
@@ -246,15 +246,8 @@ def jaccard_groups(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = 75) -
     least = final.join(classes.select("node", "least"), "node").groupBy("component").agg(F.min("least").alias("found"))
     named = final.join(least, "component").select("node", "found")
     labels = keep(classes.join(named, "node", "left").select(F.col("node").alias("cls"), F.coalesce("found", "least").alias("label"), "copies"), "labels")
-    out = lookup(rows.join(_keys(chunks), ["chunk", "doc"]), labels, {"cls": F.col("node")}, ["label"], weight="copies")
-    return out.select("doc_id", "key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("label")).otherwise(F.col("doc_id")).alias("component_id"))
-
-
-def _keys(chunks: DataFrame) -> DataFrame:
-    def fn(chunk: Chunk, _: dict) -> Iterator[dict]:
-        yield {"chunk": pa.array(np.full(len(chunk.ids), chunk.number)), "doc": pa.array(np.arange(len(chunk.ids), dtype=np.int32)), "key": pa.array(chunk.keys)}
-
-    return each_chunk(chunks, fn, "chunk long, doc int, key long")
+    out = lookup(rows, labels, {"cls": F.col("node")}, ["label"], weight="copies")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("label")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one_of_each_group(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = 75) -> DataFrame:

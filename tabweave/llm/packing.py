@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabweave.llm.common import batches_by_bytes, column_of, keep, query, table
+from tabweave.llm.common import batches_by_bytes, column_of, keep, query, table, trimmed
 from tabweave.llm.tokens import encoder
 from tabweave.operators.ordering import row_index
 
@@ -53,7 +53,7 @@ def cut_documents(docs: DataFrame, path: str, length: int = SEQUENCE, end_id: in
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
-    return rows.mapInArrow(run, kind)
+    return rows.mapInArrow(trimmed(run), kind)
 
 
 def fullest(free: int, lengths: list[int], counts: dict[int, int]) -> list[int]:

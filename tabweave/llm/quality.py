@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabweave.llm.common import batches_by_bytes, coded_words, column_of, gram_hashes, keep, query, table
+from tabweave.llm.common import batches_by_bytes, coded_words, column_of, gram_hashes, keep, query, table, trimmed
 
 WORD_BITS = 13
 RANK = 8
@@ -165,7 +165,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Machine:
             cols = [column_of(data, c) for c in ("label", "spread")]
             yield pa.RecordBatch.from_arrays([*cols, pa.array([number[a:z].astype("<i4").tobytes() for a, z in cut], pa.binary()), pa.array([value[a:z].astype("<f4").tobytes() for a, z in cut], pa.binary())], names=["label", "spread", "number", "value"])
 
-    rows = keep(labelled.select("text", "label", "spread").mapInArrow(extract, "label int, spread long, number binary, value binary"), "features")
+    rows = keep(labelled.select("text", "label", "spread").mapInArrow(trimmed(extract), "label int, spread long, number binary, value binary"), "features")
     shards = keep(rows.withColumn("shard", F.pmod("spread", F.lit(SHARDS)).cast("int")).repartition(SHARDS, "shard").sortWithinPartitions("shard", "spread"), "fit")
     state = np.frombuffer(Machine.new().to_bytes(), "<f4")
 
@@ -203,7 +203,7 @@ def score(docs: DataFrame, m: Machine, name: str = "score") -> DataFrame:
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     schema = T.StructType([*[f for f in docs.schema if f.name != name], T.StructField(name, T.DoubleType())])
-    return docs.drop(name).mapInArrow(run, schema)
+    return docs.drop(name).mapInArrow(trimmed(run), schema)
 
 
 def held_out() -> Column:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabweave.llm.common import batches_by_bytes, column_of, keep, query, table
+from tabweave.llm.common import batches_by_bytes, column_of, keep, query, table, trimmed
 from tabweave.llm.tokens import encoder
 from tabweave.session import new_path
 
@@ -147,7 +147,7 @@ def _tokenize(docs: DataFrame, path: str, end_id: int, n_parts: int) -> DataFram
 
     ranged = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ranged = ranged.repartitionByRange(n_parts, "doc_id").sortWithinPartitions("doc_id")
-    return keep(ranged.mapInArrow(run, "part int, place long, doc_id long, inside long, n long, ids binary"), "ids")
+    return keep(ranged.mapInArrow(trimmed(run), "part int, place long, doc_id long, inside long, n long, ids binary"), "ids")
 
 
 def _sum_counts(tokens: DataFrame, vocabulary: int) -> tuple[np.ndarray, dict[int, int]]:
@@ -219,7 +219,7 @@ def write_ids(docs: DataFrame, path: str, folder: str, end_id: int = 0, vocabula
             yield block(pa.Table.from_batches(held).combine_chunks())
 
     kind = "first long, n long, doc_ids array<long>, lengths array<long>, bytes binary"
-    tokens.filter("place >= 0").mapInArrow(run, kind).write.option("compression", "none").parquet(f"{folder}/blocks")
+    tokens.filter("place >= 0").mapInArrow(trimmed(run), kind).write.option("compression", "none").parquet(f"{folder}/blocks")
 
 
 def read_ids(spark: SparkSession, folder: str) -> DataFrame:
@@ -236,7 +236,7 @@ def read_ids(spark: SparkSession, folder: str) -> DataFrame:
                 raw = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((cuts * 4).astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
                 yield pa.RecordBatch.from_arrays([docs, pa.array(b.column("first")[i].as_py() + cuts[:-1]), pa.array(n), raw], names=["doc_id", "start", "n_tokens", "ids"])
 
-    return spark.read.parquet(f"{folder}/blocks").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return spark.read.parquet(f"{folder}/blocks").mapInArrow(trimmed(run), "doc_id long, start long, n_tokens long, ids binary")
 
 
 @query("op7_rans_blocks")

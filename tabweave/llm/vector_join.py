@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabweave.llm.common import keep, query, table
+from tabweave.llm.common import keep, query, table, trimmed
 from tabweave.llm.graph import components
 from tabweave.llm.vectors import matrix, sample_units, square_distances, unit_vectors
 
@@ -90,7 +90,7 @@ def block_candidates(loose: DataFrame, dim: int, squared: float) -> DataFrame:
                 raw, w = y.astype("<f8").tobytes(), 8 * len(c)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(y), k, np.int32)), b.column("row"), pa.array(y[:, 0]), pa.array([raw[i * w : (i + 1) * w] for i in range(len(y))], pa.binary())], names=names)
 
-    rows = keep(loose.select("row", "unit").mapInArrow(project, "block int, row long, lead double, part binary"), "blocks")
+    rows = keep(loose.select("row", "unit").mapInArrow(trimmed(project), "block int, row long, lead double, part binary"), "blocks")
     strips = max(1, -(-n // STRIP_ROWS))
     probs = [(i + 1) / strips for i in range(strips - 1)]
     edges = [np.array([], float) for _ in columns]
@@ -112,7 +112,7 @@ def block_candidates(loose: DataFrame, dim: int, squared: float) -> DataFrame:
             take = pa.array(at)
             yield pa.RecordBatch.from_arrays([b.column("block").take(take), pa.array(where.astype(np.int32)), pa.array(where == home[at]), b.column("row").take(take), b.column("part").take(take)], names=["block", "strip", "home", "row", "part"])
 
-    placed = keep(rows.mapInArrow(strip, "block int, strip int, home boolean, row long, part binary"), "strips")
+    placed = keep(rows.mapInArrow(trimmed(strip), "block int, strip int, home boolean, row long, part binary"), "strips")
     sizes = placed.groupBy("block", "strip").agg(F.count_if("home").alias("h"), F.count(F.lit(1)).alias("n"))
     plan = keep(sizes.select("block", "strip", F.expr(f"(h + {TILE_ROWS - 1}) div {TILE_ROWS}").alias("hs"), F.expr(f"(n + {TILE_ROWS - 1}) div {TILE_ROWS}").alias("ns")), "tiles")
     joined = placed.join(plan, ["block", "strip"])

@@ -186,7 +186,8 @@ def _linked(pairs: DataFrame, segments: DataFrame, sets: DataFrame, percent: int
 def _cross_pairs(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Pairs of sets in different components that share a shingle in both their prefixes, by the global order.
 
-    Two similar sets share one of the first n - ceil(percent n / 100) + 1 shingles of each.
+    Two similar sets share one of the first n - ceil(percent n / 100) + 1 shingles of each, and so
+    many of them that what follows the prefixes can make up the rest of the overlap they need.
     Pairs inside a component are known to be connected and never formed.
     """
 
@@ -208,7 +209,13 @@ def _cross_pairs(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     met = lists.join(other, "key").filter("component < component_b")
     each = met.select(F.explode("nodes").alias("x"), "nodes_b").select("x", F.explode("nodes_b").alias("y"))
     close = each.filter((F.col("x.n") * 100 >= F.col("y.n") * percent) & (F.col("y.n") * 100 >= F.col("x.n") * percent))
-    return close.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    first = F.col("x.node") < F.col("y.node")
+    pick = lambda f, yes: F.when(first == yes, F.col(f"x.{f}")).otherwise(F.col(f"y.{f}"))
+    shared = close.select(pick("node", True).alias("a"), pick("node", False).alias("b"), pick("n", True).alias("na"), pick("n", False).alias("nb")).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("c"))
+    # behind its prefix a set has ceil(percent n / 100) - 1 shingles, so the overlap is at most what the prefixes share and these
+    rest = lambda n: F.ceil(F.col(n) * percent / F.lit(100)) - 1
+    enough = (F.col("c") + F.greatest(rest("na"), rest("nb"))) * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
+    return shared.filter(enough).select("a", "b")
 
 
 def jaccard_groups(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = 75) -> DataFrame:

@@ -1,0 +1,23 @@
+"""Queries without check SQL run whole and give scores that can be scores."""
+
+import math
+
+import pytest
+
+from tabweave.plans import registry
+
+NAMES = sorted(set(registry.QUERIES) - set(registry.CHECKS) - {"l1_pipeline"})  # l1_pipeline has a test of its own
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_query_without_sql_gives_sound_rows(spark, sf_dir, name):
+    df = registry.QUERIES[name](spark, sf_dir)
+    rows = df.collect()
+    assert rows
+    share = [c for c, t in df.dtypes if t == "double" and (c in ("score", "auc") or c.startswith("auc_"))]
+    for r in rows:
+        for c in share:
+            assert r[c] is not None and math.isfinite(r[c]) and 0 <= r[c] <= 1, (c, r)
+    if {"id", "split", "member"} <= set(df.columns):
+        keys = [(r["id"], r["split"], r["member"]) for r in rows]
+        assert len(set(keys)) == len(keys)

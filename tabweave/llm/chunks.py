@@ -132,9 +132,10 @@ def each_chunk(chunks: DataFrame, fn: Callable[..., Iterator[dict]], schema: str
     return chunks.mapInArrow(run, schema)
 
 
-def questions(number: int, keys: np.ndarray, more: list[np.ndarray], n_fragments: int, tag: int = 0) -> Iterator[dict]:
-    """Sorted distinct ``keys`` of a chunk, cut by the fragment that owns them."""
-    top = (keys >> np.uint64(32)) * np.uint64(n_fragments) >> np.uint64(32)
+def questions(number: int, keys: np.ndarray, more: list[np.ndarray], n_fragments: int, tag: int = 0, top: np.ndarray | None = None) -> Iterator[dict]:
+    """Sorted distinct ``keys`` of a chunk, cut by the fragment that owns them: ``top``, or that of its range of hashes."""
+    if top is None:
+        top = (keys >> np.uint64(32)) * np.uint64(n_fragments) >> np.uint64(32)
     cuts = np.searchsorted(top, np.arange(n_fragments + 1, dtype=np.uint64))
     some = np.flatnonzero(np.diff(cuts))
     if len(some):

@@ -308,6 +308,45 @@ def test_predictive_probabilities_sum_to_one(spark):
     assert 0.3 < once < 1 and once + twice < 1 + 1e-9
 
 
+def test_seating_is_one_model_over_any_number_of_fragments(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(f"the w{int(x)}" if x % 2 else f"w{int(x)} w{int(x) % 7}" for x in rng.zipf(1.4, 60) % 300)) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).cache()
+
+    def run():
+        tables = []
+        seat_pairs = pitman_yor.seat_pairs
+
+        def kept(asked, *sizes):
+            pairs, d = seat_pairs(asked, *sizes)
+            fragments = set()
+            for r in pairs.collect():
+                fragments.add(r["fragment"])
+                count, t, mine = pitman_yor.stretch(r["reply"])
+                tables.extend(zip(count[mine == 1].tolist(), t[mine == 1].tolist()))
+            tables.append(len(fragments))
+            return pairs, d
+
+        with monkeypatch.context() as m:
+            m.setattr(pitman_yor, "seat_pairs", kept)
+            got = {r["doc_id"]: r["score"] for r in pitman_yor.score_documents(df, F.col("doc_id") % 7 == 2).collect()}
+        return got, tables.pop(), sorted(tables)
+
+    one, n_one, tables_one = run()
+    monkeypatch.setattr(pitman_yor, "FRAGMENT_ENTRIES", 1_500)
+    many, n_many, tables_many = run()  # "the" is the context of a quarter of all tokens, so it is spread
+    assert n_one == 1 and n_many > 5
+    assert tables_one == tables_many and any(1 < t < c for c, t in tables_one)
+    np.testing.assert_allclose([many[i] for i in sorted(many)], [one[i] for i in sorted(one)], rtol=1e-6)
+
+
+def test_keyed_draws_are_binomial():
+    key = np.arange(200_000, dtype=np.uint64)
+    for size, p in ((1, 0.3), (6, 0.7), (40, 0.05), (200, 0.5)):
+        x = pitman_yor.draw(key[: 200_000 if size * p <= 30 else 20_000], 33, np.full(200_000 if size * p <= 30 else 20_000, size), np.full(200_000 if size * p <= 30 else 20_000, p))
+        assert abs(x.mean() - size * p) < 5 * np.sqrt(size * p * (1 - p) / len(x)) and abs(x.var() / (size * p * (1 - p)) - 1) < 0.05
+
+
 def test_empty_tables_give_empty_results(spark, empty):
     path = public_tokenizers.path("word_bpe_49k.json")
     assert sharding.shard_documents(empty, n_shards=4).count() == 0

@@ -124,6 +124,19 @@ def test_kernel_log_ratio_is_defined_far_from_the_reference(spark):
     assert got.notna().all() and np.isfinite(got.to_numpy(float)).all() and (got.abs() <= 20).all()
 
 
+def test_kernel_sum_keeps_a_bulk_just_outside_the_radius(spark):
+    rng = np.random.default_rng(4)
+    bulk, other = rng.uniform(0.0, 0.2, 4_000), rng.normal(0, 1, 4_000)
+    ref = [(float(v), 1) for v in bulk] + [(10.4, 1)] + [(float(v) * 8, 0) for v in other]
+    fit = refdist.fit_kernels(spark.createDataFrame(ref, "x double, y int"), ["x"], "y")["x"]
+    h = fit.bandwidth[1]
+    z = (np.concatenate([bulk, [10.4]]) - fit.mean) / fit.std
+    points = np.linspace(z[0] - 12 * h, z[-1] + 12 * h, 400)  # some see the outlier nearer, and the bulk just outside the radius
+    e = -0.5 * ((points[:, None] - z[None, :]) / h) ** 2
+    want = np.log(np.exp(e - e.max(axis=1)[:, None]).sum(axis=1)) + e.max(axis=1) - np.log(len(z) * h)
+    np.testing.assert_allclose(refdist._log_density(points, fit, 1), want, atol=1e-8)
+
+
 def test_within_row_rank_leaves_null_members_out(spark):
     df = spark.createDataFrame([(0.5, None, 0.2), (None, None, None)], "a double, b double, c double")
     got = [r["z"] for r in df.select(rw.within_row_rank_z(["a", "b", "c"], 10).alias("z")).collect()]

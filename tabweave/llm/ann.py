@@ -19,8 +19,8 @@ LIST_ROWS, MAX_LISTS = 512, 16_384
 SAMPLE = 32_768
 #: A vector goes into all lists whose centroid is at most this much farther than its nearest, ``COPIES`` at most.
 BOUNDARY, COPIES = 1.08, 4
-#: A query searches the lists whose centroid is at most this much farther than its nearest.
-PROBE_RATIO = 1.12
+#: A query searches the lists whose centroid is at most this much farther than its nearest, and so many lists at least.
+PROBE_RATIO, LEAST_LISTS = 1.12, 4
 #: Links of a centroid in the graph, and rows of one side of a task's block.
 LINKS, BLOCK_ROWS = 24, 2_048
 
@@ -41,8 +41,8 @@ def centroid_graph(centres: np.ndarray, links: int = LINKS) -> list[np.ndarray]:
     return [np.array(sorted(x), np.int64) for x in out]
 
 
-def search_graph(q: np.ndarray, centres: np.ndarray, graph: list[np.ndarray], ratio: float, entry: int = 0) -> np.ndarray:
-    """Centroids within ``ratio`` of the nearest distance: best-first walk that ends when the front is beyond the bound."""
+def search_graph(q: np.ndarray, centres: np.ndarray, graph: list[np.ndarray], ratio: float, entry: int = 0, floor: float = 0.0) -> np.ndarray:
+    """Centroids within ``ratio`` of the nearest distance (or of ``floor``, if larger): best-first walk that ends when the front is beyond the bound."""
     seen = np.zeros(len(centres), bool)
     seen[entry] = True
     d0 = float(np.linalg.norm(q - centres[entry]))
@@ -50,7 +50,7 @@ def search_graph(q: np.ndarray, centres: np.ndarray, graph: list[np.ndarray], ra
     late = 0
     while front:
         d, i = heapq.heappop(front)
-        if d > best * ratio:
+        if d > max(best, floor) * ratio:
             late += 1
             if late > LINKS:  # a few steps beyond the bound, to get out of a pocket
                 break
@@ -63,15 +63,49 @@ def search_graph(q: np.ndarray, centres: np.ndarray, graph: list[np.ndarray], ra
             found[j] = dj
             heapq.heappush(front, (dj, j))
         best = min(best, float(dist.min()))
-    return np.array(sorted(j for j, d in found.items() if d <= best * ratio), np.int64)
+    return np.array(sorted(j for j, d in found.items() if d <= max(best, floor) * ratio), np.int64)
 
 
-def build_lists(units: DataFrame, dim: int, list_rows: int = LIST_ROWS, sample: int = SAMPLE) -> tuple[np.ndarray, DataFrame]:
-    """Centroids and postings (list, row, vec_id, unit): every vector in the list of its nearest centroid, boundary vectors in several."""
+def enough_lists(q: np.ndarray, hits: np.ndarray, centres: np.ndarray, own: np.ndarray, need: int) -> np.ndarray:
+    """``hits`` and the next nearest lists until ``need`` vectors have their nearest centroid in them and there are a few lists; all lists at last."""
+    if len(hits) >= min(LEAST_LISTS, len(centres)) and own[hits].sum() >= need:
+        return hits
+    order = np.argsort(square_distances(q[None, :], centres)[0], kind="stable")
+    enough = int(np.searchsorted(np.cumsum(own[order]), need)) + 1
+    return np.union1d(hits, order[: max(enough, LEAST_LISTS)])
+
+
+def balanced(points: np.ndarray, centres: np.ndarray, turns: int = 6) -> np.ndarray:
+    """Centres whose shares of the sample are between a quarter and twice the mean share, where the points allow it.
+
+    Small clusters, above all single points, are given up to their neighbours; large ones are split. Copies of one point stay together.
+    """
+    target = len(points) / len(centres)
+    for _ in range(turns):
+        best = nearest(points, centres)[0]
+        n = np.bincount(best, minlength=len(centres))
+        stay = n >= max(2.0, target / 4)
+        stay[n.argmax()] = True
+        new = []
+        for j in np.flatnonzero(stay):
+            mine = points[best == j] if n[j] > 2 * target else points[:0]
+            new.append(means(mine, round(n[j] / target)) if len(mine) and np.ptp(mine, axis=0).max() > 1e-9 else centres[j : j + 1])
+        new = np.concatenate(new)[:MAX_LISTS]
+        if len(new) == len(centres) and (new == centres).all():
+            break
+        centres = new
+    n = np.bincount(nearest(points, centres)[0], minlength=len(centres))
+    return centres[(n >= min(2, n.max()))]
+
+
+def build_lists(units: DataFrame, dim: int, list_rows: int = LIST_ROWS, sample: int = SAMPLE) -> tuple[np.ndarray, float, DataFrame]:
+    """Centroids, the usual distance to the nearest, and postings (list, first, row, vec_id, unit): every vector first in the list of its nearest centroid, boundary vectors in several."""
     n = units.filter("unit is not null").count()
     k = max(1, min(MAX_LISTS, -(-n // list_rows)))
     points = sample_units(units, dim, sample)
-    centres = means(points, min(k, len(points))) if len(points) else np.zeros((1, dim))
+    centres = balanced(points, means(points, min(k, len(points)))) if len(points) else np.zeros((1, dim))
+    # a vector at a centroid has distance 0, of which a ratio is nothing: ratios are taken of this at least
+    floor = float(np.sqrt(np.median(nearest(points, centres)[1]))) if len(points) else 0.0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -80,27 +114,31 @@ def build_lists(units: DataFrame, dim: int, list_rows: int = LIST_ROWS, sample:
                 d = np.sqrt(square_distances(m[a : a + BLOCK_ROWS], centres))
                 near = np.argsort(d, axis=1, kind="stable")[:, :COPIES]
                 dist = np.take_along_axis(d, near, axis=1)
-                row, spot = np.nonzero(dist <= dist[:, :1] * BOUNDARY)
+                row, spot = np.nonzero((dist <= np.maximum(dist[:, :1], floor) * BOUNDARY))
                 at = pa.array(row + a)
-                yield pa.RecordBatch.from_arrays([pa.array(near[row, spot].astype(np.int32)), b.column("row").take(at), b.column("vec_id").take(at), b.column("unit").take(at)], names=["list", "row", "vec_id", "unit"])
+                yield pa.RecordBatch.from_arrays([pa.array(near[row, spot].astype(np.int32)), pa.array(spot == 0), b.column("row").take(at), b.column("vec_id").take(at), b.column("unit").take(at)], names=["list", "first", "row", "vec_id", "unit"])
 
-    lists = units.filter("unit is not null").mapInArrow(run, "list int, row long, vec_id long, unit binary")
-    return centres, keep(lists, "lists")
+    lists = units.filter("unit is not null").mapInArrow(run, "list int, first boolean, row long, vec_id long, unit binary")
+    return centres, floor, keep(lists, "lists")
 
 
 def search(units: DataFrame, dim: int, wanted: Column, k: int = 5, ratio: float = PROBE_RATIO, list_rows: int = LIST_ROWS) -> DataFrame:
     """The ``k`` nearest vectors by cosine found for the rows of ``units`` where ``wanted`` holds: query_id, rank, vec_id, score.
 
     Lists and probes are dealt to blocks of bounded size, so a list that holds a third of all rows, or that a third of all
-    queries probe, is spread over many tasks; each block returns ``k`` rows a query.
+    queries probe, is spread over many tasks; each block returns ``k`` rows a query.  A query goes on to the next nearest lists
+    until they hold ``k`` other vectors, so it gets ``k`` rows whenever there are as many.
     """
-    centres, lists = build_lists(units, dim, list_rows)
+    centres, floor, lists = build_lists(units, dim, list_rows)
+    own = np.zeros(len(centres), np.int64)
+    for r in lists.filter("first").groupBy("list").count().collect():  # one number a list
+        own[r["list"]] = r["count"]
     graph = centroid_graph(centres)
     entry = int(nearest(centres.mean(axis=0)[None, :], centres)[0][0])
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hits = [search_graph(q, centres, graph, ratio, entry) for q in matrix(b.column("unit"), dim)]
+            hits = [enough_lists(q, search_graph(q, centres, graph, ratio, entry, floor), centres, own, k + 1) for q in matrix(b.column("unit"), dim)]
             at = pa.array(np.repeat(np.arange(len(hits)), [len(h) for h in hits]))
             found = np.concatenate(hits).astype(np.int32) if hits else np.zeros(0, np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(found), b.column("row").take(at), b.column("vec_id").take(at), b.column("unit").take(at)], names=["list", "row", "vec_id", "unit"])

@@ -80,6 +80,35 @@ def test_ties_go_to_the_smaller_id_and_few_candidates_are_all_returned(spark):
     assert got == [(1, 1), (2, 2), (3, 3)]
 
 
+@pytest.mark.parametrize("list_rows", [2, 6, 40])
+def test_every_query_gets_its_rows_with_outliers_and_copies(spark, list_rows):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(300, 16))
+    x[:60] = rng.normal(size=16) + rng.normal(0, 0.01, (60, 16))
+    x[100:200:2] = x[101:200:2]  # pairs of copies
+    x[-6:] = 0
+    x[-6:, :6] = np.eye(6) * 50  # outliers
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    units, dim = ann.unit_vectors(df)
+    got = ann.search(units, dim, F.lit(True), list_rows=list_rows).toPandas()
+    assert got.groupby("query_id").size().tolist() == [5] * 300
+    top = got[got["rank"] == 1].set_index("query_id").vec_id
+    assert all(top[i] == i + 1 - 2 * (i % 2) for i in range(100, 200))
+    for few in (1, 2, 4):
+        assert ann.nearest_vectors(df.filter(F.col("vec_id") < few), F.lit(True)).count() == few * (few - 1)
+
+
+def test_lists_are_balanced_on_the_sample():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(2_200, 64))
+    x[:300] = rng.normal(size=64) * 2 + rng.normal(0, 0.3, (300, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    centres = ann.means(x, 400)
+    n = np.bincount(ann.nearest(x, ann.balanced(x, centres))[0])
+    assert n.min() >= 2 and n.max() <= 6 * 5.5 and 200 <= len(n) <= 600
+    assert np.bincount(ann.nearest(x, centres)[0], minlength=400).min() < 2
+
+
 def test_graph_walk_finds_all_near_centroids():
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(300, 16))

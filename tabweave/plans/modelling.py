@@ -198,7 +198,7 @@ def _imputable(spark, sf_dir):
 
 @query("m8_model_imputation")
 def model_imputation(spark, sf_dir):
-    return rounded(model.model_impute(_imputable(spark, sf_dir), _TARGETS, RAW))
+    return rounded(model.model_impute(_imputable(spark, sf_dir), CONT, RAW))
 
 
 @query("m8_observed_values", f"""WITH {FRAME_SQL} SELECT count(*)::BIGINT AS n_rows, count(total_k)::BIGINT AS kept_total, count(acctbal)::BIGINT AS kept_bal,
@@ -219,7 +219,7 @@ def imputer_views(spark, sf_dir):
     df = _imputable(spark, sf_dir)
     out = df.select("id")
     for kind in ("gbt", "forest", "linear"):
-        out = out.join(model.model_impute(df, ["total_k"], RAW, kind=kind, prefix=f"{kind}_"), "id")
+        out = out.join(model.model_impute(df, CONT, RAW, kind=kind, prefix=f"{kind}_"), "id")
     return rounded(out)
 
 
@@ -229,7 +229,7 @@ def imputability(spark, sf_dir):
     df = stratified_folds(_imputable(spark, sf_dir), "id", "label", 5, name="part")
     df = materialize(df, "imputability")
     out = None
-    for t in ("total_k", "qty", "acctbal"):
+    for t in CONT:
         seen = prep.assemble(df.filter(F.col(t).isNotNull()), [c for c in RAW if c != t], ["part", t])
         fitted = model.regressor("gbt", t).fit(seen.filter(F.col("part") > 0))
         one = metrics.regression_quality(fitted.transform(seen.filter(F.col("part") == 0)), t, "prediction")

@@ -113,3 +113,13 @@ def test_main_pipeline_scores_every_current_row_once(spark, sf_dir):
     m = train.merge(want[["id", "label"]], on="id")
     rank, n1 = m.score.rank(), int(m.label.sum())
     assert (rank[m.label == 1].sum() - n1 * (n1 + 1) / 2) / (n1 * (len(m) - n1)) > 0.8
+
+
+def test_every_continuous_column_is_imputed(spark, sf_dir):
+    from tabweave.plans.frames import CONT
+    from tabweave.plans.registry import QUERIES
+
+    got = QUERIES["m8_model_imputation"](spark, sf_dir)
+    assert set(got.columns) == {"id", *[f"imp_{c}" for c in CONT]}
+    assert got.dropna().count() == got.count() > 0
+    assert {r["feature"] for r in QUERIES["m10_imputability"](spark, sf_dir).collect()} == set(CONT)

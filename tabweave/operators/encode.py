@@ -3,8 +3,8 @@
 A *feature* is a tuple of one or two columns.  All features of a call are counted in one
 aggregation over a long form (feature, k1, k2, fold): rows are reduced map-side to their
 distinct keys, so only keys are shuffled and a hot key is one row per task.  Out-of-fold
-sums are the key's total minus its own fold, which equals refitting without that fold.
-NULL is a category of its own.
+sums are the key's total minus its own fold, which equals refitting without that fold; nested
+encodings leave a second fold out in the same way.  NULL is a category of its own.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabweave.operators.joins import lookup, sizes_by
+from tabweave.operators.joins import lookup_many, sizes_by
 from tabweave.session import materialize
 
 Feature = tuple[str, ...]
@@ -29,18 +29,20 @@ def feature_name(f: Feature) -> str:
     return "__".join(f)
 
 
+def _key(df: DataFrame, col: str) -> Column:
+    """A column as a text key; negative zero is zero."""
+    value = F.col(col)
+    return (value + F.lit(0.0) if dict(df.dtypes)[col] in ("double", "float") else value).cast("string")
+
+
+def _keys(df: DataFrame, f: Feature) -> dict[str, Column]:
+    return {f"k{i}": _key(df, c) for i, c in enumerate(f, 1)}
+
+
 def _long_keys(df: DataFrame, features: Sequence[Feature], keep: Sequence[str]) -> DataFrame:
-    cells = F.array(
-        *[
-            F.struct(
-                F.lit(feature_name(f)).alias("feature"),
-                F.col(f[0]).cast("string").alias("k1"),
-                (F.col(f[1]).cast("string") if len(f) > 1 else F.lit(None).cast("string")).alias("k2"),
-            )
-            for f in features
-        ]
-    )
-    return df.select(*keep, F.inline(cells))
+    none = {"k2": F.lit(None).cast("string")}
+    cells = [F.struct(F.lit(feature_name(f)).alias("feature"), *[e.alias(k) for k, e in (none | _keys(df, f)).items()]) for f in features]
+    return df.select(*keep, F.inline(F.array(*cells)))
 
 
 def m_estimate(n: Column, s: Column, prior: Column | float, m: Column | float) -> Column:
@@ -83,43 +85,95 @@ def fit_encoding(train: DataFrame, features: Sequence[str | Sequence[str]], labe
     )
 
 
-def _keys(f: Feature) -> dict[str, Column]:
-    on = {"k1": F.col(f[0]).cast("string")}
-    if len(f) > 1:
-        on["k2"] = F.col(f[1]).cast("string")
-    return on
+def _encoded(rows: DataFrame, enc: FittedEncoding, table: DataFrame, weight: str, side: int, prefix: str, key: str, more: dict[str, Column]) -> DataFrame:
+    """``rows`` with the table's ``enc`` per feature; unseen keys get the prior."""
+    names = {feature_name(f): f"{prefix}{feature_name(f)}" for f in enc.features}
+    cells = {feature_name(f): {**_keys(rows, f), **more} for f in enc.features}
+    sizes = {f: n[side] for f, n in enc.sizes.items()}
+    out = lookup_many(rows, table, cells, {f: {"enc": n} for f, n in names.items()}, weight, sizes, key)
+    return out.withColumns({n: F.coalesce(F.col(n), F.lit(enc.prior)) for n in names.values()})
 
 
-def encode_oof(train: DataFrame, enc: FittedEncoding, fold: str, m: float = 3.0, prefix: str = "te_") -> DataFrame:
-    """Training rows with ``te_<feature>`` computed from all folds but their own."""
-    out = train
-    for f in enc.features:
-        name = f"{prefix}{feature_name(f)}"
-        table = enc.by_fold.filter(F.col("feature") == feature_name(f)).select(
-            "k1", "k2", "fold", "n_in",
-            m_estimate(F.col("n") - F.col("n_in"), F.col("s") - F.col("s_in"), enc.prior, m).alias(name),
-        )
-        out = lookup(out, table, {**_keys(f), "fold": F.col(fold)}, [name], "n_in", enc.sizes[feature_name(f)][0])
-        out = out.withColumn(name, F.coalesce(F.col(name), F.lit(enc.prior)))
-    return out
+def encode_oof(train: DataFrame, enc: FittedEncoding, fold: str, m: float = 3.0, prefix: str = "te_", key: str = "id") -> DataFrame:
+    """Training rows with ``te_<feature>`` computed from all folds but their own; ``key`` tells rows apart."""
+    rest = m_estimate(F.col("n") - F.col("n_in"), F.col("s") - F.col("s_in"), enc.prior, m)
+    table = enc.by_fold.select("feature", "k1", "k2", "fold", "n_in", rest.alias("enc"))
+    return _encoded(train, enc, table, "n_in", 0, prefix, key, {"fold": F.col(fold)})
 
 
-def encode_full(rows: DataFrame, enc: FittedEncoding, m: float = 3.0, prefix: str = "te_") -> DataFrame:
+def encode_full(rows: DataFrame, enc: FittedEncoding, m: float = 3.0, prefix: str = "te_", key: str = "id") -> DataFrame:
     """Other rows (test side) encoded from every training row; unseen keys get the prior."""
-    out = rows
-    for f in enc.features:
-        name = f"{prefix}{feature_name(f)}"
-        table = enc.totals.filter(F.col("feature") == feature_name(f)).select(
-            "k1", "k2", "n", m_estimate(F.col("n"), F.col("s"), enc.prior, m).alias(name)
-        )
-        out = lookup(out, table, _keys(f), [name], "n", enc.sizes[feature_name(f)][1])
-        out = out.withColumn(name, F.coalesce(F.col(name), F.lit(enc.prior)))
-    return out
+    table = enc.totals.select("feature", "k1", "k2", "n", m_estimate(F.col("n"), F.col("s"), enc.prior, m).alias("enc"))
+    return _encoded(rows, enc, table, "n", 1, prefix, key, {})
+
+
+@dataclass(frozen=True)
+class NestedEncoding:
+    """Encodings for every outer fold left out, as arrays over the outer folds.
+
+    ``by_inner``: per (feature, key, inner fold) ``apart``, from rows of neither that inner fold nor the outer one, and ``rest``, from
+    all rows outside the outer fold; ``totals``: ``rest`` per (feature, key); ``priors``: label mean outside each outer fold.
+    """
+
+    features: tuple[Feature, ...]
+    by_inner: DataFrame
+    totals: DataFrame
+    priors: tuple[float, ...]
+    sizes: dict[str, tuple[int, int]]
+
+
+def fit_nested(train: DataFrame, features: Sequence[str | Sequence[str]], label: str, inner: str, outer: str, k: int, m: float = 3.0) -> NestedEncoding:
+    """Encodings for models that are validated on the ``k`` outer folds, from one aggregation over (key, inner fold, outer fold).
+
+    A model that leaves outer fold v out must not meet v's labels through its features either: its
+    training rows are encoded without v and without their own inner fold, its validation and test rows
+    without v.  Both are sums of the cells' counts by inclusion and exclusion, as if refitted for each pair of folds.
+    """
+    feats = tuple(as_feature(f) for f in features)
+    train = train.filter(F.col(label).isNotNull())
+    of = lambda c, v: F.sum(F.when(F.col("outer") == v, F.col(c)).otherwise(0))
+    cells = _long_keys(train, feats, [F.col(inner).alias("inner"), F.col(outer).alias("outer"), F.lit(1).alias("_n"), F.col(label).cast("bigint").alias("_s")])
+    counted = cells.groupBy("feature", "k1", "k2", "inner").agg(
+        F.sum("_n").alias("n_in"), F.sum("_s").alias("s_in"), *[of(f"_{c}", v).alias(f"{c}_in{v}") for v in range(k) for c in ("n", "s")]
+    )
+    key = Window.partitionBy("feature", "k1", "k2")  # one row an inner fold
+    names = [f"{c}_in{x}" for x in ["", *range(k)] for c in ("n", "s")]
+    known = materialize(counted.select("*", *[F.sum(c).over(key).alias(c.replace("_in", "_all")) for c in names]), "nested")
+    one = known.filter(F.col("feature") == feature_name(feats[0])).agg(*[F.sum(c).alias(c) for c in names]).first()
+    outside = [(one["n_in"] - one[f"n_in{v}"], one["s_in"] - one[f"s_in{v}"]) for v in range(k)]
+    priors = tuple(float(s) / float(n) if n else 0.0 for n, s in outside)
+    rest = F.array(*[m_estimate(F.col("n_all") - F.col(f"n_all{v}"), F.col("s_all") - F.col(f"s_all{v}"), priors[v], m) for v in range(k)])
+    without = lambda c, v: F.col(f"{c}_all") - F.col(f"{c}_in") - F.col(f"{c}_all{v}") + F.col(f"{c}_in{v}")
+    apart = F.array(*[m_estimate(without("n", v), without("s", v), priors[v], m) for v in range(k)])
+    by_inner = materialize(known.select("feature", "k1", "k2", "inner", "n_in", "n_all", apart.alias("apart"), rest.alias("rest")), "nested")
+    totals = materialize(by_inner.groupBy("feature", "k1", "k2").agg(F.max("n_all").alias("n"), F.max("rest").alias("rest")), "nested")
+    sizes = (sizes_by(by_inner), sizes_by(totals))
+    return NestedEncoding(feats, by_inner, totals, priors, {feature_name(f): tuple(x.get(feature_name(f), 0) for x in sizes) for f in feats})
+
+
+def encode_nested(train: DataFrame, enc: NestedEncoding, inner: str, outer: str, prefix: str = "te_", key: str = "id") -> DataFrame:
+    """Training rows with ``te_<feature>``: an array with the encoding for the model of each outer fold."""
+    names = {feature_name(f): f"{prefix}{feature_name(f)}" for f in enc.features}
+    cells = {feature_name(f): {**_keys(train, f), "inner": F.col(inner)} for f in enc.features}
+    take = {f: {"apart": f"_a_{f}", "rest": f"_r_{f}"} for f in names}
+    out = lookup_many(train, enc.by_inner, cells, take, "n_in", {f: n[0] for f, n in enc.sizes.items()}, key)
+    none = [F.lit(p) for p in enc.priors]
+    pick = lambda f: F.array(*[F.coalesce(F.when(F.col(outer) == v, F.col(f"_r_{f}")[v]).otherwise(F.col(f"_a_{f}")[v]), none[v]) for v in range(len(none))])
+    return out.withColumns({n: pick(f) for f, n in names.items()}).drop(*[c for f in names for c in (f"_a_{f}", f"_r_{f}")])
+
+
+def encode_nested_full(rows: DataFrame, enc: NestedEncoding, prefix: str = "te_", key: str = "id") -> DataFrame:
+    """Other rows with the same arrays: what each outer fold's model knows."""
+    names = {feature_name(f): f"{prefix}{feature_name(f)}" for f in enc.features}
+    cells = {feature_name(f): _keys(rows, f) for f in enc.features}
+    out = lookup_many(rows, enc.totals, cells, {f: {"rest": n} for f, n in names.items()}, "n", {f: n[1] for f, n in enc.sizes.items()}, key)
+    return out.withColumns({n: F.coalesce(F.col(n), F.array(*[F.lit(p) for p in enc.priors])) for n in names.values()})
 
 
 def encoding_table(train: DataFrame, features: Sequence[str | Sequence[str]], label: str, m: float) -> DataFrame:
     """Full-data m-estimate per key: (feature, k1, k2, n, s, enc)."""
     feats = [as_feature(f) for f in features]
+    train = train.filter(F.col(label).isNotNull())
     prior = train.agg(F.avg(F.col(label).cast("double"))).scalar()
     counted = (
         _long_keys(train, feats, [F.col(label).alias("_y")])
@@ -149,7 +203,7 @@ def smoothing_grid(enc: FittedEncoding, grid: Sequence[float]) -> DataFrame:
 
 
 def frequency_encode(
-    rows: DataFrame, features: Sequence[str | Sequence[str]], prefix: str = "freq_", count_on: DataFrame | None = None
+    rows: DataFrame, features: Sequence[str | Sequence[str]], prefix: str = "freq_", count_on: DataFrame | None = None, key: str = "id"
 ) -> DataFrame:
     """Count of each row's key over all the rows given, train and test together.
 
@@ -162,13 +216,8 @@ def frequency_encode(
         .agg(F.count(F.lit(1)).alias("n")),
         "freq",
     )
-    sizes = sizes_by(counts)
-    out = rows
-    for f in feats:
-        name = f"{prefix}{feature_name(f)}"
-        table = counts.filter(F.col("feature") == feature_name(f)).select("k1", "k2", F.col("n").alias(name))
-        out = lookup(out, table, _keys(f), [name], name, sizes[feature_name(f)])
-    return out
+    cells = {feature_name(f): _keys(rows, f) for f in feats}
+    return lookup_many(rows, counts, cells, {f: {"n": f"{prefix}{f}"} for f in cells}, "n", sizes_by(counts), key, count_on)
 
 
 def pair_density(rows: DataFrame, pairs: Sequence[Feature], min_density: float = 0.0) -> DataFrame:
@@ -182,7 +231,7 @@ def pair_density(rows: DataFrame, pairs: Sequence[Feature], min_density: float =
     )
 
 
-def value_index(rows: DataFrame, cols: Sequence[str], prefix: str = "idx_") -> DataFrame:
+def value_index(rows: DataFrame, cols: Sequence[str], prefix: str = "idx_", key: str = "id") -> DataFrame:
     """Dense 1-based rank of each value among the distinct values of its column; 0 when missing."""
     from tabweave.operators.ordering import cumulate, melt
 
@@ -192,11 +241,6 @@ def value_index(rows: DataFrame, cols: Sequence[str], prefix: str = "idx_") -> D
         ),
         "vocab",
     )
-    sizes = sizes_by(ranked)
-    out = rows
-    for c in cols:
-        name = f"{prefix}{c}"
-        table = ranked.filter(F.col("feature") == c).select("value", "cnt", F.col("position").alias(name))
-        out = lookup(out, table, {"value": F.col(c).cast("double")}, [name], "cnt", sizes.get(c, 0))
-        out = out.withColumn(name, F.coalesce(F.col(name), F.lit(0).cast("bigint")))
-    return out
+    cells = {c: {"value": F.col(c).cast("double")} for c in cols}
+    out = lookup_many(rows, ranked, cells, {c: {"position": f"{prefix}{c}"} for c in cols}, "cnt", sizes_by(ranked), key)
+    return out.withColumns({f"{prefix}{c}": F.coalesce(F.col(f"{prefix}{c}"), F.lit(0).cast("bigint")) for c in cols})

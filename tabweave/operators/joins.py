@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tabweave.session import materialize
 
-# A fitted table is broadcast only up to this many rows (counted, not guessed).
+# Fitted tables are broadcast only up to this many rows in all (counted, not guessed).
 BROADCAST_ROWS = 200_000
 # A key is hot when it holds at least 1/HOT_PARTS of the weight: at most HOT_PARTS keys can be.
 HOT_PARTS = 2_000
@@ -68,6 +68,58 @@ def lookup(
     return joined.select(*kept, *[value(c) for c in take])
 
 
+def lookup_many(
+    rows: DataFrame,
+    table: DataFrame,
+    cells: dict[str, dict[str, Column]],
+    take: dict[str, dict[str, str]],
+    weight: str,
+    sizes: dict[str, int],
+    key: str = "id",
+    base: DataFrame | None = None,
+) -> DataFrame:
+    """Values of many features from one written table (feature, keys.., values..): small features by broadcast, all others by one join.
+
+    ``cells`` has, per feature, the table's key columns and the expressions over ``rows`` they are compared with (NULL equals
+    NULL), ``take`` the value columns and the names they get, ``sizes`` the table's rows.  Features are broadcast from
+    the smallest on while all of them together stay under ``BROADCAST_ROWS``.  The others become narrow rows (key, feature, cell),
+    are joined once on (feature, cell), hot cells salted, and come back by ``key``, which must be unique.  So the
+    exchanges do not grow with the number of features, and the wide rows move once.  ``base`` is a written table
+    with the same keys to take the cells from, when ``rows`` is a widened view of it.  Without a ``key``
+    column each large feature is joined by itself.
+    """
+    room, out, large = BROADCAST_ROWS, rows, []
+    for f in sorted(cells, key=lambda f: (sizes.get(f, 0), f)):
+        n = sizes.get(f, 0)
+        room -= n
+        if room < 0:
+            large.append(f)
+            continue
+        out = _one_feature(out, table, f, cells[f], take[f], weight, n, n)
+    if not large:
+        return out
+    source = rows if base is None else base
+    if key not in source.columns:
+        for f in large:
+            out = _one_feature(out, table, f, cells[f], take[f], weight, sizes[f], 0)
+        return out
+    types = dict(table.dtypes)
+    keys = list(dict.fromkeys(k for f in large for k in cells[f]))
+    values = list(dict.fromkeys(v for f in large for v in take[f]))
+    cell = lambda f: [cells[f].get(k, F.lit(None)).cast(types[k]).alias(f"_c_{k}") for k in keys]
+    narrow = source.select(F.col(key).alias("_key"), F.inline(F.array(*[F.struct(F.lit(f).alias("_feature"), *cell(f)) for f in large])))
+    mine = table.filter(F.col("feature").isin(large)).select("feature", *keys, *values, weight)
+    found = lookup(narrow, mine, {"feature": F.col("_feature"), **{k: F.col(f"_c_{k}") for k in keys}}, values, weight, sum(sizes[f] for f in large), 0)
+    wide = found.groupBy("_key").agg(*[F.max(F.when(F.col("_feature") == f, F.col(v))).alias(n) for f in large for v, n in take[f].items()])
+    return out.join(wide, F.col(key) == F.col("_key"), "left").drop("_key")
+
+
+def _one_feature(rows: DataFrame, table: DataFrame, feature: str, cell: dict[str, Column], take: dict[str, str], weight: str, n: int, limit: int) -> DataFrame:
+    extra = [weight] if weight not in take else []
+    part = table.filter(F.col("feature") == feature).select(*cell, *extra, *[F.col(v).alias(name) for v, name in take.items()])
+    return lookup(rows, part, cell, list(take.values()), take.get(weight, weight), n, limit)
+
+
 def sizes_by(table: DataFrame, key: str = "feature") -> dict[str, int]:
     """Rows per feature of a written table (one row per feature is collected)."""
     return {r[key]: r["count"] for r in table.groupBy(key).count().collect()}

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabweave.operators.comoments import comoments, nothing
 from tabweave.operators.ordering import average_rank, cumulate, melt
 from tabweave.session import materialize
 
@@ -55,19 +57,14 @@ def ranks_long(long: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
 
 
 def pearson_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Pairwise-complete Pearson correlation of every column pair: (a, b, r).
+    """Pairwise-complete Pearson correlation of every column pair: (a, b, r); NULL where it is not defined.
 
-    Each row is expanded over the pairs inside the scan stage and aggregated map-side, so
-    one compiled aggregate serves all pairs and one row per pair and task is shuffled.
+    One scan, whatever the number of columns: tasks sum up matrix products (see :mod:`tabweave.operators.comoments`).
     """
-    value = {c: F.col(c).cast("double") for c in cols}
-    cells = F.array(
-        *[
-            F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), value[a].alias("_x"), value[b].alias("_y"))
-            for a, b in combinations(cols, 2)
-        ]
-    )
-    return df.select(F.inline(cells)).groupBy("a", "b").agg(F.corr("_x", "_y").alias("r"))
+    cols = list(cols)
+    found = comoments(df, cols).get(None, nothing(len(cols))).correlations()
+    rows = [(cols[i], cols[j], None if np.isnan(found[i, j]) else float(found[i, j])) for i, j in combinations(range(len(cols)), 2)]
+    return df.sparkSession.createDataFrame(rows, "a string, b string, r double")
 
 
 def mean_label_by(df: DataFrame, label: str, keys: Sequence[str]) -> DataFrame:
@@ -82,12 +79,20 @@ def regression_quality(df: DataFrame, truth: str, pred: str, by: Sequence[str] =
     )
 
 
+def banded(df: DataFrame, value: str, bands: Sequence[tuple[float, str]], name: str) -> DataFrame:
+    """The label of the first band whose lower bound the value exceeds (the last band's without one)."""
+    out = F.lit(bands[-1][1])
+    for least, label in reversed(list(bands[:-1])):
+        out = F.when(F.col(value) > least, label).otherwise(out)
+    return df.withColumn(name, out)
+
+
 def focal_loss(df: DataFrame, prob: str, label: str, gamma: float, alpha: float = 0.5) -> DataFrame:
-    p, y = F.col(prob), F.col(label)
-    pt = F.when(y == 1, p).otherwise(1 - p)
-    pt = F.least(F.greatest(pt, F.lit(1e-9)), F.lit(1 - 1e-9))
-    at = F.when(y == 1, F.lit(alpha)).otherwise(F.lit(1 - alpha))
-    return df.agg(F.avg(-at * F.pow(1 - pt, F.lit(float(gamma))) * F.ln(pt)).alias("focal_loss"))
+    """Mean of -weight (1 - p)^gamma ln p over the probability p of the row's own class, kept off 0 and 1."""
+    own = F.abs(F.col(label) - 1 + F.col(prob)).cast("double")
+    own = F.greatest(F.least(own, F.lit(1 - 1e-9)), F.lit(1e-9))
+    weight = F.lit(1 - alpha) + F.col(label) * F.lit(2 * alpha - 1)
+    return df.select((weight * F.pow(1 - own, F.lit(float(gamma))) * -F.ln(own)).alias("loss")).agg(F.avg("loss").alias("focal_loss"))
 
 
 def class_balance(df: DataFrame, label: str) -> DataFrame:

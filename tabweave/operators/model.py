@@ -7,6 +7,7 @@ table instead of repeating the feature joins.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from multiprocessing.pool import ThreadPool
@@ -20,13 +21,15 @@ from pyspark.ml.classification import (
     MultilayerPerceptronClassifier,
     RandomForestClassifier,
 )
+from pyspark.ml.feature import VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark import inheritable_thread_target
+from pyspark import SparkContext, inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabweave.functions.rowwise import clip
+from tabweave.operators.comoments import comoments
 from tabweave.operators.metrics import auc_value
 from tabweave.operators.prep import assemble
 from tabweave.session import materialize
@@ -49,6 +52,18 @@ class Frame:
     def test(self) -> DataFrame:
         return self.data.filter(F.col("split") == "test")
 
+    def sliced(self, cols: Sequence[str]) -> Frame:
+        """The same written rows seen through some of the columns: a projection, not a second table."""
+        if tuple(cols) == self.columns:
+            return self
+        view = vector_slice(self.data, "features", "_slice", [self.columns.index(c) for c in cols])
+        rest = [c for c in self.data.columns if c != "features"]
+        return Frame(view.select(*rest, F.col("_slice").alias("features")), tuple(cols))
+
+
+def vector_slice(df: DataFrame, vector: str, out: str, at: Sequence[int]) -> DataFrame:
+    return VectorSlicer(inputCol=vector, outputCol=out, indices=list(at)).transform(df)
+
 
 def model_frame(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = ()) -> Frame:
     """Assemble and write ``id, label, fold, split, features`` (and ``keep``)."""
@@ -112,9 +127,12 @@ def score(model: Model, df: DataFrame, keep: Sequence[str], name: str = "score")
 
 @dataclass(frozen=True)
 class OofResult:
+    """Out-of-fold scores, test scores, the fold models, and the frame they were fitted on."""
+
     oof: DataFrame
     test: DataFrame
     models: tuple[Model, ...]
+    frame: Frame | None = None
 
     def long(self, member: str) -> DataFrame:
         oof = self.oof.select("id", F.lit("train").alias("split"), F.lit(member).alias("member"), "fold", "score")
@@ -122,13 +140,13 @@ class OofResult:
         return oof.unionByName(test)
 
 
-def fit_all(spark: SparkSession, fits: Sequence[Callable[[], Model]], parallelism: int = 4) -> list[Model]:
-    """Run independent fits side by side, as MLlib's own cross-validator does.
+#: Fits that run side by side; each is a sequence of small jobs that leaves cores idle in between.
+SIDE_BY_SIDE = 6
 
-    Each fit is a sequence of small jobs; running a few at once keeps the executors busy
-    between them.
-    """
-    with ThreadPool(min(parallelism, len(fits))) as pool:
+
+def fit_all(spark: SparkSession, fits: Sequence[Callable[[], Any]], parallelism: int | None = None) -> list:
+    """Run independent fits side by side, as MLlib's own cross-validator does."""
+    with ThreadPool(max(1, min(parallelism or SIDE_BY_SIDE, len(fits)))) as pool:
         return pool.map(lambda task: task(), [inheritable_thread_target(spark)(f) for f in fits])
 
 
@@ -140,51 +158,88 @@ def _watched(estimator: Estimator) -> Estimator:
     return estimator.copy().setValidationIndicatorCol(_WATCHED)
 
 
-def kfold_oof(
-    frame: Frame,
-    estimator: Callable[[int], Estimator] | Estimator,
-    k: int,
-    test_mode: str = "mean",
-    keep: Sequence[str] = (),
-    train_filter: Column | None = None,
-    early_stop: bool = False,
-) -> OofResult:
-    """Fit on the other folds, score the own fold; test rows get the fold mean or one refit.
+Fit = Callable[[int], Estimator] | Estimator
+
 
-    With ``early_stop`` a booster watches its own fold while it grows, and the fold's model is cut
-    to the rounds that fold liked best; a refit grows the mean of those rounds.
+def kfold_many(
+    variants: dict[str, tuple[Frame, Fit]], k: int, test_mode: str = "mean", keep: Sequence[str] = (), early_stop: Sequence[str] = (), patience: int = 0
+) -> dict[str, OofResult]:
+    """K-fold results of several variants, (frame, estimator or a function of the row count), from one bounded pool of fits.
+
+    A fold's model is fitted on the other folds and scores its own; test rows get the mean of the fold models or
+    the score of one refit.  Boosters named in ``early_stop`` watch their own fold while they grow and are cut to the rounds
+    it liked best: by MLlib's rule, or with ``patience`` by :func:`fit_with_patience`; a refit grows the mean of those rounds.
+    Frames may be slices of one written table.
 
     Rows in fold -1 (pseudo rows) train in every fold and are never scored.  Fold models
     are applied to the test side inside one projection, so averaging needs no shuffle.
     """
-    train = frame.train if train_filter is None else frame.train.filter(train_filter)
+    spark = next(iter(variants.values()))[0].data.sparkSession
+    make = {n: est if callable(est) else (lambda _n, est=est: est) for n, (_, est) in variants.items()}
+    distinct = {id(f): f for f, _ in variants.values()}
+    counts = dict(zip(distinct, fit_all(spark, [f.train.count for f in distinct.values()]), strict=True))
+    size = {n: counts[id(f)] for n, (f, _) in variants.items()}
+
+    def one(name: str, i: int) -> Model:
+        train, est = variants[name][0].train, make[name](size[name] * (k - 1) // k)
+        if name not in early_stop:
+            return est.fit(train.filter(F.col("fold") != i))
+        if patience:
+            return fit_with_patience(est, train.filter(F.col("fold") != i), train.filter(F.col("fold") == i), patience)
+        return _watched(est).fit(train.withColumn(_WATCHED, F.col("fold") == i))
+
+    jobs = [(n, i) for n in variants for i in range(k)]
+    fitted = dict(zip(jobs, fit_all(spark, [lambda n=n, i=i: one(n, i) for n, i in jobs]), strict=True))
+    models = {n: tuple(fitted[n, i] for i in range(k)) for n in variants}
+
+    def refit(name: str) -> Model:
+        est = make[name](size[name])
+        if name in early_stop:
+            est = est.copy().setMaxIter(max(1, round(sum(m.getNumTrees for m in models[name]) / k)))
+        return est.fit(variants[name][0].train)
+
+    whole = dict(zip(variants, fit_all(spark, [lambda n=n: refit(n) for n in variants]), strict=True)) if test_mode == "refit" else {}
+
+    def scored(name: str) -> OofResult:
+        frame, oof = variants[name][0], None
+        for i, m in enumerate(models[name]):
+            part = score(m, frame.train.filter(F.col("fold") == i), ["id", "label", "fold", *keep])
+            oof = part if oof is None else oof.unionByName(part)
+        if name in whole:
+            test = score(whole[name], frame.test, ["id", *keep])
+        else:
+            test = frame.test
+            for i, m in enumerate(models[name]):
+                test = score(m, test, [*test.columns], f"_s{i}")
+            mean = sum((F.col(f"_s{i}") for i in range(1, k)), F.col("_s0")) / k
+            test = test.select("id", *keep, mean.alias("score"))
+        return OofResult(materialize(oof, "oof"), test, models[name], frame)
+
+    return dict(zip(variants, fit_all(spark, [lambda n=n: scored(n) for n in variants]), strict=True))
+
+
+def kfold_oof(frame: Frame, estimator: Fit, k: int, test_mode: str = "mean", keep: Sequence[str] = (), early_stop: bool = False, patience: int = 0) -> OofResult:
+    """:func:`kfold_many` of one variant."""
+    return kfold_many({"one": (frame, estimator)}, k, test_mode, keep, ["one"] if early_stop else [], patience)["one"]
+
+
+def kfold_sliced(df: DataFrame, cols: Sequence[str], sliced: Sequence[str], estimator: Callable[[int], Estimator] | Estimator, k: int) -> OofResult:
+    """K-fold fits in which the columns ``sliced`` are arrays with one value for the model of each fold (nested encodings).
+
+    ``df`` has id, label, fold, split; each fold's model sees its own slice, of one written table.
+    """
+    data = materialize(df.select("id", "label", "fold", "split", *cols, *sliced), "sliced")
+    names = [*cols, *sliced]
+    view = [Frame(assemble(data.withColumns({c: F.col(c)[v] for c in sliced}), names, ["id", "label", "fold", "split"]), tuple(names)) for v in range(k)]
     make = estimator if callable(estimator) else (lambda _n: estimator)
-    n = train.count()
-    if early_stop:
-        fits = [lambda i=i: _watched(make(n * (k - 1) // k)).fit(train.withColumn(_WATCHED, F.col("fold") == i)) for i in range(k)]
-    else:
-        fits = [lambda i=i: make(n * (k - 1) // k).fit(train.filter(F.col("fold") != i)) for i in range(k)]
-    if test_mode == "refit" and not early_stop:
-        fits.append(lambda: make(n).fit(train))
-    fitted = fit_all(frame.data.sparkSession, fits)
-    models = fitted[:k]
-    if test_mode == "refit" and early_stop:
-        rounds = max(1, round(sum(m.getNumTrees for m in models) / k))
-        fitted.append(make(n).copy().setMaxIter(rounds).fit(train))
-    oof = None
-    for i, m in enumerate(models):
-        part = score(m, train.filter(F.col("fold") == i), ["id", "label", "fold", *keep])
-        oof = part if oof is None else oof.unionByName(part)
-    oof = materialize(oof, "oof")
-    if test_mode == "refit":
-        test = score(fitted[k], frame.test, ["id", *keep])
-    else:
-        test = frame.test
-        for i, m in enumerate(models):
-            test = score(m, test, [*test.columns], f"_s{i}")
-        mean = sum((F.col(f"_s{i}") for i in range(1, k)), F.col("_s0")) / k
-        test = test.select("id", *keep, mean.alias("score"))
-    return OofResult(oof, test, tuple(models))
+    n = view[0].train.count()
+    models = fit_all(data.sparkSession, [lambda v=v: make(n * (k - 1) // k).fit(view[v].train.filter(F.col("fold") != v)) for v in range(k)])
+    oof = test = None
+    for v, m in enumerate(models):
+        part = score(m, view[v].train.filter(F.col("fold") == v), ["id", "label", "fold"])
+        other = score(m, view[v].test, ["id"])
+        oof, test = (part, other) if oof is None else (oof.unionByName(part), test.unionByName(other))
+    return OofResult(materialize(oof, "oof"), test.groupBy("id").agg(F.avg("score").alias("score")), tuple(models))
 
 
 def oof_auc(result: OofResult) -> float | None:
@@ -192,26 +247,59 @@ def oof_auc(result: OofResult) -> float | None:
 
 
 def train_members(
-    frame: Frame, members: dict[str, Estimator | Callable[[int], Estimator]], k: int, test_mode: str = "mean", early_stop: Sequence[str] = ()
+    frame: Frame, members: dict[str, Estimator | Callable[[int], Estimator]], k: int, test_mode: str = "mean", early_stop: Sequence[str] = (), patience: int = 0
 ) -> DataFrame:
     """Long prediction table of several members, written once; boosters named in ``early_stop`` watch their own fold."""
     out = None
-    for name, est in members.items():
-        one = kfold_oof(frame, est, k, test_mode, early_stop=name in early_stop).long(name)
+    for name, res in kfold_many({n: (frame, est) for n, est in members.items()}, k, test_mode, (), early_stop, patience).items():
+        one = res.long(name)
         out = one if out is None else out.unionByName(one)
     return materialize(out, "pred")
 
 
-def best_prefix(model: Model, validation: DataFrame, patience: int = 100) -> int:
-    """Number of boosting rounds with the lowest validation loss, stopping after ``patience`` worse rounds."""
-    losses = model.evaluateEachIteration(validation)
-    best, best_at = float("inf"), 0
+def best_prefix(losses: Sequence[float], patience: int) -> tuple[int, bool]:
+    """Rounds up to the lowest loss, and whether ``patience`` rounds without a lower one came before the end."""
+    best, at = math.inf, 0
     for i, loss in enumerate(losses):
         if loss < best:
-            best, best_at = loss, i
-        elif i - best_at >= patience:
-            break
-    return best_at + 1
+            best, at = loss, i
+        elif i - at >= patience:
+            return at + 1, True
+    return at + 1, False
+
+
+def prefix_model(booster: Model, rounds: int) -> Model:
+    """The booster of the first ``rounds`` trees: later trees only correct it, so any prefix is a model of its own."""
+    if rounds >= booster.getNumTrees:
+        return booster
+    whole, gateway = booster._java_obj, SparkContext._active_spark_context._gateway
+    trees = gateway.new_array(gateway.jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, rounds)
+    weights = gateway.new_array(gateway.jvm.double, rounds)
+    for i in range(rounds):
+        trees[i], weights[i] = whole.trees()[i], whole.treeWeights()[i]
+    kind = gateway.jvm.org.apache.spark.ml.classification.GBTClassificationModel
+    out = type(booster)(kind(whole.uid(), trees, weights, whole.numFeatures(), whole.numClasses()))
+    for p in booster.params:
+        if booster.isSet(p) and out.hasParam(p.name):
+            out.set(out.getParam(p.name), booster.getOrDefault(p))
+    out._transfer_params_to_java()
+    return out
+
+
+def fit_with_patience(booster: Estimator, train: DataFrame, watch: DataFrame, patience: int = 100) -> Model:
+    """A booster that grows until ``patience`` rounds in a row have not lowered the loss on ``watch``, cut to its best round.
+
+    ``maxIter`` is the most it may grow.  It is grown to twice the patience and then to twice as much each time until
+    that happens (a longer run begins with the same trees), so the cost follows the rounds that are of use, not the limit.
+    """
+    limit = booster.getMaxIter()
+    rounds = min(limit, 2 * patience)
+    while True:
+        fitted = booster.copy().setMaxIter(rounds).fit(train)
+        best, stopped = best_prefix(fitted.evaluateEachIteration(watch), patience)
+        if stopped or rounds >= limit:
+            return prefix_model(fitted, best)
+        rounds = min(limit, 2 * rounds)
 
 
 def importances(models: Sequence[Model], columns: Sequence[str]) -> list[tuple[str, float]]:
@@ -222,22 +310,24 @@ def importances(models: Sequence[Model], columns: Sequence[str]) -> list[tuple[s
 
 # --- linear blends from a Gram matrix --------------------------------------------------
 
-def gram(df: DataFrame, cols: Sequence[str], target: str) -> DataFrame:
-    """Upper triangle of X'X and X'y with an intercept column, from one aggregation: (a, b, value).
+def grams(df: DataFrame, cols: Sequence[str], target: str, by: str | None = None) -> dict[Any, dict[tuple[str, str], float]]:
+    """Upper triangle of X'X and X'y with an intercept column, for each value of ``by``, from one scan.
 
-    Rows with a missing value are left out of every sum, so the matrix is that of one set of rows.
+    Rows with a missing value are left out of every sum, so a matrix is that of one set of rows.
     """
-    df = df.dropna(subset=[*cols, target])
-    names = ["1", *cols]
-    value = {"1": F.lit(1.0), **{c: F.col(c).cast("double") for c in cols}}
-    cells, aggs = [], []
-    for i, a in enumerate(names):
-        for b in [*names[i:], target]:
-            right = F.col(target).cast("double") if b == target else value[b]
-            alias = f"_g{len(aggs)}"
-            aggs.append(F.sum(value[a] * right).alias(alias))
-            cells.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(alias).alias("value")))
-    return df.agg(*aggs).select(F.inline(F.array(*cells)))
+    names = [*cols, target]
+    out = {}
+    for g, m in comoments(df.dropna(subset=names), names, by).items():
+        products, sums = m.sums(), np.diag(m.n * m.mean)
+        cells = {("1", "1"): float(m.n[0, 0]), **{("1", c): float(sums[i]) for i, c in enumerate(names)}}
+        out[g] = cells | {(a, names[j]): float(products[i, j]) for i, a in enumerate(cols) for j in range(i, len(names))}
+    return out
+
+
+def gram(df: DataFrame, cols: Sequence[str], target: str) -> DataFrame:
+    """:func:`grams` of all rows as a table: (a, b, value)."""
+    found = grams(df, cols, target).get(None, {})
+    return df.sparkSession.createDataFrame([(a, b, v) for (a, b), v in found.items()], "a string, b string, value double")
 
 
 def nonnegative_weights(gram_rows: list, cols: Sequence[str], target: str) -> dict[str, float]:
@@ -283,29 +373,55 @@ def nonnegative_weights(gram_rows: list, cols: Sequence[str], target: str) -> di
 
 # --- imputation --------------------------------------------------------------------------
 
-def regressor(kind: str, label: str, features: str = "features") -> Estimator:
+def regressor(kind: str, label: str, features: str = "features", **params: Any) -> Estimator:
     if kind == "gbt":
-        return GBTRegressor(labelCol=label, featuresCol=features, maxIter=5, maxDepth=4, seed=42)
+        return GBTRegressor(labelCol=label, featuresCol=features, **{"maxIter": 5, "maxDepth": 4, "seed": 42, **params})
     if kind == "forest":
-        return RandomForestRegressor(labelCol=label, featuresCol=features, numTrees=10, maxDepth=5, seed=42)
-    return LinearRegression(labelCol=label, featuresCol=features, regParam=1e-3)
+        return RandomForestRegressor(labelCol=label, featuresCol=features, **{"numTrees": 10, "maxDepth": 5, "seed": 42, **params})
+    return LinearRegression(labelCol=label, featuresCol=features, **{"regParam": 1e-3, **params})
+
+
+def target_models(base: DataFrame, targets: Sequence[str], predictors: Sequence[str], kind: str, train: Column | None = None, **params: Any) -> dict[str, Model]:
+    """A regressor per target from the other predictors, on rows where the target is observed (and ``train`` holds).
+
+    ``base`` is a written table with the targets and the vector ``_all`` of all predictors, of which each model sees
+    a slice; the fits share one pool.
+    """
+
+    def one(t: str) -> Model:
+        seen = base.filter(F.col(t).isNotNull() if train is None else F.col(t).isNotNull() & train)
+        return regressor(kind, t, f"_v_{t}", **params).fit(_without(seen, t, predictors).select(t, f"_v_{t}"))
+
+    return dict(zip(targets, fit_all(base.sparkSession, [lambda t=t: one(t) for t in targets]), strict=True))
+
 
+def _without(df: DataFrame, target: str, predictors: Sequence[str]) -> DataFrame:
+    return vector_slice(df, "_all", f"_v_{target}", [i for i, c in enumerate(predictors) if c != target])
 
-def model_impute(df: DataFrame, targets: Sequence[str], predictors: Sequence[str], key: str = "id", kind: str = "gbt", prefix: str = "imp_") -> DataFrame:
+
+def predictor_table(df: DataFrame, targets: Sequence[str], predictors: Sequence[str], keep: Sequence[str]) -> DataFrame:
+    """Written table of ``keep``, the targets and the vector of all predictors."""
+    return materialize(assemble(df, predictors, [*dict.fromkeys([*keep, *targets])], out="_all"), "predictors")
+
+
+def model_impute(
+    df: DataFrame, targets: Sequence[str], predictors: Sequence[str], key: str = "id", kind: str = "gbt", prefix: str = "imp_", **params: Any
+) -> DataFrame:
     """``imp_<target>``: the observed value, or a prediction from the other columns.
 
     Fitted on the rows where the target is observed (train and test together; the label is
     not used).  All targets' predictions are added in one pass over a written table.
     """
-    base = materialize(df.select(key, *dict.fromkeys([*targets, *predictors])), "impute")
-    out = base
-    for t in targets:
-        others = [c for c in predictors if c != t]
-        keep = [*dict.fromkeys([*out.columns])]
-        vectors = assemble(out, others, keep, out=f"_v_{t}")
-        model = regressor(kind, t, f"_v_{t}").fit(
-            assemble(base.filter(F.col(t).isNotNull()), others, [t], out=f"_v_{t}")
-        )
-        model.setPredictionCol(f"_p_{t}")
-        out = model.transform(vectors).drop(f"_v_{t}")
-    return out.select(key, *[F.coalesce(F.col(t), F.col(f"_p_{t}")).alias(f"{prefix}{t}") for t in targets])
+    return imputed_views(df, targets, predictors, {kind: prefix}, key, **params)
+
+
+def imputed_views(df: DataFrame, targets: Sequence[str], predictors: Sequence[str], kinds: dict[str, str], key: str = "id", **params: Any) -> DataFrame:
+    """:func:`model_impute` by several kinds of learners side by side (kind: prefix), in one pass and without a join."""
+    base = predictor_table(df, targets, predictors, [key])
+    out, new = base, []
+    for kind, prefix in kinds.items():
+        for t, m in target_models(base, targets, predictors, kind, **params).items():
+            m.setPredictionCol(f"_p_{prefix}{t}")
+            out = m.transform(_without(out, t, predictors)).drop(f"_v_{t}")
+            new.append(F.coalesce(F.col(t), F.col(f"_p_{prefix}{t}")).alias(f"{prefix}{t}"))
+    return out.select(key, *new)

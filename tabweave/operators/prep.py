@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabweave.functions.rowwise import missing_label
-from tabweave.operators.joins import lookup, sizes_by
+from tabweave.operators.joins import lookup_many, sizes_by
 from tabweave.operators.ordering import cumulate, fit_medians
 from tabweave.operators.sets import vocabulary
 from tabweave.session import materialize
@@ -50,19 +50,15 @@ def mask_block(cols: Sequence[str], prefix: str = "miss_") -> dict[str, Column]:
     return {f"{prefix}{c}": F.col(c).isNull().cast("double") for c in cols}
 
 
-def category_index(rows: DataFrame, cols: Sequence[str], prefix: str = "cat_") -> DataFrame:
+def category_index(rows: DataFrame, cols: Sequence[str], prefix: str = "cat_", key: str = "id") -> DataFrame:
     """0-based position of each label in its column's sorted vocabulary, missing as a label."""
     labels = {c: missing_label(c) for c in cols}
     cells = F.array(*[F.struct(F.lit(c).alias("feature"), e.alias("value")) for c, e in labels.items()])
     table = materialize(
         cumulate(rows.select(F.inline(cells)), "value", ["feature"]).select("feature", "value", "cnt", "idx_before"), "vocab"
     )
-    sizes = sizes_by(table)
-    out = rows
-    for c, e in labels.items():
-        part = table.filter(F.col("feature") == c).select("value", "cnt", F.col("idx_before").alias(f"{prefix}{c}"))
-        out = lookup(out, part, {"value": e}, [f"{prefix}{c}"], "cnt", sizes.get(c, 0))
-    return out
+    cells = {c: {"value": e} for c, e in labels.items()}
+    return lookup_many(rows, table, cells, {c: {"idx_before": f"{prefix}{c}"} for c in cols}, "cnt", sizes_by(table), key)
 
 
 def fit_one_hot(train: DataFrame, cols: Sequence[str]) -> dict[str, list[str]]:

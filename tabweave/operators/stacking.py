@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tabweave.functions.rowwise import logit
 from tabweave.operators.blend import rank_average
 from tabweave.operators.metrics import auc
-from tabweave.operators.model import Frame, OofResult, gram, kfold_oof, logistic, model_frame, nonnegative_weights, ridge
+from tabweave.operators.model import Frame, OofResult, grams, kfold_oof, logistic, model_frame, nonnegative_weights, ridge
 from tabweave.session import materialize
 
 
@@ -44,15 +44,13 @@ def top_coefficients(frame: Frame, k: int, alpha: float = 5.0) -> list[str]:
 def nonnegative_blend(df: DataFrame, cols: Sequence[str], k: int) -> tuple[DataFrame, dict[str, float]]:
     """Out-of-fold non-negative linear blend and the full-data weights.
 
-    Gram matrices per fold come from one grouped aggregation (p^2 sums per fold); leaving a
-    fold out is a subtraction, and scoring is a projection over literal weights.
+    The Gram matrices of all folds come from one scan; leaving a fold out is a subtraction, and
+    scoring is a projection over literal weights.
     """
     train = df.filter(F.col("split") == "train")
-    parts: dict[int, dict[tuple[str, str], float]] = {}
-    for i in range(k):
-        rows = gram(train.filter(F.col("fold") == i), cols, "label").collect()  # (p+1)(p+4)/2 rows
-        parts[i] = {(r["a"], r["b"]): r["value"] or 0.0 for r in rows}
-    total = {key: sum(p[key] for p in parts.values()) for key in parts[0]}
+    found = grams(train, cols, "label", "fold")
+    total = {key: sum(g[key] for g in found.values()) for key in next(iter(found.values()))}
+    parts = {i: found.get(i, dict.fromkeys(total, 0.0)) for i in range(k)}
     solve = lambda g: nonnegative_weights([(a, b, v) for (a, b), v in g.items()], cols, "label")
 
     def scored(w: dict[str, float]) -> Column:

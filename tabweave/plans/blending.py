@@ -56,8 +56,9 @@ def top_members_rank_mean(spark, sf_dir):
 @query("o5_argmax_weight", f"""WITH {MEMBERS_SQL}, g AS (SELECT y, w, w * m_d + (1 - w) * m_f AS s FROM members,
   (SELECT i * 0.25::DOUBLE AS w FROM range(5) t(i))), a AS ({auc_sql('g', 's', 'y', ('w',))}) SELECT w, auc FROM a ORDER BY auc DESC, w LIMIT 1""")
 def argmax_weight(spark, sf_dir):
-    table = blend.auc_per_weight(member_frame(spark, sf_dir), "m_d", "m_f", "y", [i * 0.25 for i in range(5)])
-    return rounded(table.select("w", "auc").orderBy(F.desc("auc"), "w").limit(1), 9)
+    wide = materialize(member_frame(spark, sf_dir).select("y", "m_d", "m_f"), "members")
+    found = blend.best_weight(wide, "m_d", "m_f", "y", [i * 0.25 for i in range(5)], F.lit(1.0))
+    return rounded(spark.createDataFrame([found], "w double, auc double"), 9)
 
 
 @query("b1_rank_average", f"WITH {MEMBERS_SQL}, {_K} SELECT id, {r(f'(r_m_a + r_m_b + r_m_d) / 3 / {_N}', 'score')} FROM k")
@@ -127,7 +128,7 @@ def probability_weight_scan(spark, sf_dir):
 
 # --- the assembled matrix ---------------------------------------------------------------------
 
-_ENC = ("lines", "qty_r", "prio", "dominant")
+_ENC = MatrixSpec().encoded
 _SUM = "CASE WHEN coalesce(qty_r, qty_a, qty_n) IS NOT NULL THEN coalesce(qty_r, 0) + coalesce(qty_a, 0) + coalesce(qty_n, 0) END"
 _ALL3 = "qty_r IS NOT NULL AND qty_a IS NOT NULL AND qty_n IS NOT NULL"
 _MX = f"CASE WHEN {_ALL3} THEN greatest(qty_r, qty_a, qty_n) END"
@@ -178,4 +179,4 @@ q AS (SELECT id AS fid, {', '.join(f'(count(*) OVER (PARTITION BY {c}))::BIGINT
 SELECT {_MATRIX_OUT} FROM wide f JOIN q ON q.fid = f.id LEFT JOIN o ON o.oid = f.id {_FULL} {_KDE_JOIN}
 {' '.join(f"JOIN bq_{c} q_{c} ON q_{c}.bid = f.id LEFT JOIN br_{c} r_{c} ON r_{c}.b = q_{c}.b" for c in ('total_k', 'disc'))}""")
 def feature_matrix(spark, sf_dir):
-    return rounded(build_matrix(order_frame(spark, sf_dir), MatrixSpec(encoded=_ENC)))
+    return rounded(build_matrix(order_frame(spark, sf_dir)))

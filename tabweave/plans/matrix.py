@@ -75,7 +75,7 @@ def build_matrix(frame: DataFrame, spec: MatrixSpec = MatrixSpec()) -> DataFrame
         cols += [f"freq_{c}" for c in spec.encoded]
     if "ref" in spec.families:
         ref = clean_reference(whole)
-        out = refdist.add_ecdf(out, refdist.ecdf_table(ref, base, spec.cdf, "label"), spec.cdf, spec.cdf)
+        out = refdist.add_ecdf(out, refdist.fit_ecdf(ref, spec.cdf, "label"), spec.cdf, spec.cdf, base=base)
         q = refdist.reference_quantiles(ref, [*spec.medians, *spec.rates, *spec.kernels], "label")
         out = refdist.add_reference_scalars(out, refdist.fit_reference(ref, "label", spec.medians, spec.rates, quantiles=q))
         out = refdist.add_kernel_log_ratio(out, refdist.fit_kernels(ref, spec.kernels, "label", quantiles=q), values=base)

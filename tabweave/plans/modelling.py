@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import random
+from collections.abc import Callable, Sequence
 from itertools import combinations
 
-from pyspark.ml import Pipeline
 from pyspark.ml.feature import VectorIndexer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,8 +12,9 @@ from pyspark.sql import functions as F
 from tabweave.functions import rowwise as rw
 from tabweave.operators import encode, joins, metrics, model, prep, sets, stacking
 from tabweave.operators.blend import apply_weight, rank_average, rank_average_long, rank_columns, search_blend_weight, two_way
-from tabweave.operators.folds import stratified_folds
+from tabweave.operators.folds import hash_fold, stratified_folds
 from tabweave.operators.members import pivot_members, standardise
+from tabweave.operators.tuning import Family, halving_search
 from tabweave.plans.catalog import query, r, rounded
 from tabweave.plans.frames import CATS, CONT, FEATURES, FRAME_SQL, MEMBERS, MEMBERS_SQL, member_frame, order_frame
 from tabweave.plans.matrix import MatrixSpec, build_matrix, derived, matrix_columns
@@ -51,6 +51,24 @@ def meta_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return member_frame(spark, sf_dir).withColumnRenamed("y", "label").withColumn("fold", F.pmod(F.col("fold"), F.lit(K)))
 
 
+#: Per operator: which rows its results are over, the names of its variants, and the k-fold results themselves.
+RESULTS: dict[str, tuple[str, list[str], Callable[[SparkSession, str], dict[str, model.OofResult]]]] = {}
+
+
+def results(op: str, variants: Sequence[str], rows: str = "orders"):
+    """Makes the k-fold results of an operator known by name, for its query and for the proofs over them."""
+
+    def add(fn):
+        RESULTS[op] = (rows, list(variants), fn)
+        return fn
+
+    return add
+
+
+def _table(op: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(stacking.variant_table(RESULTS[op][2](spark, sf_dir)))
+
+
 def _auc_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return rounded(spark.createDataFrame(rows, schema))
 
@@ -91,10 +109,20 @@ def main_pipeline(spark, sf_dir):
 
 # --- members -----------------------------------------------------------------------------
 
+@results("m1", ["gbt"])
+def _kfold_results(spark, sf_dir):
+    return {"gbt": model.kfold_oof(model.model_frame(feature_table(spark, sf_dir), RAW), model.gbt(**TREE), K)}
+
+
 @query("m1_kfold_oof")
 def kfold_oof(spark, sf_dir):
+    return _kfold_results(spark, sf_dir)["gbt"].long("gbt")
+
+
+@results("m2", ["gbt_deep", "gbt_wide", "gbt_plain"])
+def _booster_results(spark, sf_dir):
     frame = model.model_frame(feature_table(spark, sf_dir), RAW)
-    return model.kfold_oof(frame, model.gbt(**TREE), K).long("gbt")
+    return model.kfold_many({n: (frame, e) for n, e in model.booster_family(3).items()}, K)
 
 
 @query("m2_boosted_members")
@@ -103,32 +131,45 @@ def boosted_members(spark, sf_dir):
     return model.train_members(frame, model.booster_family(3), K)
 
 
+_LIMIT, _PATIENCE = 300, 10
+
+
+def _patient(spark, sf_dir):
+    """Boosters that may grow hundreds of rounds and are cut where their own fold has not improved for a while."""
+    frame = model.model_frame(feature_table(spark, sf_dir), RAW)
+    est = model.gbt(maxIter=_LIMIT, maxDepth=4, stepSize=0.4, minInstancesPerNode=5)
+    return frame, est, model.kfold_oof(frame, est, K, early_stop=True, patience=_PATIENCE)
+
+
 @query("m2_early_stopping")
 def early_stopping(spark, sf_dir):
     """Rounds allowed and rounds kept per fold: the fold left out decides where its model is cut."""
-    frame = model.model_frame(feature_table(spark, sf_dir), RAW)
-    limit = 6
-    res = model.kfold_oof(frame, model.gbt(maxIter=limit, maxDepth=3, stepSize=0.5), K, early_stop=True)
-    rows = [(i, limit, m.getNumTrees) for i, m in enumerate(res.models)]
+    _, _, res = _patient(spark, sf_dir)
+    rows = [(i, _LIMIT, m.getNumTrees) for i, m in enumerate(res.models)]
     return spark.createDataFrame(rows, "fold int, fitted_rounds int, best_rounds int")
 
 
+_BATTERY = ["base", "forest", "forest_wide", "gbt_shallow"]
+
+
+@results("m3", _BATTERY)
+def _battery_results(spark, sf_dir):
+    frame = model.model_frame(feature_table(spark, sf_dir), RAW)
+    learners = [
+        model.gbt(**TREE), model.forest(8, 5), model.forest(8, 5, featureSubsetStrategy="onethird", maxBins=16), model.gbt(maxIter=4, maxDepth=2, stepSize=0.3),
+    ]
+    return model.kfold_many({m: (frame, e) for m, e in zip(_BATTERY, learners, strict=True)}, K)
+
+
 @query("m3_tree_battery")
 def tree_battery(spark, sf_dir):
-    frame = model.model_frame(feature_table(spark, sf_dir), RAW)
-    family = {
-        "base": model.gbt(**TREE),
-        "forest": model.forest(8, 5),
-        "forest_wide": model.forest(8, 5, featureSubsetStrategy="onethird", maxBins=16),
-        "gbt_shallow": model.gbt(maxIter=4, maxDepth=2, stepSize=0.3),
-    }
-    res = {m: model.kfold_oof(frame, e, K) for m, e in family.items()}
+    res, family = _battery_results(spark, sf_dir), _BATTERY
     wide = None
     for m, one in res.items():
         part = one.oof.select("id", F.col("score").alias(m), *(["label"] if wide is None else []))
         wide = part if wide is None else joins.align(wide, part)
     wide = materialize(wide, "battery")
-    ranked = materialize(rank_columns(wide, list(family), "r_"), "battery")
+    ranked = materialize(rank_columns(wide, family, "r_"), "battery")
     others = [m for m in family if m != "base"]
     scores = [(m, F.col(m)) for m in family] + [(f"{m}|blend", two_way("r_base", f"r_{m}", 0.5)) for m in others]
     long = ranked.select("label", F.inline(F.array(*[F.struct(F.lit(n).alias("name"), e.alias("score")) for n, e in scores])))
@@ -143,18 +184,28 @@ def tree_battery(spark, sf_dir):
 ALL = list(MEMBERS)
 
 
+_PENALTIES = {"l2_c1": (1.0, 0.0), "l2_c03": (0.3, 0.0), "l1_c2": (2.0, 1.0), "elastic_c2": (2.0, 0.5)}
+
+
+@results("m4", _PENALTIES, "members")
+def _logistic_results(spark, sf_dir):
+    frame = stacking.meta_frame(meta_table(spark, sf_dir), ALL)
+    return model.kfold_many({n: (frame, lambda m, c=c, a=a: model.logistic(m, c, a, max_iter=100, tol=1e-8)) for n, (c, a) in _PENALTIES.items()}, K, "refit")
+
+
 @query("m4_logistic_meta")
 def logistic_meta(spark, sf_dir):
-    frame = stacking.meta_frame(meta_table(spark, sf_dir), ALL)
-    specs = {"l2_c1": (1.0, 0.0), "l2_c03": (0.3, 0.0), "l1_c2": (2.0, 1.0), "elastic_c2": (2.0, 0.5)}
-    res = {n: model.kfold_oof(frame, lambda m, c=c, a=a: model.logistic(m, c, a), K, "refit") for n, (c, a) in specs.items()}
-    return rounded(stacking.variant_table(res))
+    return _table("m4", spark, sf_dir)
+
+
+@results("m5", ["ridge"], "members")
+def _ridge_results(spark, sf_dir):
+    return {"ridge": model.kfold_oof(stacking.meta_frame(meta_table(spark, sf_dir), ALL), lambda n: model.ridge(n, 3.0), K, "refit")}
 
 
 @query("m5_ridge_meta")
 def ridge_meta(spark, sf_dir):
-    frame = stacking.meta_frame(meta_table(spark, sf_dir), ALL)
-    return rounded(model.kfold_oof(frame, lambda n: model.ridge(n, 3.0), K, "refit").long("ridge"))
+    return rounded(_ridge_results(spark, sf_dir)["ridge"].long("ridge"))
 
 
 _G = ["1", "m_a", "m_b", "m_c"]
@@ -175,8 +226,8 @@ def nonnegative_blend(spark, sf_dir):
     return rounded(scored.select("id", "split", "score"))
 
 
-@query("m7_perceptron_and_forest_meta")
-def perceptron_and_forest_meta(spark, sf_dir):
+@results("m7", ["perceptron", "forest"], "members")
+def _network_results(spark, sf_dir):
     df = meta_table(spark, sf_dir)
     logits = materialize(stacking.logit_block(df, ALL), "meta")
     cols = [f"l_{m}" for m in ALL]
@@ -184,7 +235,12 @@ def perceptron_and_forest_meta(spark, sf_dir):
     mlp = model.kfold_oof(model.model_frame(z, [f"z_{c}" for c in cols]), model.perceptron(len(cols), (8, 4), 15), K)
     ranked = rank_columns(logits, ALL, "rk_", pct=True)
     rf = model.kfold_oof(model.model_frame(ranked, [f"rk_{m}" for m in ALL]), model.forest(10, 4, minInstancesPerNode=30), K)
-    return rounded(stacking.variant_table({"perceptron": mlp, "forest": rf}))
+    return {"perceptron": mlp, "forest": rf}
+
+
+@query("m7_perceptron_and_forest_meta")
+def perceptron_and_forest_meta(spark, sf_dir):
+    return _table("m7", spark, sf_dir)
 
 
 # --- imputation ------------------------------------------------------------------------------
@@ -214,117 +270,177 @@ def observed_values(spark, sf_dir):
     )
 
 
+_VIEWS = {"gbt": "gbt_", "forest": "forest_", "linear": "linear_"}
+
+
 @query("m9_imputer_views")
 def imputer_views(spark, sf_dir):
-    df = _imputable(spark, sf_dir)
-    out = df.select("id")
-    for kind in ("gbt", "forest", "linear"):
-        out = out.join(model.model_impute(df, CONT, RAW, kind=kind, prefix=f"{kind}_"), "id")
-    return rounded(out)
+    return rounded(model.imputed_views(_imputable(spark, sf_dir), CONT, RAW, _VIEWS))
+
+
+def _held_out(spark, sf_dir) -> dict[str, DataFrame]:
+    """Per continuous column the held-out fifth of its observed rows with predictions from the other columns."""
+    df = stratified_folds(_imputable(spark, sf_dir), "id", "label", 5, name="part")
+    base = model.predictor_table(df, CONT, RAW, ["id", "part"])
+    fitted = model.target_models(base, CONT, RAW, "gbt", F.col("part") > 0)
+    out = {}
+    for t, m in fitted.items():
+        held = base.filter(F.col(t).isNotNull() & (F.col("part") == 0))
+        out[t] = m.transform(model._without(held, t, RAW)).select("id", F.col(t).alias("truth"), "prediction")
+    return out
 
 
 @query("m10_imputability")
 def imputability(spark, sf_dir):
     """R^2 and r of each column predicted from the others on a held-out fifth of its observed rows."""
-    df = stratified_folds(_imputable(spark, sf_dir), "id", "label", 5, name="part")
-    df = materialize(df, "imputability")
-    out = None
-    for t in CONT:
-        seen = prep.assemble(df.filter(F.col(t).isNotNull()), [c for c in RAW if c != t], ["part", t])
-        fitted = model.regressor("gbt", t).fit(seen.filter(F.col("part") > 0))
-        one = metrics.regression_quality(fitted.transform(seen.filter(F.col("part") == 0)), t, "prediction")
-        one = one.select(F.lit(t).alias("feature"), "*")
-        out = one if out is None else out.unionByName(one)
-    verdict = F.when(F.col("r2") > 0.7, "very good").when(F.col("r2") > 0.4, "good").when(F.col("r2") > 0.2, "weak").otherwise("flag instead")
-    return rounded(out.withColumn("verdict", verdict))
+    long = None
+    for t, one in _held_out(spark, sf_dir).items():
+        one = one.select(F.lit(t).alias("feature"), "truth", "prediction")
+        long = one if long is None else long.unionByName(one)
+    out = metrics.regression_quality(long, "truth", "prediction", ["feature"])
+    return rounded(metrics.banded(out, "r2", IMPUTABLE, "verdict"))
 
 
-@query("m11_linear_score_feature")
-def linear_score_feature(spark, sf_dir):
-    """Out-of-fold logistic score over filled, scaled columns and one-hot categories, joined as a feature."""
-    df = feature_table(spark, sf_dir)
+#: What a share of explained variance is called, from the best down.
+IMPUTABLE = ((0.7, "very good"), (0.4, "good"), (0.2, "weak"), (-float("inf"), "flag instead"))
+
+
+def _linear_score(df):
     train = df.filter(F.col("split") == "train")
     scaled = prep.fill_scale(prep.fit_fill_scale(train, CONT))
     hot = prep.one_hot(prep.fit_one_hot(df, ["prio", "seg"]))
     frame = model.model_frame(df.withColumns({**scaled, **hot}), [*scaled, *hot])
-    res = model.kfold_oof(frame, lambda n: model.logistic(n), K, "refit")
+    return model.kfold_oof(frame, lambda n: model.logistic(n, max_iter=100, tol=1e-8), K, "refit")
+
+
+@results("m11", ["linear"])
+def _linear_results(spark, sf_dir):
+    return {"linear": _linear_score(feature_table(spark, sf_dir))}
+
+
+@query("m11_linear_score_feature")
+def linear_score_feature(spark, sf_dir):
+    """Out-of-fold logistic score over filled, scaled columns and one-hot categories, joined as a feature."""
+    df = feature_table(spark, sf_dir)
+    res = _linear_score(df)
     scores = res.oof.select("id", "score").unionByName(res.test.select("id", "score")).withColumnRenamed("score", "linear_score")
     return rounded(joins.align(df.select("id", "label", "split"), scores))
 
 
-@query("m12_pseudo_label_refit")
-def pseudo_label_refit(spark, sf_dir):
+_BANDS = {"hi_0.9": (0.90, 0.10), "hi_0.8": (0.80, 0.20)}
+
+
+@results("m12", ["none", *_BANDS])
+def _pseudo_results(spark, sf_dir):
     frame = model.model_frame(feature_table(spark, sf_dir), RAW)
     base = model.kfold_oof(frame, model.gbt(**TREE), K, keep=["features"])
     test = materialize(base.test, "scored")
-    rows = {"none": base.oof.select("id", "label", "score")}
-    for hi, lo in ((0.90, 0.10), (0.80, 0.20)):
+    res = {"none": base}
+    for name, (hi, lo) in _BANDS.items():
         pseudo = sets.pseudo_rows(test, "score", "label", hi, lo).select("id", "label", "features")
         grown = sets.append_pseudo(frame.train, pseudo.withColumn("split", F.lit("train"))).drop("is_pseudo")
         widened = model.Frame(grown.unionByName(frame.test), frame.columns)
-        rows[f"hi_{hi}"] = model.kfold_oof(widened, model.gbt(**TREE), K).oof
-    return rounded(stacking.variant_table(rows))
+        res[name] = model.kfold_oof(widened, model.gbt(**TREE), K)
+    return res
+
+
+@query("m12_pseudo_label_refit")
+def pseudo_label_refit(spark, sf_dir):
+    return _table("m12", spark, sf_dir)
 
 
 # --- search and ablation -------------------------------------------------------------------------
 
+def _choice(*values):
+    return lambda rng: rng.choice(values)
+
+
+def _between(low: float, high: float):
+    return lambda rng: round(rng.uniform(low, high), 3)
+
+
+def _draw(**space):
+    return lambda rng: {name: pick(rng) for name, pick in space.items()}
+
+
+SEARCHED = {
+    "boosted": Family(
+        _draw(maxDepth=_choice(2, 3, 4, 5), stepSize=_between(0.05, 0.5), subsamplingRate=_between(0.6, 1.0), minInstancesPerNode=_choice(1, 10, 50)),
+        lambda p, n: model.gbt(maxIter=n, **p),
+    ),
+    "binned": Family(
+        _draw(maxDepth=_choice(2, 3, 4), stepSize=_between(0.05, 0.5), maxBins=_choice(16, 32, 64), featureSubsetStrategy=_choice("0.5", "0.7", "all")),
+        lambda p, n: model.gbt(maxIter=n, **p),
+    ),
+    "forest": Family(
+        _draw(depth=_choice(3, 4, 5, 6), featureSubsetStrategy=_choice("sqrt", "onethird", "0.7"), minInstancesPerNode=_choice(1, 10, 50), subsamplingRate=_between(0.6, 1.0)),
+        lambda p, n: model.forest(2 * n, **p),
+    ),
+}
+DRAWS, RUNGS = 40, (1, 3, 6)
+
+
 @query("m13_parameter_search")
 def parameter_search(spark, sf_dir):
-    """Seeded random draws scored on a stratified 10 % hold-out."""
+    """Forty seeded draws for each of three families on a stratified 10 % hold-out, two thirds dropped after each rung."""
     df = stratified_folds(feature_table(spark, sf_dir).filter(F.col("split") == "train"), "id", "label", 10, name="fold")
-    frame = model.model_frame(df, RAW)
-    rng = random.Random(42)
-    draws = [
-        {"maxIter": rng.choice([3, 4, 5]), "maxDepth": rng.randint(2, 4), "stepSize": round(rng.uniform(0.1, 0.5), 3),
-         "subsamplingRate": round(rng.uniform(0.6, 1.0), 2), "minInstancesPerNode": rng.choice([1, 10, 50])}
-        for _ in range(3)
-    ]
-    fit, hold = frame.train.filter(F.col("fold") != 0), frame.train.filter(F.col("fold") == 0)
-    scored = {str(i): model.score(model.gbt(**p).fit(fit), hold, ["label"]) for i, p in enumerate(draws)}
-    table = stacking.variant_table(scored)
-    params = spark.createDataFrame([(str(i), *map(float, p.values())) for i, p in enumerate(draws)],
-                                   "variant string, max_iter double, max_depth double, step_size double, subsampling double, min_rows double")
-    return rounded(table.join(params, "variant").orderBy(F.desc("auc"), "variant"))
-
-
-def ablation(df: DataFrame, sets_of: dict[str, list[str]], est=None) -> DataFrame:
-    """Out-of-fold AUC per named column list and its delta to the first one."""
-    res = {n: model.kfold_oof(model.model_frame(df, cols), est or model.gbt(**TREE), K) for n, cols in sets_of.items()}
-    first = next(iter(sets_of))
+    return rounded(halving_search(model.model_frame(df, RAW), F.col("fold") == 0, SEARCHED, DRAWS, RUNGS))
+
+
+def fold_results(df: DataFrame, sets_of: dict[str, list[str]], est=None) -> dict[str, model.OofResult]:
+    """K-fold results per named column list: slices of one assembled table, fitted in one pool."""
+    frame = model.model_frame(df, list(dict.fromkeys(c for cols in sets_of.values() for c in cols)))
+    return model.kfold_many({n: (frame.sliced(cols), est or model.gbt(**TREE)) for n, cols in sets_of.items()}, K)
+
+
+def ablation(res: dict[str, model.OofResult]) -> DataFrame:
+    """Out-of-fold AUC per variant and its delta to the first one."""
+    first = next(iter(res))
     table = materialize(stacking.variant_table(res).select("variant", "auc"), "ablation")
     base = table.filter(F.col("variant") == first).select("auc").scalar()
     return table.select("variant", "auc", (F.col("auc") - base).alias("delta"))
 
 
+@results("m14", ["raw", "raw+sum", "raw+ratios"])
+def _ablation_results(spark, sf_dir):
+    df = feature_table(spark, sf_dir, "derived")
+    return fold_results(df, {"raw": RAW, "raw+sum": [*RAW, "sum_parts"], "raw+ratios": [*RAW, *[c for c in derived() if c.startswith("ratio_")]]})
+
+
 @query("m14_ablation")
 def ablation_runner(spark, sf_dir):
-    df = feature_table(spark, sf_dir, "derived")
-    return rounded(ablation(df, {"raw": RAW, "raw+sum": [*RAW, "sum_parts"], "raw+ratios": [*RAW, *[c for c in derived() if c.startswith("ratio_")]]}))
+    return rounded(ablation(_ablation_results(spark, sf_dir)))
+
+
+@results("m15", [f"{n}|{d}" for d in (2, 4) for n in ("raw", "wide")])
+def _capacity_results(spark, sf_dir):
+    wide = model.model_frame(feature_table(spark, sf_dir, "derived"), [*RAW, *derived()])
+    frames = {"raw": wide.sliced(RAW), "wide": wide}
+    return model.kfold_many({f"{n}|{d}": (f, model.gbt(maxIter=3, maxDepth=d, stepSize=0.3)) for d in (2, 4) for n, f in frames.items()}, K)
 
 
 @query("m15_capacity_sweep")
 def capacity_sweep(spark, sf_dir):
-    df = materialize(feature_table(spark, sf_dir, "derived"), "capacity")
-    wide = [*RAW, *derived()]
-    res = {
-        f"{n}|{d}": model.kfold_oof(model.model_frame(df, cols), model.gbt(maxIter=3, maxDepth=d, stepSize=0.3), K)
-        for d in (2, 4) for n, cols in (("raw", RAW), ("wide", wide))
-    }
-    t = stacking.variant_table(res).select(F.split("variant", r"\|").alias("v"), "auc")
+    t = stacking.variant_table(_capacity_results(spark, sf_dir)).select(F.split("variant", r"\|").alias("v"), "auc")
     side = lambda n: F.max(F.when(F.col("v")[0] == n, F.col("auc")))
     out = t.groupBy(F.col("v")[1].cast("int").alias("depth")).agg(side("raw").alias("auc_raw"), side("wide").alias("auc_wide"))
     return rounded(out.withColumn("gap", F.col("auc_wide") - F.col("auc_raw")))
 
 
+_SUBSETS = {"first": RAW[:8], "second": RAW[4:], "third": RAW[::2]}
+
+
+@results("m16", _SUBSETS)
+def _subset_results(spark, sf_dir):
+    return fold_results(materialize(feature_table(spark, sf_dir), "subsets"), _SUBSETS)
+
+
 @query("m16_subset_members")
 def subset_members(spark, sf_dir):
     """Boosters on different column subsets, then their rank blend and correlation."""
-    df = materialize(feature_table(spark, sf_dir), "subsets")
-    subsets = {"first": RAW[:8], "second": RAW[4:], "third": RAW[::2]}
-    wide = None
-    for n, cols in subsets.items():
-        oof = model.kfold_oof(model.model_frame(df, cols), model.gbt(**TREE), K).oof
-        part = oof.select("id", F.col("score").alias(n), *(["label"] if wide is None else []))
+    wide, subsets = None, _SUBSETS
+    for n, one in _subset_results(spark, sf_dir).items():
+        part = one.oof.select("id", F.col("score").alias(n), *(["label"] if wide is None else []))
         wide = part if wide is None else joins.align(wide, part)
     blended = materialize(rank_average(materialize(wide, "subsets"), list(subsets)), "subsets")
     res = {n: blended.select("label", F.col(n).alias("score")) for n in subsets} | {"blend": blended.select("label", "score")}
@@ -332,18 +448,23 @@ def subset_members(spark, sf_dir):
     return rounded(stacking.variant_table(res).withColumn("mean_corr", corr))
 
 
+_BAGS = {"a": TREE, "b": {"maxIter": 3, "maxDepth": 4, "stepSize": 0.2}, "c": {"maxIter": 4, "maxDepth": 2, "stepSize": 0.5}}
+_SEEDS = (42, 7, 2024)
+
+
+@results("m17", [f"{n}|{s}" for n in _BAGS for s in _SEEDS])
+def _bag_results(spark, sf_dir):
+    frame = model.model_frame(feature_table(spark, sf_dir), RAW)
+    return model.kfold_many({f"{n}|{s}": (frame, model.gbt(**p, subsamplingRate=0.7, seed=s)) for n, p in _BAGS.items() for s in _SEEDS}, K)
+
+
 @query("m17_seed_bagging")
 def seed_bagging(spark, sf_dir):
-    """Models x seeds: mean of seeds then ranks, against ranks of every run."""
-    frame = model.model_frame(feature_table(spark, sf_dir), RAW)
-    runs = {
-        f"{n}|{s}": model.kfold_oof(frame, model.gbt(**p, subsamplingRate=0.7, seed=s), K).oof
-        for n, p in (("a", TREE), ("b", {"maxIter": 3, "maxDepth": 4, "stepSize": 0.2})) for s in (42, 7)
-    }
+    """Three models x three seeds: mean of seeds then ranks, against ranks of every run."""
     long = None
-    for run, oof in runs.items():
+    for run, res in _bag_results(spark, sf_dir).items():
         m, s = run.split("|")
-        one = oof.select("id", "label", F.lit(m).alias("model"), F.lit(int(s)).alias("seed"), "score")
+        one = res.oof.select("id", "label", F.lit(m).alias("model"), F.lit(int(s)).alias("seed"), "score")
         long = one if long is None else long.unionByName(one)
     long = materialize(long, "runs")
     means = metrics.fold_mean(long, ["id", "model"]).withColumnRenamed("model", "member")
@@ -353,8 +474,8 @@ def seed_bagging(spark, sf_dir):
     return rounded(stacking.variant_table({"mean_then_rank": joins.align(mean_then_rank, label), "all_ranks": joins.align(all_ranks, label)}))
 
 
-@query("m18_class_weights")
-def class_weights(spark, sf_dir):
+@results("m18", ["none", "neg_pos", "balanced"])
+def _weight_results(spark, sf_dir):
     df = feature_table(spark, sf_dir)
     bal = metrics.class_balance(df.filter(F.col("split") == "train"), "label").first()
     weights = {
@@ -363,26 +484,55 @@ def class_weights(spark, sf_dir):
         "balanced": F.when(F.col("label") == 1, F.lit(bal["balanced_weight_pos"])).otherwise(F.lit(bal["balanced_weight_neg"])),
     }
     frame = model.model_frame(df.withColumns({f"w_{n}": e.cast("double") for n, e in weights.items()}), RAW, [f"w_{n}" for n in weights])
-    return rounded(stacking.variant_table({n: model.kfold_oof(frame, model.gbt(**TREE, weightCol=f"w_{n}"), K) for n in weights}))
+    return model.kfold_many({n: (frame, model.gbt(**TREE, weightCol=f"w_{n}")) for n in weights}, K)
 
 
-@query("m19_smoothing_model_sweep")
-def smoothing_model_sweep(spark, sf_dir):
-    """Model AUC on raw columns plus encodings, for several smoothing values of one count table."""
+@query("m18_class_weights")
+def class_weights(spark, sf_dir):
+    return _table("m18", spark, sf_dir)
+
+
+_SMOOTHING = (0.5, 1.0, 2.0, 3.0, 5.0, 10.0, 20.0)
+
+
+@results("m19", [f"m_{m}" for m in _SMOOTHING], "training orders")
+def _smoothing_results(spark, sf_dir):
     df = feature_table(spark, sf_dir)
     train = materialize(df.filter(F.col("split") == "train"), "sweep")
     enc = encode.fit_encoding(train, [*CONT, *CATS], "label", "fold")
-    res = {
-        f"m_{m}": model.kfold_oof(model.model_frame(encode.encode_oof(train, enc, "fold", m), [*RAW, *TE]), model.gbt(**TREE), K)
-        for m in (1.0, 3.0, 20.0)
-    }
-    return rounded(stacking.variant_table(res))
+    return model.kfold_many({f"m_{m}": (model.model_frame(encode.encode_oof(train, enc, "fold", m), [*RAW, *TE]), model.gbt(**TREE)) for m in _SMOOTHING}, K)
+
+
+@query("m19_smoothing_model_sweep")
+def smoothing_model_sweep(spark, sf_dir):
+    """Model AUC on raw columns plus encodings, for several smoothing values of one count table."""
+    return _table("m19", spark, sf_dir)
+
+
+@results("m20", ["logistic", "boosted"])
+def _additivity_results(spark, sf_dir):
+    frame = model.model_frame(feature_table(spark, sf_dir, "te"), TE)
+    return model.kfold_many({"logistic": (frame, lambda n: model.logistic(n, max_iter=100, tol=1e-8)), "boosted": (frame, model.gbt(**TREE))}, K)
 
 
 @query("m20_additivity")
 def additivity(spark, sf_dir):
-    frame = model.model_frame(feature_table(spark, sf_dir, "te"), TE)
-    res = {"logistic": model.kfold_oof(frame, lambda n: model.logistic(n), K), "boosted": model.kfold_oof(frame, model.gbt(**TREE), K)}
+    return _table("m20", spark, sf_dir)
+
+
+@query("m20_nested_additivity")
+def nested_additivity(spark, sf_dir):
+    """The same models on encodings that leave out the row's own inner fold and the model's outer fold, beside those that do not."""
+    df = materialize(order_frame(spark, sf_dir).withColumn("inner", F.col("fold")).withColumn("fold", hash_fold(F.col("id"), K, tag="outer")), "nested")
+    train, test = df.filter(F.col("split") == "train"), df.filter(F.col("split") == "test")
+    flat = encode.fit_encoding(train, [*CONT, *CATS], "label", "inner")
+    plain = encode.encode_oof(train, flat, "inner").unionByName(encode.encode_full(test, flat))
+    enc = encode.fit_nested(train, [*CONT, *CATS], "label", "inner", "fold", K)
+    nested = encode.encode_nested(train, enc, "inner", "fold").unionByName(encode.encode_nested_full(test, enc))
+    res = {}
+    for name, est in {"logistic": lambda n: model.logistic(n, max_iter=100), "boosted": model.gbt(**TREE)}.items():
+        res[f"{name}|leaky"] = model.kfold_oof(model.model_frame(plain, TE), est, K)
+        res[f"{name}|nested"] = model.kfold_sliced(nested, [], TE, est, K)
     return rounded(stacking.variant_table(res))
 
 
@@ -410,28 +560,37 @@ def band_correction(spark, sf_dir):
     return rounded(out.select("id", "split", "score", F.lit(before).alias("auc_before"), F.lit(after).alias("auc_after"), F.lit(applied).cast("int").alias("applied")))
 
 
-@query("m23_passthrough_stack")
-def passthrough_stack(spark, sf_dir):
+@results("m23", ["members", "members+raw", "members+raw+missing"], "members")
+def _passthrough_results(spark, sf_dir):
     df = _with_missing(spark, sf_dir)
     scaled = prep.fill_scale(prep.fit_fill_scale(df.filter(F.col("split") == "train"), CONT))
     logits = stacking.logit_block(df.withColumns(scaled), ALL)
     base = [f"l_{m}" for m in ALL]
     sets_of = {"members": base, "members+raw": [*base, *scaled], "members+raw+missing": [*base, *scaled, "n_missing"]}
-    return rounded(stacking.variant_table({n: model.kfold_oof(model.model_frame(logits, c), lambda m: model.logistic(m), K) for n, c in sets_of.items()}))
+    return fold_results(logits, sets_of, lambda m: model.logistic(m, max_iter=100, tol=1e-8))
 
 
-@query("m24_interaction_stack")
-def interaction_stack(spark, sf_dir):
+@query("m23_passthrough_stack")
+def passthrough_stack(spark, sf_dir):
+    return _table("m23", spark, sf_dir)
+
+
+@results("m24", ["pairs", "logistic"], "members")
+def _interaction_results(spark, sf_dir):
     df = meta_table(spark, sf_dir)
     four = ALL[:4]
     new = rw.pairwise(four)
     frame = model.model_frame(df.withColumns(new), [*four, *new])
-    return rounded(stacking.variant_table({"pairs": model.kfold_oof(frame, model.gbt(**TREE), K), "logistic": model.kfold_oof(frame, lambda n: model.logistic(n), K)}))
+    return model.kfold_many({"pairs": (frame, model.gbt(**TREE)), "logistic": (frame, lambda n: model.logistic(n, max_iter=100, tol=1e-8))}, K)
 
 
-@query("m25_stack_of_stacks")
-def stack_of_stacks(spark, sf_dir):
-    """Logistic model over the out-of-fold logits of four first-level stacks."""
+@query("m24_interaction_stack")
+def interaction_stack(spark, sf_dir):
+    return _table("m24", spark, sf_dir)
+
+
+@results("m25", ["second_level"], "members")
+def _second_level_results(spark, sf_dir):
     df = materialize(meta_table(spark, sf_dir), "meta")
     groups = {"s_all": ALL, "s_front": ALL[:3], "s_back": ALL[3:], "s_odd": ALL[::2]}
     long = None
@@ -440,81 +599,111 @@ def stack_of_stacks(spark, sf_dir):
         long = one if long is None else long.unionByName(one)
     wide = pivot_members(materialize(long, "stacks"), list(groups))
     second = stacking.meta_frame(joins.align(df.select(*BASE), wide), list(groups))
-    res = model.kfold_oof(second, lambda m: model.logistic(m), K, "refit")
-    return rounded(res.long("second_level"))
+    return {"second_level": model.kfold_oof(second, lambda m: model.logistic(m, max_iter=100, tol=1e-8), K, "refit")}
 
 
-@query("m26_member_expansion")
-def member_expansion(spark, sf_dir):
+@query("m25_stack_of_stacks")
+def stack_of_stacks(spark, sf_dir):
+    """Logistic model over the out-of-fold logits of four first-level stacks."""
+    return rounded(_second_level_results(spark, sf_dir)["second_level"].long("second_level"))
+
+
+@results("m26", ["base", "aligned", "all"], "members")
+def _expansion_results(spark, sf_dir):
     df = materialize(meta_table(spark, sf_dir), "meta")
     z = standardise(df, ALL, df.filter(F.col("split") == "train"), probability=["m_a", "m_b", "m_c", "m_d"])
     groups = {"base": ALL[:2], "aligned": ALL[:4], "all": ALL}
-    return rounded(stacking.variant_table({n: model.kfold_oof(model.model_frame(z, c), lambda m: model.logistic(m), K) for n, c in groups.items()}))
+    return fold_results(z, groups, lambda m: model.logistic(m, max_iter=100, tol=1e-8))
+
+
+@query("m26_member_expansion")
+def member_expansion(spark, sf_dir):
+    return _table("m26", spark, sf_dir)
+
+
+@results("m27", ["numeric", "native"])
+def _native_results(spark, sf_dir):
+    """The categories of all rows are indexed once, without labels; the booster then splits on sets of them."""
+    frame = model.model_frame(feature_table(spark, sf_dir), RAW)
+    indexer = VectorIndexer(inputCol="features", outputCol="indexed", maxCategories=32, handleInvalid="keep").fit(frame.data)
+    indexed = indexer.transform(frame.data).drop("features").withColumnRenamed("indexed", "features")
+    native = model.Frame(materialize(indexed, "indexed"), frame.columns)
+    return model.kfold_many({"numeric": (frame, model.gbt(**TREE)), "native": (native, model.gbt(**TREE, maxBins=40))}, K)
 
 
 @query("m27_native_categories")
 def native_categories(spark, sf_dir):
-    df = feature_table(spark, sf_dir)
-    frame = model.model_frame(df, RAW)
-    indexer = VectorIndexer(inputCol="features", outputCol="indexed", maxCategories=32, handleInvalid="keep")
-    booster = model.gbt(**TREE, maxBins=40).setFeaturesCol("indexed")
-    native = Pipeline(stages=[indexer, booster])
-    rows = {"numeric": model.kfold_oof(frame, model.gbt(**TREE), K).oof}
-    parts = None
-    for i in range(K):
-        fitted = native.fit(frame.train.filter(F.col("fold") != i))
-        one = fitted.transform(frame.train.filter(F.col("fold") == i)).select("id", "label", model.score_of(fitted.stages[-1]).alias("score"))
-        parts = one if parts is None else parts.unionByName(one)
-    return rounded(stacking.variant_table(rows | {"native": parts}))
+    return _table("m27", spark, sf_dir)
 
 
-@query("m28_preset_ablations")
-def preset_ablations(spark, sf_dir):
+@results("m28", ["raw", "te_only", "raw+te+products", "raw+flags"])
+def _preset_results(spark, sf_dir):
     df = feature_table(spark, sf_dir, "te", "flags")
     top = [f"te_{c}" for c in ("total_k", "qty", "lines")]
     products = {f"{a}_x_{b}": F.col(a) * F.col(b) for a, b in combinations(top, 2)}
     df = materialize(df.withColumns(products), "presets")
-    return rounded(ablation(df, {"raw": RAW, "te_only": TE, "raw+te+products": [*RAW, *TE, *products], "raw+flags": [*RAW, *[f"miss_{c}" for c in FEATURES]]}))
+    return fold_results(df, {"raw": RAW, "te_only": TE, "raw+te+products": [*RAW, *TE, *products], "raw+flags": [*RAW, *[f"miss_{c}" for c in FEATURES]]})
+
+
+@query("m28_preset_ablations")
+def preset_ablations(spark, sf_dir):
+    return rounded(ablation(_preset_results(spark, sf_dir)))
+
+
+_TUNED = {"default": TREE, "tuned": {"maxIter": 4, "maxDepth": 5, "stepSize": 0.2}}
+
+
+@results("m29", _TUNED)
+def _tuned_results(spark, sf_dir):
+    frame = model.model_frame(feature_table(spark, sf_dir), RAW)
+    return model.kfold_many({n: (frame, model.gbt(**p)) for n, p in _TUNED.items()}, K)
 
 
 @query("m29_default_vs_tuned")
 def default_vs_tuned(spark, sf_dir):
     """Out-of-fold and training-side AUC of two parameter sets on one frame."""
-    frame = model.model_frame(feature_table(spark, sf_dir), RAW)
     rows: dict[str, DataFrame] = {}
-    for n, p in (("default", TREE), ("tuned", {"maxIter": 4, "maxDepth": 5, "stepSize": 0.2})):
-        res = model.kfold_oof(frame, model.gbt(**p), K)
+    for n, res in _tuned_results(spark, sf_dir).items():
         rows[f"{n}|oof"] = res.oof
-        rows[f"{n}|train"] = model.score(res.models[-1], frame.train.filter(F.col("fold") != K - 1), ["label"])
+        rows[f"{n}|train"] = model.score(res.models[-1], res.frame.train.filter(F.col("fold") != K - 1), ["label"])
     t = stacking.variant_table(rows).select(F.split("variant", r"\|").alias("v"), "auc")
     side = lambda s: F.max(F.when(F.col("v")[1] == s, F.col("auc")))
     out = t.groupBy(F.col("v")[0].alias("params")).agg(side("oof").alias("oof_auc"), side("train").alias("train_auc"))
     return rounded(out.withColumn("gap", F.col("train_auc") - F.col("oof_auc")))
 
 
-@query("m30_progressive_families")
-def progressive_families(spark, sf_dir):
+@results("m30", ["raw", "+te", "+ratios", "+derived"])
+def _family_results(spark, sf_dir):
     df = materialize(feature_table(spark, sf_dir, "te", "derived"), "progressive")
     ratios = [c for c in derived() if c.startswith("ratio_")]
-    return rounded(ablation(df, {"raw": RAW, "+te": [*RAW, *TE], "+ratios": [*RAW, *TE, *ratios], "+derived": [*RAW, *TE, *derived()]}))
+    return fold_results(df, {"raw": RAW, "+te": [*RAW, *TE], "+ratios": [*RAW, *TE, *ratios], "+derived": [*RAW, *TE, *derived()]})
+
+
+@query("m30_progressive_families")
+def progressive_families(spark, sf_dir):
+    return rounded(ablation(_family_results(spark, sf_dir)))
 
 
 # --- importances -----------------------------------------------------------------------------------
 
 @query("o2_feature_importance")
 def feature_importance(spark, sf_dir):
-    frame = model.model_frame(feature_table(spark, sf_dir), RAW)
-    res = model.kfold_oof(frame, model.gbt(**TREE), K)
-    table = spark.createDataFrame(model.importances(res.models, frame.columns), "feature string, importance double")
+    res = _kfold_results(spark, sf_dir)["gbt"]
+    table = spark.createDataFrame(model.importances(res.models, res.frame.columns), "feature string, importance double")
     return rounded(table.orderBy(F.desc("importance"), "feature").limit(10))
 
 
-@query("o3_coefficient_subset")
-def coefficient_subset(spark, sf_dir):
+@results("o3", ["top_2", "top_4"], "members")
+def _subset_of_members(spark, sf_dir):
     df = materialize(meta_table(spark, sf_dir), "meta")
     full = stacking.meta_frame(df, ALL)
     res = {}
     for k in (2, 4):
         cols = [c.removeprefix("l_") for c in stacking.top_coefficients(full, k)]
         res[f"top_{k}"] = model.kfold_oof(stacking.meta_frame(df, cols), lambda n: model.logistic(n), K)
-    return rounded(stacking.variant_table(res))
+    return res
+
+
+@query("o3_coefficient_subset")
+def coefficient_subset(spark, sf_dir):
+    return _table("o3", spark, sf_dir)

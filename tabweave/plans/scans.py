@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from tabweave.operators.metrics import auc
+from tabweave.operators.model import gbt, model_frame
 from tabweave.operators.ordering import fit_medians
+from tabweave.operators.runner import run_variants
 from tabweave.plans.catalog import query, r, rounded
-from tabweave.plans.frames import CATS, CONT, FRAME_SQL, MEMBERS_SQL, member_frame, member_long, order_frame
+from tabweave.plans.frames import CATS, CONT, FRAME_SQL, MEMBERS, MEMBERS_SQL, member_frame, member_long, order_frame
 from tabweave.session import new_path
 from tabweave.sources import tables as io
+from tabweave.sources.params import configured, documented
 
 RAW_SCHEMA = StructType(
     [StructField("id", LongType())]
@@ -88,6 +93,33 @@ def metrics_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(io.latest_metrics(spark.read.parquet(path)), 9)
 
 
+_VARIANTS = {"first": "m_a", "second": "m_b", "even": "(m_a + m_b) / 2", "third": "(m_a + m_b + m_c) / 3"}
+
+
+@query("s6_resumed_run", f"""WITH {MEMBERS_SQL}, runs AS ({' UNION ALL '.join(_AUC.format(m=n, wave=0, bonus=0, expr=e) for n, e in _VARIANTS.items())})
+SELECT variant, (SELECT count(*) FROM members)::BIGINT AS n_rows, 1::BIGINT AS n_built, {r('auc', 'auc', 9)} FROM runs""")
+def resumed_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four variants scored in a run that breaks off after two and is taken up again: each is built once."""
+    folder, wide, built = new_path(spark, "runs"), member_frame(spark, sf_dir), []
+
+    def build(params: dict) -> DataFrame:
+        if len(built) == 2 and not broken:
+            broken.append(True)
+            raise KeyboardInterrupt
+        built.append(params["expr"])
+        return wide.select("id", F.col("y").alias("label"), F.expr(params["expr"]).alias("score"))
+
+    broken: list[bool] = []
+    variants = {n: ({"expr": e}, build) for n, e in _VARIANTS.items()}
+    try:
+        run_variants(spark, folder, variants)
+    except KeyboardInterrupt:
+        pass
+    done = run_variants(spark, folder, variants)
+    counts = spark.createDataFrame([(n, built.count(e)) for n, e in _VARIANTS.items()], "variant string, n_built bigint")
+    return rounded(done.join(counts, "variant").select("variant", "n_rows", "n_built", "auc"), 9)
+
+
 @query("s7_feature_cache", f"""WITH {FRAME_SQL}
 SELECT id, {r('coalesce(total_k, (SELECT median(total_k) FROM frame))', 'total_filled')} FROM frame""")
 def feature_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,7 +134,8 @@ def feature_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(io.cached_artefact(spark, path, build))  # the second call only scans
 
 
-@query("s8_params_scan")
+@query("s8_params_scan", f"""WITH {MEMBERS_SQL}
+SELECT 5::INT AS max_iter, count(*) FILTER (m_a >= (SELECT round(avg(m_a), 6) FROM members))::BIGINT AS n_over FROM members""")
 def params_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tuned parameters written as JSON, read back and applied: rows per member count kept by them."""
     path = new_path(spark, "params")
@@ -115,6 +148,31 @@ def params_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_BOOSTER = {"maxIter": 3, "maxDepth": 2, "stepSize": 0.25, "seed": 7}
+
+
+@query("s8_typed_params", f"""WITH {MEMBERS_SQL}, n AS (SELECT count(*) FILTER (split = 'train')::BIGINT AS n_fit, count(*) FILTER (split = 'test')::BIGINT AS n_scored FROM members)
+SELECT param, value, 3::BIGINT AS n_trees, n_fit, n_scored, 2::BIGINT AS n_refused
+FROM n, (VALUES ('maxIter', '3'), ('maxDepth', '2'), ('stepSize', '0.25'), ('seed', '7')) p(param, value)""")
+def typed_params_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A parameter document read, checked against the booster's parameters, fitted, and read off the fitted model; bad documents are refused."""
+    path = new_path(spark, "params")
+    spark.createDataFrame([(json.dumps(_BOOSTER),)], "value string").coalesce(1).write.text(path)
+    booster = configured(gbt(), io.read_params(spark, path))
+    refused = 0
+    for bad in ({"maxDepth": "two"}, {"depth": 2}):
+        try:
+            configured(gbt(), bad)
+        except ValueError:
+            refused += 1
+    frame = model_frame(member_frame(spark, sf_dir).withColumnRenamed("y", "label"), list(MEMBERS))
+    fitted = booster.fit(frame.train)
+    known = documented(fitted)
+    n_fit, n_scored = frame.train.count(), fitted.transform(frame.test).count()
+    rows = [(p, known[p], fitted.getNumTrees, n_fit, n_scored, refused) for p in _BOOSTER]
+    return spark.createDataFrame(rows, "param string, value string, n_trees bigint, n_fit bigint, n_scored bigint, n_refused bigint")
+
+
 @query("s9_score_contract", f"""WITH {MEMBERS_SQL}
 SELECT count(*)::BIGINT AS n_rows, count(DISTINCT id)::BIGINT AS n_ids, (max(id) - min(id) + 1 = count(*))::INT AS dense,
   0::BIGINT AS n_not_finite, count(*) FILTER (m_a <= 1e-12 OR m_a > 1 + 1e-9)::BIGINT AS n_out_of_range,

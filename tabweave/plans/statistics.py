@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabweave.functions import rowwise as rw
-from tabweave.operators import encode, joins, metrics, ordering, prep, profile, refdist
+from tabweave.operators import encode, joins, metrics, ordering, prep, profile, refdist, search
 from tabweave.operators.blend import auc_per_weight
-from tabweave.operators.folds import seeded_sample, stratified_folds
+from tabweave.operators.folds import hash_fold, seeded_sample, stratified_folds
 from tabweave.plans.catalog import query, r, rounded
 from tabweave.plans.frames import (
     CATS,
@@ -26,6 +26,7 @@ from tabweave.plans.frames import (
     member_frame,
     member_long,
     order_frame,
+    sql_hash,
     table,
 )
 from tabweave.plans.rows import EXTENDED_SQL, extended_frame
@@ -92,6 +93,34 @@ def oof_target_encoding(spark, sf_dir):
     return rounded(encode.encode_oof(train, enc, "fold", 3.0).select("id", *[f"te_{c}" for c in ENC_COLS]))
 
 
+_NESTED_COLS, _OUTER = ["prio", "lines"], 3
+
+
+def _nested_sql(key: str, v: int) -> str:
+    """What outer fold ``v``'s model may know of a row's key: by windows over the key, and over the key and inner fold."""
+    prior = f"(SELECT sum(label)::DOUBLE / count(*) FROM t WHERE outer_fold <> {v})"
+
+    def rest(what: str) -> str:
+        both = f"{what} FILTER (outer_fold = {v})"
+        alone = f"({what} OVER (PARTITION BY {key}) - coalesce({both} OVER (PARTITION BY {key}), 0))"
+        own = f"({what} OVER (PARTITION BY {key}, fold) - coalesce({both} OVER (PARTITION BY {key}, fold), 0))"
+        return f"({alone} - CASE WHEN outer_fold = {v} THEN 0 ELSE {own} END)"
+
+    n, s = rest("count(*)"), rest("sum(label)")
+    return f"CASE WHEN {n} = 0 THEN {prior} ELSE ({s}::DOUBLE + 3.0 * {prior}) / ({n} + 3.0)::DOUBLE END"
+
+
+@query("a2_nested_encoding", f"""WITH {FRAME_SQL}, t AS MATERIALIZED (SELECT *, {sql_hash('id', 'outer')} % {_OUTER} AS outer_fold FROM frame WHERE split = 'train')
+SELECT id, outer_fold, {', '.join(r(_nested_sql(c, v), f'te_{c}_{v}') for c in _NESTED_COLS for v in range(_OUTER))} FROM t""")
+def nested_encoding(spark, sf_dir):
+    """The encodings that the models of other folds than the encodings' may use: both a row's inner fold and the model's outer fold are left out."""
+    frame = _frame(spark, sf_dir, "id", *_NESTED_COLS, "label", "fold", "split").filter(F.col("split") == "train")
+    train = materialize(frame.withColumn("outer_fold", hash_fold(F.col("id"), _OUTER, tag="outer")), "frame")
+    enc = encode.fit_nested(train, _NESTED_COLS, "label", "fold", "outer_fold", _OUTER)
+    out = encode.encode_nested(train, enc, "fold", "outer_fold")
+    return rounded(out.select("id", "outer_fold", *[F.col(f"te_{c}")[v].alias(f"te_{c}_{v}") for c in _NESTED_COLS for v in range(_OUTER)]))
+
+
 @query("a3_test_encoding", f"""WITH {FRAME_SQL}, {_TRAIN} SELECT id, {', '.join(r(f'coalesce(e{i}.e, {_prior("train")})', 'te_' + c) for i, c in enumerate(ENC_COLS))}
 FROM (SELECT * FROM frame WHERE split = 'test') q {' '.join(
     f"LEFT JOIN (SELECT {c}, (sum(label)::DOUBLE + 3.0 * {_prior('train')}) / (count(*) + 3.0)::DOUBLE AS e FROM train GROUP BY {c}) e{i} "
@@ -177,14 +206,8 @@ def encoding_lookup(spark, sf_dir):
 def reference_position(spark, sf_dir):
     cols = ["total_k", "disc"]
     frame = _written(spark, sf_dir, "id", "status", "label", *cols)
-    known = F.when(F.col("status") == "P", 1).otherwise(0)
-    cum = ordering.cumulate(ordering.melt(frame, cols, ["status"]), "value", ["feature"], {"ref": known, "w": F.lit(1)})
-    spots = materialize(cum.select("feature", "value", "w", (F.col("ref_before") + F.col("ref")).alias("pos")), "position")
-    out = frame
-    for c in cols:
-        part = spots.filter(F.col("feature") == c).select("value", "w", F.col("pos").alias(f"pos_{c}"))
-        out = joins.lookup(out, part, {"value": F.col(c)}, [f"pos_{c}"], weight="w")
-    return out.select("id", *[f"pos_{c}" for c in cols])
+    fitted = search.reference_sums(archive(frame), cols, {"below": F.lit(1)})
+    return search.add_running_sums(frame, fitted, {c: {"below": f"pos_{c}"} for c in cols}).select("id", *[f"pos_{c}" for c in cols])
 
 
 @query("j4_block_assembly", f"""WITH {FRAME_SQL} SELECT frame.id, {r('total_k', 'total_k')}, freq_prio, {r('ratio_bal', 'ratio_bal')} FROM frame
@@ -393,16 +416,16 @@ def _cdf_sql(c: str, where: str = "TRUE") -> str:
     r(f'CASE WHEN f.{c} IS NOT NULL THEN {_cdf_sql(c)} END', f'{c}__ref_cdf') for c in CDF_COLS)} FROM frame f""")
 def reference_cdf(spark, sf_dir):
     frame = _written(spark, sf_dir, "id", "status", "label", *CDF_COLS)
-    cdf = refdist.ecdf_table(archive(frame), frame, CDF_COLS, "label")
-    return rounded(refdist.add_ecdf(frame, cdf, CDF_COLS).select("id", *[f"{c}__ref_cdf" for c in CDF_COLS]))
+    fitted = refdist.fit_ecdf(archive(frame), CDF_COLS, "label")
+    return rounded(refdist.add_ecdf(frame, fitted, CDF_COLS).select("id", *[f"{c}__ref_cdf" for c in CDF_COLS]))
 
 
 @query("a18_class_cdf_gap", f"""WITH {FRAME_SQL}, {REF_SQL} SELECT id, {', '.join(
     r(f"CASE WHEN f.{c} IS NOT NULL THEN {_cdf_sql(c, 'label = 0')} - {_cdf_sql(c, 'label = 1')} END", f'{c}__ref_cdf_gap') for c in CDF_COLS)} FROM frame f""")
 def class_cdf_gap(spark, sf_dir):
     frame = _written(spark, sf_dir, "id", "status", "label", *CDF_COLS)
-    cdf = refdist.ecdf_table(archive(frame), frame, CDF_COLS, "label")
-    return rounded(refdist.add_ecdf(frame, cdf, gap_cols=CDF_COLS).select("id", *[f"{c}__ref_cdf_gap" for c in CDF_COLS]))
+    fitted = refdist.fit_ecdf(archive(frame), CDF_COLS, "label")
+    return rounded(refdist.add_ecdf(frame, fitted, gap_cols=CDF_COLS).select("id", *[f"{c}__ref_cdf_gap" for c in CDF_COLS]))
 
 
 @query("a19_median_distance", f"""WITH {FRAME_SQL}, {REF_SQL} SELECT id, {', '.join(

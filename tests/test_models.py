@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tabweave.operators import encode, model
+from tabweave.operators import certificates, encode, model
 from tabweave.operators.metrics import auc_value
 from tabweave.plans import registry
 from tabweave.plans.modelling import K, RAW, TREE, feature_table
@@ -123,3 +123,79 @@ def test_every_continuous_column_is_imputed(spark, sf_dir):
     assert set(got.columns) == {"id", *[f"imp_{c}" for c in CONT]}
     assert got.dropna().count() == got.count() > 0
     assert {r["feature"] for r in QUERIES["m10_imputability"](spark, sf_dir).collect()} == set(CONT)
+
+
+def test_a_slice_of_a_frame_gives_the_models_of_its_columns(spark, frame):
+    cols = RAW[2:7]
+    own = model.Frame(frame.data.select("id", "label", "fold", "split", F.col("features")), frame.columns).sliced(cols)
+    both = model.kfold_many({"sliced": (own, model.gbt(**TREE)), "linear": (own, lambda n: model.logistic(n)), "whole": (frame, model.gbt(**TREE))}, K)
+    assert both["sliced"].models[0].numFeatures == len(cols) and both["whole"].models[0].numFeatures == len(RAW)
+    again = model.kfold_oof(frame.sliced(cols), model.gbt(**TREE), K)
+    gap = both["sliced"].oof.join(again.oof.withColumnRenamed("score", "again"), "id").agg(F.count(F.lit(1)), F.max(F.abs(F.col("score") - F.col("again")))).first()
+    assert gap[0] == frame.train.count() and gap[1] == 0
+
+
+def test_a_prefix_of_a_booster_is_the_booster_of_fewer_rounds(frame):
+    assert model.best_prefix([5, 4, 3, 3, 4, 2], 2) == (3, True) and model.best_prefix([5, 4, 3, 3, 4, 2], 3) == (6, False) and model.best_prefix([1.0], 1) == (1, False)
+    train, watch = frame.train.filter("fold <> 0"), frame.train.filter("fold = 0")
+    est = model.gbt(maxIter=12, maxDepth=3, stepSize=0.3)
+    cut, few = model.prefix_model(est.fit(train), 5), est.copy().setMaxIter(5).fit(train)
+    assert cut.getNumTrees == 5 and cut.getMaxDepth() == 3
+    both = model.score(cut, watch, ["id"]).join(model.score(few, watch, ["id"], "few"), "id")
+    assert both.filter(F.abs(F.col("score") - F.col("few")) > 1e-12).count() == 0 and both.count() == watch.count()
+
+
+def test_patience_cuts_hundreds_of_rounds(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    rows = [(i, float(x := rng.normal()), float(rng.normal()), int(x + rng.normal() > 0), i % 2, "train") for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, label int, fold int, split string")
+    frame = model.model_frame(df, ["a", "b"])
+    est = model.gbt(maxIter=400, maxDepth=3, stepSize=0.5)
+    train, watch = frame.train.filter("fold = 0"), frame.train.filter("fold = 1")
+    fitted = model.fit_with_patience(est, train, watch, patience=5)
+    losses = est.copy().setMaxIter(fitted.getNumTrees + 5).fit(train).evaluateEachIteration(watch)
+    assert fitted.getNumTrees < 60 and int(np.argmin(losses)) + 1 == fitted.getNumTrees
+
+
+def test_nested_encodings_of_a_random_label_tell_nothing(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(12)
+    n = 4_000
+    rows = [(i, int(rng.integers(0, 1_300)), int(rng.integers(0, 2)), int(rng.integers(0, 2)), int(rng.integers(0, 3)), "train") for i in range(n)]
+    df = spark.createDataFrame(rows, "id long, k int, label int, inner int, fold int, split string").cache()
+    enc = encode.fit_nested(df, ["k"], "label", "inner", "fold", 3, m=0.5)
+    nested = model.kfold_sliced(encode.encode_nested(df, enc, "inner", "fold"), [], ["te_k"], lambda m: model.logistic(m), 3)
+    assert abs(auc_value(nested.oof, "score", "label") - 0.5) < 0.04
+    assert nested.oof.count() == n and nested.oof.select("id").distinct().count() == n
+
+
+def test_proofs_tell_a_fitted_model_from_another(frame):
+    fit, other = frame.train.filter("fold <> 0"), frame.train.filter("fold = 0")
+    n = fit.count()
+    good, poor = model.logistic(n, max_iter=100, tol=1e-8).fit(fit), model.logistic(n, max_iter=1).fit(fit)
+    assert certificates.linear_residual(good, fit) <= certificates.GRADIENT < certificates.linear_residual(poor, fit)
+    assert certificates.linear_residual(model.logistic(n, 2.0, 1.0, 200, 1e-9).fit(fit), fit) <= certificates.GRADIENT
+    booster = model.gbt(**TREE).fit(fit)
+    assert certificates.booster_residual(booster, fit) <= certificates.EXACT < certificates.booster_residual(booster, other)
+    for m in (booster, model.gbt(**TREE, subsamplingRate=0.5).fit(fit), model.forest(5, 3).fit(fit)):
+        assert certificates.ensemble_residual(m, other) <= certificates.EXACT
+    assert certificates.network_residual(model.perceptron(len(RAW), (5, 3), 3).fit(fit), other) <= certificates.EXACT
+
+
+def test_search_drops_bad_draws_early(frame):
+    from tabweave.operators.tuning import Family, halving_search
+
+    made = []
+
+    def make(p, rounds):
+        made.append((p["maxDepth"], rounds))
+        return model.gbt(maxIter=rounds, **p)
+
+    found = halving_search(frame, F.col("fold") == 0, {"gbt": Family(lambda rng: {"maxDepth": rng.choice([1, 2, 3])}, make)}, 5, (1, 2), seed=3).collect()
+    assert [sum(r["rung"] == i for r in found) for i in (0, 1)] == [5, 2] and len(made) == 7
+    first = sorted((r["auc"] for r in found if r["rung"] == 0), reverse=True)
+    assert sorted((r["auc"] for r in found if r["rung"] == 0 and r["kept"]), reverse=True) == first[:2]
+    assert {r["n_held"] for r in found} == {frame.train.filter("fold = 0").count()} and found[0]["kept"]

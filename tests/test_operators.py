@@ -104,7 +104,7 @@ def test_lookup_is_the_same_on_every_path(frame, monkeypatch, limit, hot_parts):
 def test_ecdf_matches_searchsorted(frame):
     df, pdf = frame
     ref, rows = df.filter("id % 2 = 0"), df
-    got = refdist.add_ecdf(rows, refdist.ecdf_table(ref, rows, ["v"], "y"), ["v"], ["v"]).toPandas().set_index("id").sort_index()
+    got = refdist.add_ecdf(rows, refdist.fit_ecdf(ref, ["v"], "y"), ["v"], ["v"]).toPandas().set_index("id").sort_index()
     r = pdf[pdf.id % 2 == 0].dropna(subset=["v"])
     cdf = lambda a: np.searchsorted(np.sort(a), pdf.v, side="right") / len(a)
     want, gap = cdf(r.v), cdf(r.v[r.y == 0]) - cdf(r.v[r.y == 1])
@@ -209,3 +209,54 @@ def test_steps_cover_bucket_borders(frame):
     got = profile.steps(df, ["x"]).orderBy("value").toPandas()
     want = np.diff(np.sort(pdf.x.unique()))
     np.testing.assert_allclose(got.step, want, atol=1e-12)
+
+
+def test_nested_encodings_equal_refitting_without_both_folds(spark):
+    rng = np.random.default_rng(8)
+    n, k, inner = 900, 3, 4
+    pdf = pd.DataFrame({"id": np.arange(n), "k": rng.integers(0, 40, n).astype(str), "v": rng.integers(0, 5, n).astype(float), "y": rng.integers(0, 2, n), "e": rng.integers(0, inner, n), "o": rng.integers(0, k, n)})
+    pdf.loc[::13, "k"] = None
+    df = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None).values.tolist(), "id long, k string, v double, y int, e int, o int").repartition(4).cache()
+    features = ["k", ("k", "v")]
+    enc = encode.fit_nested(df, features, "y", "e", "o", k)
+    got = encode.encode_nested(df, enc, "e", "o").toPandas().set_index("id").sort_index()
+    test = encode.encode_nested_full(df.drop("y", "e", "o"), enc).toPandas().set_index("id").sort_index()
+    for name, cols in (("te_k", ["k"]), ("te_k__v", ["k", "v"])):
+        key = pdf[cols].astype(str).apply(tuple, axis=1)
+        for v in range(k):
+            prior = pdf.y[pdf.o != v].mean()
+
+            def fit(rows):
+                g = pdf[rows].y.groupby(key[rows]).agg(["count", "sum"])
+                return key.map((g["sum"] + 3 * prior) / (g["count"] + 3)).fillna(prior).to_numpy(float)
+
+            whole = fit(pdf.o != v)
+            want = whole.copy()
+            for e in range(inner):
+                mine = ((pdf.e == e) & (pdf.o != v)).to_numpy()
+                want[mine] = fit((pdf.o != v) & (pdf.e != e))[mine]
+            np.testing.assert_allclose(np.stack(got[name])[:, v], want, atol=1e-12)
+            np.testing.assert_allclose(np.stack(test[name])[:, v], whole, atol=1e-12)
+
+
+def test_labels_of_a_left_out_fold_do_not_reach_its_model(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, int(rng.integers(0, 300)), int(rng.integers(0, 2)), int(rng.integers(0, 10)), int(rng.integers(0, 3))) for i in range(2_400)]
+    df = spark.createDataFrame(rows, "id long, k int, y int, e int, o int").cache()
+    flipped = df.withColumn("y", F.when(F.col("o") == 1, 1 - F.col("y")).otherwise(F.col("y")))
+    value = [
+        {r["id"]: r["x"] for r in encode.encode_nested(d, encode.fit_nested(d, ["k"], "y", "e", "o", 3), "e", "o").select("id", F.col("te_k")[1].alias("x")).collect()}
+        for d in (df, flipped)
+    ]
+    assert value[0] == value[1]  # the model that leaves fold 1 out sees the same features whatever fold 1's labels are
+
+
+def test_heavy_tails_leave_few_kernel_cells(spark):
+    """By Chebyshev at most n / K^2 values lie beyond K deviations, so cells number about 80 K + n / K^2: 120 (n / 40)^(1/3)."""
+    n = 1_000_000
+    ref = spark.range(n).select((F.pow(1 - (F.col("id") + 0.5) / n, F.lit(-1 / 1.2)) * F.when(F.col("id") % 2 == 0, 1).otherwise(-1)).alias("x"), (F.col("id") % 3 == 0).cast("int").alias("y"))
+    fit = refdist.fit_kernels(ref, ["x"], "y")["x"]
+    assert ref.select("x").distinct().count() > 900_000
+    assert sum(len(c[0]) for c in fit.cells) < 10_000
+    got = [r[0] for r in spark.createDataFrame([(1.5,), (-40.0,), (9e4,), (1e7,)], "x double").select(refdist.kernel_log_ratio(F.col("x"), fit)).collect()]
+    assert all(np.isfinite(v) for v in got) and abs(got[0] - got[1]) < 20

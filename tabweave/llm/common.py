@@ -40,6 +40,15 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names with as many underscores in front that no column of ``df`` has them, in upper or lower case."""
+    taken = {c.lower() for c in df.columns}
+    lead = "_"
+    while any(f"{lead}{n}".lower() in taken for n in names):
+        lead += "_"
+    return [f"{lead}{n}" for n in names]
+
+
 def text_key(col: str = "text") -> Column:
     """64-bit key of a text's bytes; null texts share one key."""
     return F.xxhash64(F.coalesce(F.col(col), F.lit("\0null")))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabweave.llm.chunks import BROADCAST_BYTES, QUESTION, Chunk, answers, chunk_documents, each_chunk, fragments_for, joined, questions, squeeze, with_answers
-from tabweave.llm.common import gram_hashes, keep, mix, query, signed, table, trimmed
+from tabweave.llm.common import free_names, gram_hashes, keep, mix, query, signed, table, trimmed
 from tabweave.llm.graph import components
 from tabweave.operators.joins import lookup
 
@@ -19,8 +19,8 @@ SHINGLE_WORDS = 5
 ORDER_FRAGMENTS = 8
 #: Hash functions by which near copies find a common centre.
 CENTRES = 4
-#: Nodes of one component are listed in so many parts at most.
-LIST_PARTS = 256
+#: Logarithm of the ratio between the ends of a band of set sizes.
+BAND = 0.1
 
 
 def shingle_sets(chunk: Chunk, k: int, which: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -184,11 +184,13 @@ def _linked(pairs: DataFrame, segments: DataFrame, sets: DataFrame, percent: int
 
 
 def _cross_pairs(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs of sets in different components that share a shingle in both their prefixes, by the global order.
+    """Pairs of sets in different components whose first common shingle leaves room for the overlap they need.
 
-    Two similar sets share one of the first n - ceil(percent n / 100) + 1 shingles of each, and so
-    many of them that what follows the prefixes can make up the rest of the overlap they need.
-    Pairs inside a component are known to be connected and never formed.
+    Similar sets of sizes m <= n have ceil(percent (m + n) / (100 + percent)) shingles in common.  The first of them, by
+    the global order, has as many in either set from itself on.  So an entry (shingle, set) bounds the sizes
+    its set can meet there: the smaller set has the shingle in a short prefix, and the larger one is
+    sent to the bands of the sizes in its reach.  Sets that only share something common, late in their
+    order, never meet.  Pairs inside a component are known to be connected and never formed.
     """
 
     def prefixes(batches):
@@ -197,25 +199,27 @@ def _cross_pairs(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
             take = np.maximum(n - -(-percent * n // 100) + 1 - skipped, 0)
             raw = [np.frombuffer(x, "<i8")[:t] for x, t in zip(b.column("shingles").to_pylist(), take.tolist(), strict=True)]
             lengths = np.array([len(x) for x in raw], np.int64)
-            at = pa.array(np.repeat(np.arange(len(raw)), lengths))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(raw or [np.zeros(0, np.int64)])), b.column("node").take(at), b.column("n").take(at), b.column("component").take(at)], names=["key", "node", "n", "component"])
+            own = np.repeat(np.arange(len(raw)), lengths)
+            place = np.arange(len(own)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + skipped[own]
+            at, left = pa.array(own), n[own] - place
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(raw or [np.zeros(0, np.int64)])), b.column("node").take(at), b.column("n").take(at), b.column("component").take(at), pa.array(left)], names=["key", "node", "n", "component", "left"]
+            )
 
     labelled = sets.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")).select("node", "n", "skipped", "shingles", "component")
-    rows = keep(labelled.mapInArrow(trimmed(prefixes), "key long, node long, n long, component long"), "prefixes")
+    rows = keep(labelled.mapInArrow(trimmed(prefixes), "key long, node long, n long, component long, left long"), "prefixes")
     several = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-    lists = rows.join(several, "key").groupBy("key", "component", F.pmod(F.xxhash64("node"), F.lit(LIST_PARTS)).alias("part")).agg(F.collect_list(F.struct("node", "n")).alias("nodes"))
-    lists = lists.select("key", "component", "nodes")
-    other = lists.select("key", F.col("component").alias("component_b"), F.col("nodes").alias("nodes_b"))
-    met = lists.join(other, "key").filter("component < component_b")
-    each = met.select(F.explode("nodes").alias("x"), "nodes_b").select("x", F.explode("nodes_b").alias("y"))
-    close = each.filter((F.col("x.n") * 100 >= F.col("y.n") * percent) & (F.col("y.n") * 100 >= F.col("x.n") * percent))
-    first = F.col("x.node") < F.col("y.node")
-    pick = lambda f, yes: F.when(first == yes, F.col(f"x.{f}")).otherwise(F.col(f"y.{f}"))
-    shared = close.select(pick("node", True).alias("a"), pick("node", False).alias("b"), pick("n", True).alias("na"), pick("n", False).alias("nb")).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("c"))
-    # behind its prefix a set has ceil(percent n / 100) - 1 shingles, so the overlap is at most what the prefixes share and these
-    rest = lambda n: F.ceil(F.col(n) * percent / F.lit(100)) - 1
-    enough = (F.col("c") + F.greatest(rest("na"), rest("nb"))) * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
-    return shared.filter(enough).select("a", "b")
+    rows = rows.join(several, "key")
+    band = lambda n: F.floor(F.log(n.cast("double")) / F.lit(BAND))
+    low, high = F.ceil(F.col("n") * percent / F.lit(100)), F.least(F.col("n"), F.floor(F.col("left") * (100 + percent) / F.lit(percent)) - F.col("n"))
+    probe = rows.withColumns({"low": low, "high": high}).filter("low <= high").select("*", F.explode(F.sequence(band(F.col("low")), band(F.col("high")))).alias("band"))
+    index = rows.filter(F.col("left") * (100 + percent) >= 2 * percent * F.col("n")).withColumn("band", band(F.col("n")))
+    x, y = probe.alias("x"), index.alias("y")
+    need = (F.col("x.n") + F.col("y.n")) * percent
+    reach = (F.col("x.left") * (100 + percent) >= need) & (F.col("y.left") * (100 + percent) >= need) & (F.col("y.n") >= F.col("x.low"))
+    once = F.struct("y.n", "y.node") < F.struct("x.n", "x.node")
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.component") != F.col("y.component")) & reach & once)
+    return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
 def jaccard_groups(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = 75) -> DataFrame:
@@ -260,12 +264,13 @@ def jaccard_groups(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = 75) -
 def keep_one_of_each_group(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = 75) -> DataFrame:
     """Documents without those that have a smaller doc_id in their group; repeated rows of the smallest are kept once.
 
-    Documents without words and documents with a null id are all kept.
+    Documents without words and documents with a null id are all kept; all columns, whatever their names, stay as they are.
     """
     groups = jaccard_groups(docs.select("doc_id", "text"), k, percent)
-    stay = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
+    (own,) = free_names(docs, "id")
+    stay = groups.filter("doc_id = component_id").select(F.col("doc_id").alias(own)).distinct()
     rest = docs.filter(F.col("doc_id").isNull())
-    kept = docs.filter(F.col("doc_id").isNotNull()).join(stay, F.col("doc_id") == F.col("_id"), "left_semi")
+    kept = docs.filter(F.col("doc_id").isNotNull()).join(stay, F.col("doc_id") == F.col(own), "left_semi")
     return kept.dropDuplicates(["doc_id", "text"]).unionByName(rest)
 
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabweave.llm.common import keep, query, table
+from tabweave.llm.common import free_names, keep, query, table
 
 #: Words of a block; every source is cut into blocks of nearly this many.
 BLOCK_WORDS = 1024
@@ -171,27 +171,29 @@ def mixed_texts(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), repeats:
     without words, are not in it.  Repeated rows share what they are taken.
     """
     out, _ = mix_documents(docs.select("doc_id", "text", "source"), weights, repeats, seed=seed)
+    mix, source, taken, size, same, key, turn, left = free_names(docs, "mix", "source", "taken", "size", "same", "key", "turn", "left")
     got = keep(
-        out.filter("taken > 0").groupBy(F.col("mix").alias("_mix"), F.col("source").alias("_source")).agg(F.sum("taken").alias("_taken"), F.first("size").alias("_size"), F.count(F.lit(1)).alias("_same")), "taken"
+        out.filter("taken > 0").groupBy(F.col("mix").alias(mix), F.col("source").alias(source)).agg(F.sum("taken").alias(taken), F.first("size").alias(size), F.count(F.lit(1)).alias(same)), "taken"
     )
-    keyed = docs.withColumn("_key", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")))
-    joined = keyed.join(got, (F.col("_key") == F.col("_mix")) & F.col("source").cast("string").eqNullSafe(F.col("_source")))
-    once = joined.filter("_same = 1").unionByName(joined.filter("_same > 1").dropDuplicates(["_key", "_source"]))
-    rows = once.withColumn("_turn", F.explode(F.expr("sequence(0, (_taken - 1) div _size)"))).withColumn("_left", F.least(F.col("_size"), F.expr("_taken - _turn * _size")))
+    keyed = docs.withColumn(key, F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")))
+    joined = keyed.join(got, (F.col(key) == F.col(mix)) & F.col("source").cast("string").eqNullSafe(F.col(source)))
+    once = joined.filter(F.col(same) == 1).unionByName(joined.filter(F.col(same) > 1).dropDuplicates([key, source]))
+    turns = once.withColumn(turn, F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col(taken) - 1) / F.col(size)))))
+    rows = turns.withColumn(left, F.least(F.col(size), F.col(taken) - F.col(turn) * F.col(size)))
     columns = docs.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = []
-            for text, n in zip(b.column("text").to_pylist(), b.column("_left").to_pylist(), strict=True):
+            for text, n in zip(b.column("text").to_pylist(), b.column(left).to_pylist(), strict=True):
                 texts.append(text[: next(islice(re.finditer(WORD, text), n - 1, None)).end()])
             got = {c: b.column(c) for c in columns} | {"text": pa.array(texts, pa.string())}
             yield pa.RecordBatch.from_arrays(list(got.values()), names=list(got))
 
-    part = rows.filter("_left < _size").select(*columns, "_left").mapInArrow(cut, docs.schema)
+    part = rows.filter(F.col(left) < F.col(size)).select(*columns, left).mapInArrow(cut, docs.schema)
     if "n_chars" in columns:
         part = part.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
-    return rows.filter("_left = _size").select(*columns).unionByName(part)
+    return rows.filter(F.col(left) == F.col(size)).select(*columns).unionByName(part)
 
 
 @query("op10_low_discrepancy_mix")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabweave.llm.chunks import NULL_ID, QUESTION, Chunk, answers, chunk_documents, each_chunk, fragments_for, joined, questions, squeeze, with_answers
-from tabweave.llm.common import gram_hashes, keep, mix, query, table
+from tabweave.llm.common import free_names, gram_hashes, keep, mix, query, table
 
 MIN_WORDS = 50
 #: Words of the n-gram whose hash selects positions, and positions of which one is selected.
@@ -158,17 +158,19 @@ def remove_repeats(docs: DataFrame, size: int = MIN_WORDS) -> DataFrame:
     """Documents without the passages that occur in an earlier document; n_chars follows the text.
 
     The words of a passage go with the white space behind them.  Documents without repeats
-    stay as they are; a document left without words goes.
+    stay as they are, and so do other columns, whatever their names; a document left without words goes.  Rows with a
+    null doc_id count as one document, so what only they share stays.
     """
     found = repeated_passages(docs.select("doc_id", "text"), size).filter("not kept").distinct()
-    cuts = keep(found.groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("_cuts")), "cuts")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key"))
-    marked = docs.join(cuts, same, "left").drop("_id", "_key")
+    own, key, spans_of = free_names(docs, "id", "key", "cuts")
+    cuts = keep(found.groupBy(F.col("doc_id").alias(own), F.col("key").alias(key)).agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias(spans_of)), "cuts")
+    same = F.col("doc_id").eqNullSafe(F.col(own)) & (F.xxhash64("text") == F.col(key))
+    marked = docs.join(cuts, same, "left").drop(own, key)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = []
-            for text, spans in zip(b.column("text").to_pylist(), b.column("_cuts").to_pylist(), strict=True):
+            for text, spans in zip(b.column("text").to_pylist(), b.column(spans_of).to_pylist(), strict=True):
                 starts = [m.start() for m in _WORD.finditer(text)]
                 starts.append(len(text))
                 out, at = [], 0
@@ -176,14 +178,14 @@ def remove_repeats(docs: DataFrame, size: int = MIN_WORDS) -> DataFrame:
                     out.append(text[at : starts[s["begin"]]])
                     at = starts[s["end"]]
                 texts.append("".join([*out, text[at:]]).rstrip(" \t\n\v\f\r"))
-            columns = {c: b.column(c) for c in b.schema.names if c != "_cuts"} | {"text": pa.array(texts, pa.string())}
+            columns = {c: b.column(c) for c in b.schema.names if c != spans_of} | {"text": pa.array(texts, pa.string())}
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     schema = docs.select(*docs.columns).schema
-    changed = marked.filter("_cuts is not null").mapInArrow(cut, schema).filter(F.length("text") > 0)
+    changed = marked.filter(F.col(spans_of).isNotNull()).mapInArrow(cut, schema).filter(F.length("text") > 0)
     if "n_chars" in docs.columns:
         changed = changed.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
-    return marked.filter("_cuts is null").drop("_cuts").unionByName(changed)
+    return marked.filter(F.col(spans_of).isNull()).drop(spans_of).unionByName(changed)
 
 
 @query(

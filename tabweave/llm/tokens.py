@@ -25,6 +25,10 @@ _TAIL, _SOLID, _LONGEST_TAIL = ".,;:!?*$%#&", "[A-Za-z0-9\u00c0-\u00d6\u00d8-\u0
 #: A space between two characters that are no white space of any kind: no token crosses it.
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 
+#: White space of any kind, and fields that are empty or begin or end with it.
+_WHITE = "".join(re.escape(c) for c in map(chr, range(0x3001)) if c.isspace())
+_ODD = rf"^$|^[{_WHITE}]|[{_WHITE}]$"
+
 
 class FieldEncoder:
     """Ids of fields; ``lowered`` vocabularies drop white space and case, others keep the space before a field."""
@@ -86,14 +90,12 @@ class FieldEncoder:
             lists = pc.split_pattern(texts, " ")
         offsets = lists.offsets.to_numpy().astype(np.int64)
         offsets = offsets - offsets[0]
-        flat = lists.flatten()
-        counts = np.diff(offsets)
+        coded = lists.flatten().dictionary_encode()
+        distinct, codes = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         if not self.lowered:
-            flat, offsets = self._spaced(texts, flat, offsets)
-            counts = np.diff(offsets)
-        coded = flat.dictionary_encode()
-        codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        starts, lengths, tail = self._with_tails(coded.dictionary)
+            distinct, codes, offsets = self._spaced(texts, distinct, codes, offsets)
+        counts = np.diff(offsets)
+        starts, lengths, tail = self._with_tails(distinct)
         # one or two lookups a field, in order
         twice = tail[codes] >= 0
         at = np.arange(len(codes)) + np.concatenate([[0], np.cumsum(twice)])[:-1]
@@ -131,29 +133,39 @@ class FieldEncoder:
         tail[on] = len(distinct) + tails.indices.to_numpy(zero_copy_only=False)
         return np.concatenate([starts[core_at], starts[n:]]), np.concatenate([lengths[core_at], lengths[n:]]), tail
 
-    def _spaced(self, texts: pa.Array, flat: pa.Array, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
-        """Fields with the space before them, where that space surely starts a token; else the field is joined to the one before."""
-        coded = flat.dictionary_encode()
-        odd = np.array([not f or f[0].isspace() or f[-1].isspace() for f in coded.dictionary.to_pylist()], bool)
-        first = np.zeros(len(flat), bool)
-        first[offsets[:-1]] = True
-        codes = coded.indices.to_numpy(zero_copy_only=False)
-        prefix = pa.array(np.where(first, "", " ").astype(object), type=pa.large_string())
-        spaced = pc.binary_join_element_wise(prefix, flat, pa.scalar("", pa.large_string()))
+    def _spaced(self, texts: pa.Array, distinct: pa.Array, codes: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """Fields with the space before them, where that space surely starts a token; else the field is joined to the one before.
+
+        Distinct fields, codes of all fields, offsets per text.  A field is spelled out once with a space and once
+        without, if it occurs so, whatever the number of its occurrences.
+        """
+        first = np.zeros(len(codes), np.int64)
+        first[offsets[:-1]] = 1
+        unit = codes * 2 + first
+        used = np.zeros(2 * len(distinct), bool)
+        used[unit] = True
+        some = np.flatnonzero(used)
+        lead = pc.if_else(pa.array(some % 2 == 1), pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string()))
+        spaced = pc.binary_join_element_wise(lead, distinct.take(pa.array(some // 2)), pa.scalar("", pa.large_string()))
+        new = (np.cumsum(used) - 1)[unit]
+        odd = pc.match_substring_regex(distinct, _ODD).to_numpy(zero_copy_only=False)
         if not odd.any():
-            return spaced, offsets
-        per_text = np.add.reduceat(odd[codes].astype(np.int64), offsets[:-1]) if len(flat) else np.zeros(0, np.int64)
-        parts, counts = [], np.diff(offsets)
-        at = 0
-        for i in np.flatnonzero(per_text):
-            units = _SAFE.split(texts[int(i)].as_py())
-            units = [u if not j else " " + u for j, u in enumerate(units)]
-            units = [u for u in units if u]
-            parts += [spaced.slice(offsets[at], offsets[i] - offsets[at]), pa.array(units, type=pa.large_string())]
+            return spaced, new, offsets
+        per_text = np.add.reduceat(odd[codes].astype(np.int64), offsets[:-1])
+        wrong = np.flatnonzero(per_text)
+        split = []
+        for i in wrong.tolist():
+            units = [u if not j else " " + u for j, u in enumerate(_SAFE.split(texts[i].as_py()))]
+            split.append([u for u in units if u])
+        extra = pa.array([u for units in split for u in units], pa.large_string()).dictionary_encode()
+        more = extra.indices.to_numpy(zero_copy_only=False).astype(np.int64) + len(spaced)
+        counts, at, end, parts = np.diff(offsets), 0, 0, []
+        for i, units in zip(wrong.tolist(), split, strict=True):
+            parts += [new[at : offsets[i]], more[end : end + len(units)]]
+            at, end = offsets[i + 1], end + len(units)
             counts[i] = len(units)
-            at = int(i) + 1
-        parts.append(spaced.slice(offsets[at], offsets[-1] - offsets[at]))
-        return pa.concat_arrays(parts), np.concatenate([[0], np.cumsum(counts)])
+        parts.append(new[at:])
+        return pa.concat_arrays([spaced, extra.dictionary]), np.concatenate(parts), np.concatenate([[0], np.cumsum(counts)])
 
 
 _ENCODERS: dict[tuple[str, bool], FieldEncoder] = {}

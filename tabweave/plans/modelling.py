@@ -131,13 +131,13 @@ def boosted_members(spark, sf_dir):
     return model.train_members(frame, model.booster_family(3), K)
 
 
-_LIMIT, _PATIENCE = 300, 10
+_LIMIT, _PATIENCE = 300, 5
 
 
 def _patient(spark, sf_dir):
     """Boosters that may grow hundreds of rounds and are cut where their own fold has not improved for a while."""
     frame = model.model_frame(feature_table(spark, sf_dir), RAW)
-    est = model.gbt(maxIter=_LIMIT, maxDepth=4, stepSize=0.4, minInstancesPerNode=5)
+    est = model.gbt(maxIter=_LIMIT, maxDepth=3, stepSize=0.8)
     return frame, est, model.kfold_oof(frame, est, K, early_stop=True, patience=_PATIENCE)
 
 

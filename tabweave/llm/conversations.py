@@ -517,7 +517,56 @@ def damage(conversations: DataFrame) -> DataFrame:
     return rows.select("conv_id", "turn", F.when(F.col("_kind") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"), F.explode(copies).alias("_copy")).drop("_copy")
 
 
-@query("op11_conversation_repair")
+@query(
+    "op11_conversation_repair",
+    r"""
+    WITH RECURSIVE
+    crc_table AS (
+        SELECT list(list_reduce([i] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)
+    ), source AS (
+        SELECT conv_id, turn, coalesce(conv_id::VARCHAR, ' ') AS cid, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+               list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::BIGINT) AS b FROM conversations
+    ), kinds AS (
+        SELECT *, xor(list_reduce([4294967295::BIGINT] || b, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % 20 AS k FROM source, crc_table
+    ), damaged AS (
+        SELECT cid, turn, copy, CASE k WHEN 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+        FROM kinds, unnest(range(CASE k WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) u(copy)
+    ), placed AS (
+        SELECT *, row_number() OVER (PARTITION BY cid ORDER BY turn NULLS FIRST, role, text, copy) AS i, count(*) OVER (PARTITION BY cid) AS m, left(role, 1) AS initial FROM damaged
+    ), faults AS (
+        SELECT *, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, row_number() OVER (PARTITION BY cid, role, text ORDER BY i) > 1 AS again,
+               NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS open, lag(initial) OVER (PARTITION BY cid ORDER BY i) || initial AS pair FROM placed
+    ), marked AS (SELECT *, blank OR again AS must, CASE WHEN open AND NOT blank AND NOT again THEN 3 ELSE 0 END AS cut FROM faults
+    ), walk AS (
+        SELECT DISTINCT cid, m + 1 AS i, [{'c': 0, 'a': ''}, {'c': 6, 'a': 'II'}, {'c': 3, 'a': 'I'}, {'c': 0, 'a': ''}] AS v FROM marked
+        UNION ALL
+        SELECT cid, i, [
+            list_min([o[1], {'c': o[3].c + 3, 'a': 'I' || o[3].a}, {'c': o[4].c + 6, 'a': 'II' || o[4].a}]),
+            list_min([o[2], {'c': o[3].c + 3, 'a': 'I' || o[3].a}, {'c': o[4].c + 6, 'a': 'II' || o[4].a}]),
+            list_min([o[3], {'c': o[4].c + 3, 'a': 'I' || o[4].a}]), list_min([o[4], {'c': o[3].c + 3, 'a': 'I' || o[3].a}])] FROM (
+            SELECT w.cid, r.i, [
+                list_min([{'c': v[q].c + 4, 'a': 'D' || v[q].a},
+                    {'c': CASE WHEN must OR NOT (CASE q WHEN 1 THEN initial IN ('s', 'u') WHEN 3 THEN initial = 'a' ELSE initial = 'u' END) THEN 1000000000 ELSE cut END + v[CASE WHEN q = 1 AND initial = 's' THEN 2 WHEN q = 3 THEN 4 ELSE 3 END].c,
+                     'a': 'K' || v[CASE WHEN q = 1 AND initial = 's' THEN 2 WHEN q = 3 THEN 4 ELSE 3 END].a},
+                    {'c': CASE WHEN must THEN 1000000000 ELSE cut + 3 END + v[CASE WHEN q = 3 THEN 4 ELSE 3 END].c, 'a': 'R' || v[CASE WHEN q = 3 THEN 4 ELSE 3 END].a}])
+                FOR q IN [1, 2, 3, 4]] AS o FROM walk w JOIN marked r ON r.cid = w.cid AND r.i = w.i - 1)
+    ), audits AS (SELECT cid, v[1].c::BIGINT AS cost, v[1].a AS audit FROM walk WHERE i = 1
+    ), edits AS (
+        SELECT cid, j, audit[j] AS e, length(replace(audit[:j], 'I', '')) AS i, length(replace(audit[:j], 'D', '')) AS o FROM audits, unnest(range(1, length(audit) + 1)) u(j)
+    ), kept AS (
+        SELECT e.*, r.role, r.text, max(CASE WHEN o = 1 AND e = 'K' AND initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY e.cid) AS lead
+        FROM edits e LEFT JOIN marked r ON r.cid = e.cid AND r.i = e.i WHERE e <> 'D'
+    ), lines AS (
+        SELECT cid, string_agg(CASE e WHEN 'K' THEN role ELSE CASE WHEN (o - lead) % 2 = 1 THEN 'user' ELSE 'assistant' END END || ':' || CASE e WHEN 'I' THEN '' ELSE text END, chr(10) ORDER BY j) AS body FROM kept GROUP BY cid
+    ), sums AS (
+        SELECT cid, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (again AND NOT blank) AS duplicate,
+               count(*) FILTER (cut > 0) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM marked GROUP BY cid
+    )
+    SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(s.blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+           coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, sha256(coalesce(body, '')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id, cid FROM source) c LEFT JOIN sums s USING (cid) LEFT JOIN audits a USING (cid) LEFT JOIN lines l USING (cid)
+    """,
+)
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     found = audit_conversations(damage(rows)).withColumnRenamed("conv_id", "_c")

@@ -468,7 +468,39 @@ def follow(forms: DataFrame) -> DataFrame:
     return forms.join(ends, F.col("word") == F.col("_w"), "left").withColumn("root", F.coalesce("_r", "word")).drop("_w", "_r")
 
 
-@query("op12_spelling_forms")
+@query(
+    "op12_spelling_forms",
+    r"""
+    WITH RECURSIVE
+    crc_table AS (
+        SELECT list(list_reduce([i] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)
+    ), runs AS (
+        SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS w FROM documents
+    ), pairs AS (SELECT doc_id, w, count(*) AS n FROM runs WHERE length(w) >= 5 GROUP BY ALL
+    ), bytes AS (
+        SELECT doc_id, w, n, list_transform(string_split(regexp_replace(hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || w)), '(..)', '\1 ', 'g'), ' ')[:-2], lambda x: ('0x' || x)::BIGINT) AS b FROM pairs
+    ), hashed AS (
+        SELECT doc_id, w, n, xor(list_reduce([4294967295::BIGINT] || b, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS h FROM bytes, crc_table
+    ), words AS (
+        SELECT CASE WHEN h % 97 = 0 THEN w[:h % length(w)] || w[h % length(w) + 2:] ELSE w END AS word, n FROM hashed
+    ), counted AS (SELECT word, sum(n)::BIGINT AS n FROM words WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3
+    ), masks AS (
+        SELECT word, n, i, word[:i] || chr(1) || word[i + 2:] AS replaced, word[:i] || word[i + 2:] AS less FROM counted, unnest(range(0, length(word))) u(i)
+    ), near AS (
+        SELECT a.word, b.word AS other, b.n FROM masks a JOIN masks b ON a.replaced = b.replaced AND a.word <> b.word
+        UNION SELECT m.word, c.word, c.n FROM masks m JOIN counted c ON c.word = m.less
+        UNION SELECT c.word, m.word, m.n FROM masks m JOIN counted c ON c.word = m.less
+    ), best AS (SELECT word, count(*) AS n_near, max(n) AS top FROM near GROUP BY word
+    ), forms AS (
+        SELECT c.word, c.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN top >= 2 * c.n THEN top END AS form_n,
+               CASE WHEN top >= 2 * c.n THEN (SELECT min(x.other) FROM near x WHERE x.word = c.word AND x.n = top) END AS form
+        FROM counted c LEFT JOIN best b ON b.word = c.word
+    ), walk AS (
+        SELECT word, form AS at FROM forms WHERE form IS NOT NULL UNION ALL SELECT w.word, f.form FROM walk w JOIN forms f ON f.word = w.at WHERE f.form IS NOT NULL
+    ), ends AS (SELECT w.word, w.at AS root FROM walk w JOIN forms f ON f.word = w.at WHERE f.form IS NULL)
+    SELECT f.word, f.form, coalesce(e.root, f.word) AS root, f.n, f.n_near, f.form_n FROM forms f LEFT JOIN ends e ON e.word = f.word
+    """,
+)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return spelling_variants(count_words(docs, misspell=97))

@@ -126,7 +126,7 @@ def lines(sized: DataFrame, plan_frame: DataFrame, n_sources: int) -> DataFrame:
 
 
 def mix_documents(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), repeats: int = 3, block_words: int = BLOCK_WORDS, seed: int = 17) -> tuple[DataFrame, DataFrame]:
-    """The mix: (documents with size, source_size, target and taken words; parts in mix order).
+    """The mix: (documents with size, source_size, target, taken words and the slots they fill; parts in mix order).
 
     ``parts`` has slot, number, doc_id, row, from_word and words: which words of which
     document fill which place of the mix, slots in order.  Sizes are words; null
@@ -156,9 +156,10 @@ def mix_documents(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), repeats
     parts = spans.join(slots, ["number", "block"]).filter(upto > F.col("a")).select(
         "slot", "number", "doc_id", "row", (F.col("a") - F.col("start")).alias("from_word"), (upto - F.col("a")).alias("words"), (F.col("a") - F.col("first")).alias("place")
     )
-    counted = parts.groupBy("row").agg(F.sum("words").alias("got"))
+    counted = parts.groupBy("row").agg(F.sum("words").alias("got"), F.min("slot").alias("first_slot"), F.count(F.lit(1)).alias("n_slots"))
     out = lined.join(counted, "row", "left").select(
-        "doc_id", "source", "size", F.col("source_size").cast("bigint").alias("source_size"), "target", F.coalesce("got", F.lit(0)).cast("bigint").alias("taken"), "row", "mix"
+        "doc_id", "source", "size", F.col("source_size").cast("bigint").alias("source_size"), "target", F.coalesce("got", F.lit(0)).cast("bigint").alias("taken"), "row", "mix",
+        F.col("first_slot").cast("bigint").alias("first_slot"), F.coalesce("n_slots", F.lit(0)).cast("bigint").alias("n_slots"),
     )
     return out, parts
 
@@ -199,4 +200,4 @@ def mixed_texts(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), repeats:
 @query("op10_low_discrepancy_mix")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, _ = mix_documents(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
-    return out.select("doc_id", "size", "source_size", "target", "taken")
+    return out.select("doc_id", "size", "source_size", "target", "taken", "first_slot", "n_slots")

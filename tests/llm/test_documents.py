@@ -148,11 +148,36 @@ def test_mix_meets_its_targets(spark, docs):
         assert part.source_size.iloc[0] == sizes[s] and abs(part.taken.sum() - want[s]) <= 1
     p = parts.toPandas()
     assert p.words.sum() == got.taken.sum()
+    assert (got.n_slots > 0).equals(got.taken > 0) and got.n_slots.sum() == len(p) and got.first_slot.isna().equals(got.taken == 0)
+    assert got.set_index("row").first_slot.dropna().astype(int).to_dict() == p.groupby("row").slot.min().to_dict()
     again = mixing.mix_documents(docs.repartition(2), block_words=16)[0].toPandas()
     key = ["doc_id", "size", "taken"]
     assert collections.Counter(map(str, got[key].to_numpy().tolist())) == collections.Counter(map(str, again[key].to_numpy().tolist()))
 
 
+def test_slots_follow_the_sequence_through_the_needs(spark):
+    """A plain loop over golden-ratio points: which source has each slot, and which block of it."""
+    rows = [(i, "w " * (20 + i % 7), "abc"[i % 3] if i % 5 else "a") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    _, parts = mixing.mix_documents(df, block_words=16)
+    plan = mixing.source_plan(df.select("source", F.size(F.split(F.trim("text"), " ")).alias("size")), (5, 2, 1), 3)
+    frame = {r["number"]: r for r in mixing._plan_frame(spark, plan, 16).collect()}
+    need = {n: frame[n]["need"] for n in frame}
+    total, rank, want = sum(need.values()), collections.Counter(), {}
+    for t in range(total):
+        point, run = (t + 1) * mixing.GOLDEN % 1.0, 0
+        for n in sorted(need):
+            run += need[n]
+            if point < run / total or n == max(need):
+                break
+        if rank[n] < need[n]:
+            want[t] = (n, rank[n])
+        rank[n] += 1
+    got = {r["slot"]: r["number"] for r in parts.filter(f"slot < {total}").select("slot", "number").distinct().collect()}
+    assert set(got) <= set(want) and all(got[t] == want[t][0] for t in got)
+    assert len(got) > 0.95 * total
+
+
 def test_targets_reshare_what_full_sources_leave():
     assert mixing.targets([10, 1000], [5, 2], 3) == [30.0, 980.0]
     assert mixing.targets([0, 0], [5, 2], 3) == [0.0, 0.0]

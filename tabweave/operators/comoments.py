@@ -107,7 +107,8 @@ def comoments(df: DataFrame, cols: Sequence[str], by: str | None = None) -> dict
 
     schema = "g long, part long, body binary"
     found: dict[Any, CoMoments] = {}
-    for r in rows.mapInArrow(scan, schema).repartition(MERGERS, "part").mapInArrow(merge, schema).collect():
+    sums = rows.mapInArrow(scan, schema).repartition(F.pmod(F.col("part"), F.lit(MERGERS)))  # fewer tasks where these are small
+    for r in sums.mapInArrow(merge, schema).collect():
         add(found, r["g"], CoMoments.unpacked(bytes(r["body"]), p))
     return found
 

@@ -17,11 +17,16 @@ def hash_fold(key: Column, k: int, seed: int = 42, tag: str = "fold") -> Column:
 def stratified_folds(df: DataFrame, key: str, label: str, k: int, seed: int = 42, name: str = "fold") -> DataFrame:
     """Exactly balanced folds: within each class fold sizes differ by at most one row.
 
-    Rows are ordered by the md5 of the key inside their class and dealt out in turn.
+    Rows are ordered by the md5 of the key inside their class and dealt out in turn.  Only keys and
+    labels are ordered; other columns come back by the key, which must be unique.
     """
-    shuffled = df.withColumn("_md5", F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))))
+    shuffled = df.select(key, label).withColumn("_md5", F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))))
     dealt = row_index(shuffled, ["_md5", key], [label], "_pos")
-    return dealt.withColumn(name, F.pmod(F.col("_pos"), F.lit(k)).cast("bigint")).drop("_pos", "_md5")
+    fold = F.pmod(F.col("_pos"), F.lit(k)).cast("bigint").alias(name)
+    if set(df.columns) == {key, label}:
+        return dealt.select(*df.columns, fold)
+    folds = dealt.select(F.col(key).alias("_fold_key"), fold)
+    return df.drop(name).join(folds, F.col(key) == F.col("_fold_key")).drop("_fold_key")
 
 
 def seeded_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:

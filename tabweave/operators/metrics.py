@@ -109,8 +109,3 @@ def class_balance(df: DataFrame, label: str) -> DataFrame:
 
 def fold_mean(df: DataFrame, keys: Sequence[str], score: str = "score") -> DataFrame:
     return df.groupBy(*keys).agg(F.avg(score).alias(score))
-
-
-def score_column(df: DataFrame, expr: Column, label: str) -> DataFrame:
-    """Two-column projection for metric calls on an expression."""
-    return df.select(expr.alias("score"), F.col(label))

@@ -75,17 +75,17 @@ def _auc_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
 
 # --- the whole pipeline ------------------------------------------------------------------
 
-def run_pipeline(frame: DataFrame, k: int, boosters: dict, second, spec: MatrixSpec = MatrixSpec()) -> tuple[DataFrame, DataFrame, float]:
+def run_pipeline(frame: DataFrame, k: int, boosters: dict, second, spec: MatrixSpec = MatrixSpec(), patience: int = 0) -> tuple[DataFrame, DataFrame, float]:
     """From the frame to blended scores: (scores, written member table, weight).
 
     Folds are stratified; the matrix is fitted on the cleaned reference; boosters stop early on
-    their own fold and are rank-averaged on each side, the second family joins them with the weight that is best on
+    their own fold (by ``patience`` or MLlib's rule) and are rank-averaged on each side, the second family joins them with the weight that is best on
     out-of-fold rows, and that weight is applied to the test side.
     """
     folds = stratified_folds(frame.filter(F.col("split") == "train").select("id", "label"), "id", "label", k).select("id", "fold")
     matrix = materialize(build_matrix(frame.drop("fold").join(folds, "id", "left"), spec), "matrix")
     table = model.model_frame(matrix, matrix_columns(matrix))
-    pred = model.train_members(table, {**boosters, "second": second}, k, early_stop=list(boosters))
+    pred = model.train_members(table, {**boosters, "second": second}, k, early_stop=list(boosters), patience=patience)
     wide = pivot_members(pred, [*boosters, "second"], ("id", "split"))
     labelled = materialize(wide.join(matrix.select("id", "label", "fold"), "id"), "members")
     sides = {s: materialize(rank_average(labelled.filter(F.col("split") == s), list(boosters), "boost"), "boost") for s in ("train", "test")}
@@ -100,8 +100,8 @@ def run_pipeline(frame: DataFrame, k: int, boosters: dict, second, spec: MatrixS
 @query("l1_pipeline")
 def main_pipeline(spark, sf_dir):
     """Every current order scored once, written to the sink and read back."""
-    boosters = model.booster_family(3)
-    scores, _, weight = run_pipeline(order_frame(spark, sf_dir), K, boosters, lambda n: model.logistic(n))
+    boosters = model.booster_family(60)
+    scores, _, weight = run_pipeline(order_frame(spark, sf_dir), K, boosters, lambda n: model.logistic(n), MatrixSpec(imputed=tuple(CONT)), patience=3)
     path = new_path(spark, "scores")
     write_scored(scores.select("id", "split", "fold", *boosters, "second", "boost", "score").withColumn("weight", F.lit(weight)), path, "parquet")
     return spark.read.parquet(path)

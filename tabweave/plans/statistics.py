@@ -686,5 +686,5 @@ def one_hot(spark, sf_dir):
   WHERE total_k IS NOT NULL AND qty_r IS NOT NULL AND qty_a IS NOT NULL AND qty_n IS NOT NULL ORDER BY md5('1:' || id), id LIMIT 1000)
 SELECT count(*)::BIGINT AS n, {r('avg(v)', 'mean')}, {r('stddev_samp(v)', 'std')}, {r('min(v)', 'min')}, {r('max(v)', 'max')} FROM s""")
 def sampled_residual(spark, sf_dir):
-    complete = _frame(spark, sf_dir, "id", WHOLE, *PARTS).dropna(subset=[WHOLE, *PARTS])
+    complete = materialize(_frame(spark, sf_dir, "id", WHOLE, *PARTS).dropna(subset=[WHOLE, *PARTS]), "complete")
     return rounded(profile.residual_identity(seeded_sample(complete, "id", 1000, seed=1), WHOLE, PARTS))

@@ -100,8 +100,8 @@ def run_pipeline(frame: DataFrame, k: int, boosters: dict, second, spec: MatrixS
 @query("l1_pipeline")
 def main_pipeline(spark, sf_dir):
     """Every current order scored once, written to the sink and read back."""
-    boosters = model.booster_family(8)
-    scores, _, weight = run_pipeline(order_frame(spark, sf_dir), K, boosters, lambda n: model.logistic(n), MatrixSpec(imputed=tuple(CONT)), patience=2)
+    boosters = model.booster_family(3)
+    scores, _, weight = run_pipeline(order_frame(spark, sf_dir), K, boosters, lambda n: model.logistic(n), MatrixSpec(imputed=tuple(CONT)))
     path = new_path(spark, "scores")
     write_scored(scores.select("id", "split", "fold", *boosters, "second", "boost", "score").withColumn("weight", F.lit(weight)), path, "parquet")
     return spark.read.parquet(path)

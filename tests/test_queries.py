@@ -16,7 +16,7 @@ def con(sf_dir):
     return connect(sf_dir)
 
 
-KINDS = {f"{op}_proof" for op in ("m1", "m2_patience", "m4", "m6", "m7", "m10", "m12", "m13", "m18", "m21", "m22", "o2", "l1")}
+KINDS = {f"{op}_proof" for op in ("m1", "m4", "m6", "m7", "m10", "m12", "m13", "m18", "m21", "m22", "o2")}
 NAMES = sorted(n for n in registry.CHECKS if not n.endswith("_proof") or n in KINDS or os.environ.get("ALL_QUERIES"))
 
 

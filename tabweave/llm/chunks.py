@@ -13,6 +13,7 @@ from __future__ import annotations
 import struct
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,13 +21,15 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabweave.llm.common import batches_by_bytes, coded_words, column_of, keep, trim, trimmed
+from tabweave.llm.common import batches_by_bytes, coded_words, column_of, keep, keep_in_buckets, trim, trimmed
 
 CHUNK_BYTES = 4 << 20
 #: Entries of a fragment, about; the number of fragments follows the corpus.
 FRAGMENT_ENTRIES = 1 << 20
 #: Answers up to this size are broadcast to the chunks; beyond, both are shuffled by chunk.
 BROADCAST_BYTES = 48 << 20
+#: Spark's own limit of buckets is 100,000.
+MOST_BUCKETS = 50_000
 #: Stands for a null doc_id: after all others.
 NULL_ID = np.iinfo(np.int64).max
 
@@ -85,14 +88,17 @@ class Chunk:
         return np.repeat(np.arange(len(self.ids)), np.diff(self.offsets) if lengths is None else lengths)
 
 
-def chunk_documents(docs: DataFrame, mark: Column | None = None) -> DataFrame:
-    """Written table of chunks (chunk, tokens, body) of ``docs`` (doc_id, text); ``mark`` is a small number kept for each document."""
+def chunk_documents(docs: DataFrame, mark: Column | None = None, size: int = CHUNK_BYTES, buckets: bool = False) -> DataFrame:
+    """Written table of chunks (chunk, tokens, body) of ``docs`` (doc_id, text); ``mark`` is a small number kept for each document.
+
+    With ``buckets``, about as many as chunks, ``each_answered`` does not shuffle the bodies.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId() << 32
-        for data in batches_by_bytes(batches, "text", CHUNK_BYTES):
+        for data in batches_by_bytes(batches, "text", size):
             offsets, codes, hashes = coded_words(column_of(data, "text"))
             ids = column_of(data, "doc_id").fill_null(NULL_ID).to_numpy()
             marks, keys = column_of(data, "mark").to_numpy(), column_of(data, "key").to_numpy()
@@ -104,7 +110,11 @@ def chunk_documents(docs: DataFrame, mark: Column | None = None) -> DataFrame:
         F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"),
         (F.lit(0) if mark is None else mark).cast("int").alias("mark"), F.xxhash64("text").alias("key"),
     )
-    return keep(rows.mapInArrow(trimmed(run), "chunk long, tokens long, body binary"), "chunks")
+    chunks = rows.mapInArrow(trimmed(run), "chunk long, tokens long, body binary")
+    if not buckets:
+        return keep(chunks, "chunks")
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return keep_in_buckets(chunks, "chunks", "chunk", min(MOST_BUCKETS, max(1, -(-total // size))))
 
 
 def fragments_for(chunks: DataFrame, per_token: float = 1.0) -> int:
@@ -112,15 +122,18 @@ def fragments_for(chunks: DataFrame, per_token: float = 1.0) -> int:
     return max(1, -(-int(total * per_token) // FRAGMENT_ENTRIES))
 
 
+def _chunk(rows: pa.RecordBatch | pa.Table, i: int) -> Chunk:
+    ids, marks, keys, lengths, codes, hashes = stretch(rows.column("body")[i].as_py())
+    offsets = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+    return Chunk(rows.column("chunk")[i].as_py(), ids, marks, keys, offsets, codes, hashes)
+
+
 def each_chunk(chunks: DataFrame, fn: Callable[..., Iterator[dict]], schema: str) -> DataFrame:
     """Rows (as dicts of arrays, one dict a batch) that ``fn(chunk, {column: value})`` makes of every chunk."""
     extra = [c for c in chunks.columns if c not in ("chunk", "tokens", "body")]
 
     def one(b: pa.RecordBatch, i: int) -> list[pa.RecordBatch]:
-        ids, marks, keys, lengths, codes, hashes = stretch(b.column("body")[i].as_py())
-        offsets = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
-        chunk = Chunk(b.column("chunk")[i].as_py(), ids, marks, keys, offsets, codes, hashes)
-        found = fn(chunk, {c: b.column(c)[i].as_py() for c in extra})
+        found = fn(_chunk(b, i), {c: b.column(c)[i].as_py() for c in extra})
         return [pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v) for v in out.values()], names=list(out)) for out in found]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,6 +145,21 @@ def each_chunk(chunks: DataFrame, fn: Callable[..., Iterator[dict]], schema: str
     return chunks.mapInArrow(run, schema)
 
 
+def each_answered(chunks: DataFrame, replies: dict[str, DataFrame], fn: Callable[..., Iterator[dict]], schema: str) -> DataFrame:
+    """Rows (at least one dict a chunk) that ``fn(chunk, {name: replies in order of fragments})`` makes of every chunk; bodies in buckets stay where they are, replies move."""
+    names = list(replies)
+    told = reduce(DataFrame.unionByName, (r.select("chunk", F.lit(i).alias("kind"), "fragment", "reply") for i, r in enumerate(replies.values())))
+
+    def run(body: pa.Table, told: pa.Table) -> pa.Table:
+        rows = sorted(zip(told.column("kind").to_pylist(), told.column("fragment").to_pylist(), range(told.num_rows), strict=True))
+        extra = {name: [told.column("reply")[i].as_py() for kind, _, i in rows if names[kind] == name] for name in names}
+        out = [pa.table(d) for i in range(body.num_rows) for d in fn(_chunk(body, i), extra)]
+        trim()
+        return pa.concat_tables(out)
+
+    return chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(run, schema)
+
+
 def questions(number: int, keys: np.ndarray, more: list[np.ndarray], n_fragments: int, tag: int = 0, top: np.ndarray | None = None) -> Iterator[dict]:
     """Sorted distinct ``keys`` of a chunk, cut by the fragment that owns them: ``top``, or that of its range of hashes."""
     if top is None:
@@ -146,8 +174,8 @@ def questions(number: int, keys: np.ndarray, more: list[np.ndarray], n_fragments
 QUESTION = "fragment int, chunk long, tag int, part binary"
 
 
-def answers(asked: DataFrame, fn: Callable[[list[int], list[int], list[list[np.ndarray]]], Iterator[tuple[int, bytes]]]) -> DataFrame:
-    """Written table (chunk, fragment, reply): ``fn(chunks, tags, parts)`` sees all that reached one fragment."""
+def answers(asked: DataFrame, fn: Callable[[list[int], list[int], list[list[np.ndarray]]], Iterator[tuple[int, bytes]]], buckets: int = 0) -> DataFrame:
+    """Written table (chunk, fragment, reply), in ``buckets`` by fragment if given: ``fn(chunks, tags, parts)`` sees all that reached one fragment."""
 
     def reply(group: pa.Table) -> pa.Table:
         parts = [stretch_sorted(x) for x in group.column("part").to_pylist()]
@@ -162,7 +190,8 @@ def answers(asked: DataFrame, fn: Callable[[list[int], list[int], list[list[np.n
         trim()
         return out
 
-    return keep(asked.groupBy("fragment").applyInArrow(run, "chunk long, fragment int, reply binary"), "answers")
+    found = asked.groupBy("fragment").applyInArrow(run, "chunk long, fragment int, reply binary")
+    return keep_in_buckets(found, "answers", "fragment", min(MOST_BUCKETS, buckets)) if buckets else keep(found, "answers")
 
 
 def with_answers(chunks: DataFrame, replies: DataFrame, name: str, small: bool = True) -> DataFrame:

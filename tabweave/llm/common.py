@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -40,6 +41,16 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def keep_in_buckets(df: DataFrame, name: str, column: str, n: int) -> DataFrame:
+    """As ``keep``, in ``n`` buckets by ``column``: joins and groups on it leave these rows where they are."""
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    entry = f"spark_catalog.default.tabweave_{uuid.uuid4().hex}"
+    df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(n, column).saveAsTable(entry)
+    out = spark.table(entry)
+    spark.sql(f"DROP TABLE {entry}")  # the name only: the files are the scan's
+    return out
+
+
 def free_names(df: DataFrame, *names: str) -> list[str]:
     """The names with as many underscores in front that no column of ``df`` has them, in upper or lower case."""
     taken = {c.lower() for c in df.columns}

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabweave.llm.chunks import FRAGMENT_ENTRIES, QUESTION, NULL_ID, Chunk, answers, chunk_documents, each_chunk, joined, questions, squeeze, stretch, with_answers
+from tabweave.llm.chunks import FRAGMENT_ENTRIES, QUESTION, NULL_ID, Chunk, answers, chunk_documents, each_answered, each_chunk, joined, questions, squeeze, stretch
 from tabweave.llm.common import keep, mix, query, table, trim
 
 #: Concentrations of the root and of the context restaurants.
@@ -20,8 +21,10 @@ BURN_IN, SAMPLES = 2, 4
 SINGLE_STEPS = 32
 #: The end of a document, which is also the context of its first word.
 END = np.uint64(0xE5D0F0C0FFEE1234)
-#: Rows that carry a fragment's totals, its pairs, its chunks' entries or its tables instead of a chunk's answers.
-TOTALS, STATE, LINKS, TABLES = -1, -2, -3, -4
+#: Text of a chunk: larger ones than elsewhere, as each distinct word and pair of a chunk is sent once.
+CHUNK_BYTES = 8 << 20
+#: Rows that carry a fragment's totals, its pairs, its chunks' entries, its tables or its words' sums instead of a chunk's answers.
+TOTALS, STATE, LINKS, TABLES, SUMS = -1, -2, -3, -4, -5
 
 
 @dataclass
@@ -78,15 +81,14 @@ def _by_word(counts: np.ndarray, order: np.ndarray) -> np.ndarray:
 
 
 def _sum_words(numbers: list[int], _: list[int], parts: list) -> Iterator[tuple[int, bytes]]:
-    """Corpus sums of the chunks' numbers for each word, with its rank by hash after a single number; and the fragment's totals."""
+    """Corpus counts of the chunks' words and the words' ranks by hash; and the fragment's totals, with its number of words."""
     keys, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    sums = [np.bincount(back, weights=np.concatenate([p[i] for p in parts]), minlength=len(keys)) for i in range(1, len(parts[0]))]
-    first = sums[0]
-    yield TOTALS, squeeze(np.array([first.sum(), (first > 0).sum(), ((first > 0) & (first < 1.5)).sum(), ((first >= 1.5) & (first < 2.5)).sum(), len(keys)], np.float64))
+    sums = np.bincount(back, weights=np.concatenate([p[1] for p in parts]), minlength=len(keys))
+    yield TOTALS, squeeze(np.array([sums.sum(), (sums > 0).sum(), (sums == 1).sum(), (sums == 2).sum(), len(keys)], np.float64))
     at = 0
     for number, p in zip(numbers, parts, strict=True):
         mine = back[at : at + len(p[0])]
-        yield number, squeeze(*(s[mine].astype(np.float32) for s in sums)) if len(sums) > 1 else squeeze(first[mine].astype(np.int64), mine.astype(np.uint32))
+        yield number, squeeze(sums[mine].astype(np.int64), mine.astype(np.uint32))
         at += len(p[0])
 
 
@@ -180,16 +182,28 @@ def _sum_tables(numbers: list[int], tags: list[int], parts: list) -> Iterator[tu
             yield TOTALS, squeeze(np.array([sums.sum(), (sums > 0).sum(), (sums == 1).sum(), (sums == 2).sum()], np.float64))
         at = 0
         for i in on:
-            yield 2 * numbers[i] + tag, squeeze(sums[back[at : at + len(parts[i][0])]])
+            yield 2 * numbers[i] + tag, squeeze(sums[back[at : at + len(parts[i][0])]].astype(np.uint64))
             at += len(parts[i][0])
 
 
+def _sum_last(_: list[int], tags: list[int], parts: list) -> Iterator[tuple[int, bytes]]:
+    """Average tables of a word fragment's words, as words (tag 0) and as contexts (1), by id; and the root's totals."""
+    out = []
+    for tag in (0, 1):
+        on = [i for i, t in enumerate(tags) if t == tag]
+        keys, back = np.unique(np.concatenate([np.zeros(0, np.uint64), *(parts[i][0] for i in on)]), return_inverse=True)
+        sums = np.bincount(back, weights=np.concatenate([np.zeros(0), *(parts[i][1] for i in on)]), minlength=len(keys)) / SAMPLES
+        if tag == 0:
+            yield TOTALS, squeeze(np.array([sums.sum(), (sums > 0).sum(), ((sums > 0) & (sums < 1.5)).sum(), ((sums >= 1.5) & (sums < 2.5)).sum()], np.float64))
+        out += [np.diff(keys, prepend=np.uint64(0)), sums.astype(np.float32)]
+    yield SUMS, squeeze(*out)
+
+
 def _by_fragment(state: DataFrame, more: list[DataFrame], fn: Callable[[int, dict], Iterator[dict]], schema: str) -> DataFrame:
-    """Rows that ``fn(fragment, {kind: replies in order})`` makes of the rows (fragment, kind, place, reply) of each fragment."""
-    for m in more:
-        state = state.unionByName(m)
+    """Rows that ``fn(fragment, {kind: replies in order})`` makes of the rows (fragment, kind, place, reply) of each fragment; ``state`` in buckets stays where it is."""
 
-    def run(group: pa.Table) -> pa.Table:
+    def run(*groups: pa.Table) -> pa.Table:
+        group = pa.concat_tables(groups)
         rows = sorted(zip(group.column("kind").to_pylist(), group.column("place").to_pylist(), range(group.num_rows), strict=True))
         held: dict[int, list[bytes]] = {}
         for kind, _place, i in rows:
@@ -198,17 +212,23 @@ def _by_fragment(state: DataFrame, more: list[DataFrame], fn: Callable[[int, dic
         trim()
         return pa.concat_tables(out)
 
-    return keep(state.groupBy("fragment").applyInArrow(run, schema), "sweep")
+    own = state.groupBy("fragment")
+    if not more:
+        return own.applyInArrow(lambda group: run(group), schema)
+    return own.cogroup(reduce(DataFrame.unionByName, more).groupBy("fragment")).applyInArrow(lambda group, told: run(group, told), schema)
+
 
+def seat_pairs(asked: DataFrame, n_words: int, n_ids: int, n_pairs: int, first_id: np.ndarray) -> tuple[DataFrame, tuple[float, DataFrame]]:
+    """Answers (chunk, fragment, reply) to chunks about their pairs: corpus count, average tables, and whether the chunk reports them.
 
-def seat_pairs(asked: DataFrame, n_words: int, n_ids: int) -> tuple[DataFrame, float]:
-    """Answers (chunk, fragment, reply) to chunks about their pairs: corpus count, average tables, and whether the chunk reports them; and the contexts' discount.
+    With them, the contexts' discount and the words' sums of average tables by word fragment (``_sum_last``),
+    whose ids begin at ``first_id``.
 
     Fragments are partitions of one model.  Before a sweep each sends its tables a word, and a spread context, to the
     fragments that own these; the sums, the root's totals and the corpus-wide discounts come back.  Counts of
     tables are whole numbers and draws depend on the pair alone, so the seating is the same with any number of fragments.
     """
-    merged = answers(asked, _merge_pairs)
+    merged = answers(asked, _merge_pairs, buckets=n_pairs)
     d = discount(*_totals(merged)[2:])
     rows = lambda df, kind, place: df.select("fragment", F.lit(kind).alias("kind"), place.cast("int").alias("place"), "reply")
     state = rows(merged.filter(F.col("chunk") == STATE), STATE, F.lit(0))
@@ -233,20 +253,25 @@ def seat_pairs(asked: DataFrame, n_words: int, n_ids: int) -> tuple[DataFrame, f
                 total = total + t if sweep >= BURN_IN else total
             head = {"chunk": pa.array([fragment], pa.int64()), "tag": pa.array([TABLES], pa.int32())}
             yield {"fragment": pa.array([fragment], pa.int32()), **head, "part": pa.array([squeeze(t, total.astype(np.uint32))], pa.binary())}
-            if sweep < BURN_IN + SAMPLES - 1:
+            if sweep < last:
                 by_word = once_w + np.bincount(wi, weights=t, minlength=len(words))
                 owner = lambda ids: ids * np.uint64(n_words) // np.uint64(n_ids)
                 yield from questions(fragment, words, [by_word.astype(np.uint32)], n_words, top=owner(words))
                 yield from questions(fragment, contexts[shared], [by_context()[shared].astype(np.uint32)], n_words, tag=1, top=owner(contexts[shared]))
+            else:
+                home = lambda ids: (np.searchsorted(first_id, ids, side="right") - 1).astype(np.uint64)
+                for tag, ids, once, at in ((0, words, once_w, wi), (1, contexts, once_c, ci)):
+                    sums = once.astype(np.int64) * SAMPLES + np.bincount(at, weights=total, minlength=len(ids)).astype(np.int64)
+                    yield from questions(fragment, ids, [sums.astype(np.uint64)], n_words, tag=tag, top=home(ids))
 
         return fn
 
-    told, root_totals = [], np.zeros(4)
-    for sweep in range(-1, BURN_IN + SAMPLES):
-        done = _by_fragment(state, told, sweep_round(sweep, root_totals), QUESTION)
+    told, root_totals, last = [], np.zeros(4), BURN_IN + SAMPLES - 1
+    for sweep in range(-1, last + 1):
+        done = keep(_by_fragment(state, told, sweep_round(sweep, root_totals), QUESTION), "sweep")
         tables = done.filter(F.col("tag") == TABLES).select("fragment", F.lit(TABLES).alias("kind"), F.lit(0).alias("place"), F.col("part").alias("reply"))
-        if sweep < BURN_IN + SAMPLES - 1:
-            sums = answers(done.filter(F.col("tag") != TABLES), _sum_tables)
+        sums = answers(done.filter(F.col("tag") != TABLES), _sum_tables if sweep < last else _sum_last)
+        if sweep < last:
             root_totals = _totals(sums)
             back = sums.filter(F.col("chunk") != TOTALS)
             told = [tables, back.select(F.expr("cast(chunk div 2 as int)").alias("fragment"), F.expr("cast(chunk % 2 as int)").alias("kind"), F.col("fragment").alias("place"), "reply")]
@@ -262,7 +287,7 @@ def seat_pairs(asked: DataFrame, n_words: int, n_ids: int) -> tuple[DataFrame, f
         yield {"chunk": pa.array(numbers), "fragment": pa.array(np.full(len(numbers), fragment, np.int32)), "reply": pa.array(out, pa.binary())}
 
     links = rows(merged.filter(F.col("chunk") == LINKS), LINKS, F.lit(0))
-    return _by_fragment(links, [tables], reply, "chunk long, fragment int, reply binary"), d
+    return _by_fragment(links, [tables], reply, "chunk long, fragment int, reply binary"), (d, sums)
 
 
 def _totals(replies: DataFrame) -> np.ndarray:
@@ -282,9 +307,10 @@ def score_documents(docs: DataFrame, held_out) -> DataFrame:
     predictive probabilities are those of the averaged seatings.  Nothing learnt: unseen words have probability one.
 
     Words and pairs of a chunk are counted in the chunk, summed in the fragments that own them
-    and answered to each chunk; no table of the model is held whole anywhere.
+    and answered to each chunk; no table of the model is held whole anywhere.  Chunks, pairs and answers
+    about words lie in buckets, so only questions and answers are shuffled.
     """
-    chunks = chunk_documents(docs, F.when(held_out, 1).otherwise(0))
+    chunks = chunk_documents(docs, F.when(held_out, 1).otherwise(0), CHUNK_BYTES, buckets=True)
     tokens = chunks.agg(F.sum("tokens")).first()[0] or 0
     n_words, n_pairs = max(1, -(-tokens // (4 * FRAGMENT_ENTRIES))), max(1, -(-tokens // (2 * FRAGMENT_ENTRIES)))
 
@@ -293,7 +319,7 @@ def score_documents(docs: DataFrame, held_out) -> DataFrame:
         order, counts = t.words()
         yield from questions(chunk.number, t.hashes[order], [counts.astype(np.uint32)], n_words)
 
-    counted = answers(each_chunk(chunks, ask_words, QUESTION), _sum_words)
+    counted = answers(each_chunk(chunks, ask_words, QUESTION), _sum_words, buckets=n_words)
     total, kinds = (int(x) for x in _totals(counted)[:2])
     replies = counted.filter(F.col("chunk") != TOTALS)
     # words are numbered by hash over all fragments: the fragment's first number (one a fragment) and the rank in it
@@ -305,7 +331,7 @@ def score_documents(docs: DataFrame, held_out) -> DataFrame:
     def counts_of(t: Tokens, extra: dict) -> tuple[np.ndarray, np.ndarray]:
         """Corpus counts and ids of the codes."""
         order = t.words()[0]
-        count, rank = joined(extra["words"], np.int64)
+        count, rank = joined(extra["words"], np.int64)[:2]
         owner = ((t.hashes[order] >> np.uint64(32)) * np.uint64(n_words) >> np.uint64(32)).astype(np.int64)
         return _by_word(count, order), _by_word((first_id[owner] + rank).astype(np.uint64), order)
 
@@ -320,28 +346,30 @@ def score_documents(docs: DataFrame, held_out) -> DataFrame:
         parts = [squeeze(np.diff(cu[a:z], prepend=np.uint64(0)), cw[a:z].astype(word_type), n[a:z].astype(np.uint32), level[a:z].astype(np.uint16)) for a, z in zip(cuts[some], cuts[some + 1], strict=True)]
         yield {"fragment": pa.array(some.astype(np.int32)), "chunk": pa.array(np.full(len(some), chunk.number)), "tag": pa.array(np.zeros(len(some), np.int32)), "part": pa.array(parts, pa.binary())}
 
-    pairs, d1 = seat_pairs(each_chunk(with_answers(chunks, replies, "words"), ask_pairs, QUESTION), n_words, n_ids)
-    both = with_answers(with_answers(chunks, replies, "words"), pairs, "pairs", small=False)
-
-    def ask_tables(chunk: Chunk, extra: dict) -> Iterator[dict]:
-        t = Tokens.of(chunk)
-        _c, _cu, _cw, _hot, _n, w, u, _p = t.pairs(*counts_of(t, extra), total, n_pairs)
-        _count, tables, mine = joined(extra["pairs"], np.float32)
-        own = tables * mine
-        order = t.words()[0]
-        sums = [np.bincount(x, weights=own, minlength=len(order))[order].astype(np.float32) for x in (w, u)]
-        yield from questions(chunk.number, t.hashes[order], sums, n_words)
-
-    gathered = answers(each_chunk(both, ask_tables, QUESTION), _sum_words)
+    pairs, (d1, gathered) = seat_pairs(each_answered(chunks, {"words": replies}, ask_pairs, QUESTION), n_words, n_ids, n_pairs, first_id)
     customers, served, once, twice = _totals(gathered)
     d0 = discount(once, twice)
 
+    def add_tables(fragment: int, held: dict) -> Iterator[dict]:
+        """Answers about words, with each word's sums of tables as a word and as a context."""
+        sums = np.zeros((2, int(sizes[fragment])), np.float32)
+        for g in held.get(SUMS, []):
+            for own, gaps, found in zip(sums, *(iter(stretch(g)),) * 2, strict=True):
+                own[np.cumsum(gaps, dtype=np.uint64).astype(np.int64) - first_id[fragment]] = found
+        for number, got in held.items():
+            if number != SUMS:
+                count, rank = stretch(got[0])
+                yield {"chunk": pa.array([number], pa.int64()), "fragment": pa.array([fragment], pa.int32()), "reply": pa.array([squeeze(count, rank, *(x[rank] for x in sums))], pa.binary())}
+
+    rows = lambda df: df.select("fragment", F.col("chunk").alias("kind"), F.lit(0).alias("place"), "reply")
+    words = _by_fragment(rows(replies), [rows(gathered.filter(F.col("chunk") == SUMS))], add_tables, "chunk long, fragment int, reply binary")
+
     def score(chunk: Chunk, extra: dict) -> Iterator[dict]:
         t = Tokens.of(chunk)
         counts, ids = counts_of(t, extra)
         *_rest, place = t.pairs(counts, ids, total, n_pairs)
         count, tables, _mine = (a[place] for a in joined(extra["pairs"], np.float32))
-        root, inside = (_by_word(a, t.words()[0]).astype(np.float64) for a in joined(extra["tables"], np.float32))
+        root, inside = (_by_word(a, t.words()[0]).astype(np.float64) for a in joined(extra["words"], np.float32)[2:])
         c, u = counts[t.code], counts[t.context]
         seen = np.where(c > 0, np.maximum(root[t.code] - d0, 1e-9), THETA_ROOT + d0 * served) / (THETA_ROOT + customers)
         p = (np.maximum(count - d1 * tables, 0) + (THETA_CONTEXT + d1 * inside[t.context]) * seen) / (THETA_CONTEXT + u)
@@ -354,8 +382,8 @@ def score_documents(docs: DataFrame, held_out) -> DataFrame:
             "base_score": pa.array(sums(np.log10((c + 1) / (total + kinds + 1)))), "score": pa.array(sums(np.log10(p))),
         }
 
-    final = with_answers(both, gathered.filter(F.col("chunk") != TOTALS), "tables", small=False)
-    return each_chunk(final, score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return each_answered(chunks, {"words": words, "pairs": pairs}, score, schema)
 
 
 @query("op5_pitman_yor_scores")

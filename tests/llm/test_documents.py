@@ -1,6 +1,7 @@
 """Document operators against brute force, on rows with every odd case and on empty tables."""
 
 import collections
+import itertools
 import re
 import zlib
 
@@ -365,6 +366,29 @@ def test_seating_is_one_model_over_any_number_of_fragments(spark, monkeypatch):
     np.testing.assert_allclose([many[i] for i in sorted(many)], [one[i] for i in sorted(one)], rtol=1e-6)
 
 
+def test_scores_shuffle_questions_and_answers_but_no_chunks(spark, monkeypatch):
+    monkeypatch.setattr(pitman_yor, "FRAGMENT_ENTRIES", 400)
+    rows = [(i, " ".join(f"w{(i * 37 + j * j) % 211}" for j in range(60))) for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).cache()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as with chunks of any real size
+    try:
+        got = pitman_yor.score_documents(df, F.col("doc_id") >= 3)  # three documents teach the words of several fragments
+        plan = got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    lines = plan.splitlines()
+    depth = [re.search("[A-Za-z]", line).start() if re.search("[A-Za-z]", line) else 0 for line in lines]
+    assert any("body" in line for line in lines)
+    for i, line in enumerate(lines):
+        if "Exchange" in line:
+            below = itertools.takewhile(lambda j: depth[j] > depth[i], range(i + 1, len(lines)))
+            assert not any("body" in lines[j] for j in below)
+    scored = got.collect()
+    assert len(scored) == 100 and all(r["held_out"] == (r["doc_id"] >= 3) and r["score"] < 0 for r in scored)
+    unlearnt = pitman_yor.score_documents(df, F.lit(True)).collect()
+    assert len(unlearnt) == 100 and all(r["score"] == 0 and r["n_known"] == 0 and r["n_tokens"] == 61 for r in unlearnt)
+
+
 def test_keyed_draws_are_binomial():
     key = np.arange(200_000, dtype=np.uint64)
     for size, p in ((1, 0.3), (6, 0.7), (40, 0.05), (200, 0.5)):

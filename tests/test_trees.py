@@ -1,12 +1,14 @@
 """Boosters that grow together are those that MLlib grows one by one, for the price of one scan a level."""
 
+import json
+
 import numpy as np
 import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from tabweave.functions import jvm_random
-from tabweave.operators import model, trees
+from tabweave.operators import model, trees, tuning
 from tabweave.operators.trees import Boost, Boosters
 
 
@@ -104,6 +106,19 @@ def test_patience_grows_every_tree_once(frame, monkeypatch):
         assert m.getNumTrees == model.fit_with_patience(est, frame.train.filter(F.col("fold") != i), watch, 4).getNumTrees
 
 
+def test_a_search_grows_on_from_the_trees_it_has(frame, monkeypatch):
+    made = []
+    plain = Boosters.__init__
+    monkeypatch.setattr(Boosters, "__init__", lambda self, *a, **k: made.append(1) or plain(self, *a, **k))
+    family = tuning.Family(lambda rng: {"maxDepth": rng.choice([1, 2, 3])}, lambda p, n: model.gbt(maxIter=n, **p))
+    found = tuning.halving_search(frame, F.col("fold") == 0, {"gbt": family}, 6, (1, 3), seed=5).collect()
+    assert len(made) == 1
+    fit, held = frame.train.filter("fold <> 0"), frame.train.filter("fold = 0")
+    best = found[0]
+    again = family.make(json.loads(best["params"]), 3).fit(fit)
+    assert best["rung"] == 1 and abs(best["auc"] - model.auc_value(model.score(again, held, ["label"]), "score", "label")) < 1e-9
+
+
 def test_sliced_folds_and_imputers_grow_here(frame, monkeypatch):
     sizes = []
     plain = Boosters.__init__
@@ -119,3 +134,13 @@ def test_labels_that_cannot_be_learnt_are_an_error(frame):
     for job in (Boost(model.gbt(maxIter=1), F.lit(True), (0,), "target"), Boost(model.gbt(maxIter=1), F.col("fold") == 9, (0,))):
         with pytest.raises(ValueError):
             model.fit_boosters(frame.train, [job])
+
+
+def test_the_matrix_of_the_main_path_is_written_once(spark, sf_dir, monkeypatch):
+    from tabweave.plans import modelling
+
+    names = []
+    plain = modelling.materialize
+    monkeypatch.setattr(modelling, "materialize", lambda df, name="t": names.append((name, len(df.columns))) or plain(df, name))
+    modelling.main_pipeline(spark, sf_dir)
+    assert max(n for _, n in names) < 20
